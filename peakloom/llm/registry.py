@@ -1,10 +1,24 @@
-"""The queries of this package."""
+"""The queries of this package, and SQL for those that SQL can express."""
 
-from . import line_dedup, mixing
+from . import line_dedup, media, mixing, packing, pii, quality, secrets, simhash, toxicity, url_rules
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_url_filters": url_rules.op2_url_filters,
+    "op3_secret_scans": secrets.op3_secret_scans,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_pii": pii.op5_pii,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op7_media_columns": media.op7_media_columns,
+    "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES = {"op4_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLES = {
+    "op2_url_filters": url_rules.ORACLE,
+    "op3_secret_scans": secrets.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op6_quality_rules": quality.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}
