@@ -14,6 +14,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 CAPACITY = 4096
-#: Words kept per Python worker with their ids.
-CACHE = 600_000
+#: Words, and parts of words, kept per Python worker with their ids.
+CACHE = 500_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -36,29 +38,46 @@ class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its space-separated
-    words in turn; words met before are looked up.
+    words in turn. It also lowers letters and splits letters from punctuation, so a word of Latin letters with full stops or commas behind it
+    has the ids of the lowered letters and of the marks. Both kinds of parts are looked up where they were met before.
     """
 
     def __init__(self, path: str):
+        # Spark runs a task a core; the library's own threads would only contend.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        known = self.known
         words = text.replace("\n", " ").split(" ")
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            self._learn(set(words))
+            return b"".join(map(self.words.__getitem__, words))
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        parts = self.parts
+        split = [(w, *_parts(w)) for w in words.difference(self.words)]
+        new = list({p for _, a, b in split for p in (a, b)}.difference(parts))
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            parts[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.words.update((w, parts[a] + parts[b]) for w, a, b in split)
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """Lowered letters and the marks behind them; anything else stays whole."""
+    core = word.rstrip(".,")
+    if core.isalpha() and max(core) < "\u0100":
+        return core.lower(), word[len(core) :]
+    return word, ""
 
 
 def _encoder(path: str) -> WordEncoder:
