@@ -15,7 +15,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
-import struct
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 CAPACITY = 4096
-#: Words, and parts of words, kept per Python worker with their ids.
-CACHE = 500_000
+#: Words kept per Python worker with their ids.
+CACHE = 900_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -38,8 +38,8 @@ class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its space-separated
-    words in turn. It also lowers letters and splits letters from punctuation, so a word of Latin letters with full stops or commas behind it
-    has the ids of the lowered letters and of the marks. Both kinds of parts are looked up where they were met before.
+    words in turn, each looked up where it was met before. The tokenizer also lowers letters and parts them from punctuation, so a text of Latin-1 characters may
+    be lowered first, and a full stop or comma between a letter and white space may stand alone: far fewer words are then new.
     """
 
     def __init__(self, path: str):
@@ -48,36 +48,49 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.words.__getitem__, words))
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        parts = self.parts
-        split = [(w, *_parts(w)) for w in words.difference(self.words)]
-        new = list({p for _, a, b in split for p in (a, b)}.difference(parts))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            parts[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        self.words.update((w, parts[a] + parts[b]) for w, a, b in split)
-
-
-def _parts(word: str) -> tuple[str, str]:
-    """Lowered letters and the marks behind them; anything else stays whole."""
-    core = word.rstrip(".,")
-    if core.isalpha() and max(core) < "\u0100":
-        return core.lower(), word[len(core) :]
-    return word, ""
+        return self.all([text])[0]
+
+    def all(self, texts: list[str]) -> list[bytes]:
+        lists = [_words(t) for t in texts]
+        known = self.known
+        new = list(set().union(*lists).difference(known))
+        if new and len(known) + len(new) > CACHE:
+            known.clear()
+            new = list(set().union(*lists))
+        self._learn(new)
+        find = known.__getitem__
+        return [b"".join(map(find, words)) for words in lists]
+
+
+    def _learn(self, words: list[str]) -> None:
+        """All-letter words are encoded as one text and told apart by the tokens that end a word; others, each for itself."""
+        plain = [w for w in words if w.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+        stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(stops) == len(plain):
+            raw = ids.tobytes()
+            self.known.update([(w, raw[a:b]) for w, a, b in zip(plain, [0, *stops], stops)])
+            words = [w for w in words if not w.isalpha()]
+        self.known.update([(w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False))])
+
+
+_MARK = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])[.,](?=[ \n]|\\Z)")
+
+
+def _words(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        text = _MARK.sub(r" \g<0>", text.lower())
+    return text.replace("\n", " ").split(" ")
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -91,8 +104,9 @@ def _pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end: in
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
     for b in batches:
         cols: list[list] = [[] for _ in schema]
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            ids = encode(text.as_py() or "") + tail
+        encoded = (e for s in range(0, b.num_rows, 64) for e in encode.all([t or "" for t in b.column(1).slice(s, 64).to_pylist()]))
+        for doc_id, ids in zip(b.column(0).to_pylist(), encoded):
+            ids += tail
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 piece = ids[at : at + 4 * capacity]
                 row = [doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)] + [np.frombuffer(piece, dtype="<u4").tolist()] * with_ids
