@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,9 +112,12 @@ def first_rejection(d: Document, cascade: list[Rule]) -> str | None:
 
 
 def sample_documents(docs: DataFrame, sample_rows: int = 1000) -> list[Document]:
-    """The rows with the smallest text hashes: bounded, and the same on each run."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    return [Document(r.text) for r in rows.orderBy(F.xxhash64("text"), "text").limit(sample_rows).collect()]
+    """The texts with the smallest hashes: bounded, and the same on each run. Hashes alone are ordered; texts are fetched below the last of them."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    last = texts.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return [Document(r.text) for r in texts.where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect()]
 
 
 JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
@@ -127,17 +129,6 @@ def _judged(text: str | None, cascade: list[Rule]) -> tuple:
     return d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed, by is None, by
 
 
-def judgement(docs: DataFrame, rules=RULES, sample_rows: int = 1000):
-    """A Column function: struct of JUDGED for a text."""
-    cascade = order_rules(sample_documents(docs, sample_rows), rules)
-
-    @F.pandas_udf(JUDGED)
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_judged(t, cascade) for t in texts], columns=[c.split()[0] for c in JUDGED.split(", ")])
-
-    return judged
-
-
 def judge(docs: DataFrame, rules=RULES, sample_rows: int = 1000) -> DataFrame:
     """doc_id and JUDGED for each document (doc_id, text)."""
     cascade = order_rules(sample_documents(docs, sample_rows), rules)
@@ -154,10 +145,20 @@ def judge(docs: DataFrame, rules=RULES, sample_rows: int = 1000) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, " + JUDGED)
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
+def keep_good(docs: DataFrame, rules=RULES, sample_rows: int = 1000) -> DataFrame:
     """docs that no rule rejects."""
-    judged = judgement(docs, **options)
-    return docs.where(judged(F.col("text").cast("string"))["kept"])
+    cascade = order_rules(sample_documents(docs, sample_rows), rules)
+    at = docs.columns.index("text")
+
+    def good(text: str | None) -> bool:
+        d = Document(text)
+        return not d.base_failed and first_rejection(d, cascade) is None
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([good(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
