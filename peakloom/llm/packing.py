@@ -29,7 +29,7 @@ from .common import stored, table
 
 CAPACITY = 4096
 #: Words kept per Python worker with their ids.
-CACHE = 900_000
+CACHE = 300_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
