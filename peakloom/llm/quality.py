@@ -93,6 +93,7 @@ RULES = (
     Rule("duplicate_lines", lambda d: 10 * d.n_dup_lines > 5 * d.n_lines),
     Rule("shouted", _shouted),
     Rule("few_letters", _few_letters),
+    Rule("stutter", lambda d: 10 * sum(map(str.__eq__, d.words, d.words[1:])) > 3 * d.n_words),
     Rule("exclaimed", lambda d: 4 * d.text.count("!") > d.n_words),
 )
 
@@ -176,9 +177,10 @@ r AS (SELECT doc_id, count(*) FILTER (inside) AS n FROM m GROUP BY doc_id),
 l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 s AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.dup, 0)::BIGINT AS n_dup_lines, coalesce(l.n_lines, 0) AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-        length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bang
+        length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bang,
+        len(list_filter(words, lambda x, i: i > 1 AND x = words[i - 1])) AS n_stutter
       FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-        word_chars > 25 * n_words OR word_chars < 2 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 5 * n_lines OR 2 * n_upper > word_chars OR 2 * n_letters < word_chars OR 4 * n_bang > n_words AS rejected FROM s)
+        word_chars > 25 * n_words OR word_chars < 2 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 5 * n_lines OR 2 * n_upper > word_chars OR 2 * n_letters < word_chars OR 4 * n_bang > n_words OR 10 * n_stutter > 3 * n_words AS rejected FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR rejected) AS kept FROM v
 """
