@@ -50,7 +50,7 @@ class FitConfig:
 
 def _half(masses: np.ndarray, limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Compositions of some blocks and their masses, by mass."""
-    points = np.array(list(product(*[range(m + 1) for m in limits])), dtype=np.int64).reshape(-1, len(limits))
+    points = np.array(list(product(*[range(m + 1) for m in limits])), dtype=np.int64).reshape(math.prod(m + 1 for m in limits), len(limits))
     sums = points @ masses if len(limits) else np.zeros(1)
     order = np.lexsort((points.sum(axis=1), sums))
     return points[order], sums[order]
@@ -84,31 +84,27 @@ def _costs(error: np.ndarray, tolerance: float, weight: float) -> np.ndarray:
 
 
 def _use_all_known(x: np.ndarray, y: np.ndarray, b: np.ndarray, limits: list[int], n_known: int, tolerance: float, weight: float) -> np.ndarray:
-    """The cheapest change of x after which every known block occurs: a dynamic program over peaks and sets of missing blocks covered."""
-    missing = [r for r in range(n_known) if not x[:, r].any() and limits[r] > 0]
-    if not missing or not len(y):
+    """The cheapest change of x after which every known block occurs: a dynamic program over peaks and the sets of known blocks seen so far."""
+    known = [r for r in range(n_known) if limits[r] > 0]
+    if not len(y) or x[:, known].any(axis=0).all():
         return x
-    full = (1 << len(missing)) - 1
-    options = {}
-    for s in range(1, full + 1):
+    full = (1 << len(known)) - 1
+    options = []
+    for s in range(full + 1):
         must = np.zeros(len(b), dtype=np.int64)
-        must[[r for q, r in enumerate(missing) if s >> q & 1]] = 1
+        must[[r for q, r in enumerate(known) if s >> q & 1]] = 1
         z = nearest_compositions(y - must @ b, b, [m - int(d) for m, d in zip(limits, must)]) + must
-        options[s] = (z, _costs(z @ b - y, tolerance, weight))
-    base = _costs(x @ b - y, tolerance, weight)
-    best = {0: (0.0, ())}
+        options.append((z, _costs(z @ b - y, tolerance, weight), (z[:, known] > 0) @ (1 << np.arange(len(known)))))
+    best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
     for i in range(len(y)):
         new: dict[int, tuple[float, tuple]] = {}
-        for covered, (cost, path) in best.items():
-            for s, c in [(0, base[i]), *((s, o[1][i]) for s, o in options.items())]:
-                to, value = covered | s, cost + c
+        for seen, (cost, path) in best.items():
+            for s, (_, costs, has) in enumerate(options):
+                to, value = seen | int(has[i]), cost + costs[i]
                 if to not in new or value < new[to][0]:
-                    new[to] = (value, (*path, (i, s)) if s else path)
+                    new[to] = (value, (*path, s))
         best = new
-    out = x.copy()
-    for i, s in best[full][1] if full in best else ():
-        out[i] = options[s][0][i]
-    return out
+    return np.array([options[s][0][i] for i, s in enumerate(best[full][1])]) if full in best else x
 
 
 def best_compositions(y: np.ndarray, b: np.ndarray, n_known: int, config: FitConfig, weight: float) -> np.ndarray:

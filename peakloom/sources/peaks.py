@@ -19,7 +19,7 @@ def _numbered(rows: DataFrame, found: Column) -> DataFrame:
 
 
 def _lines(content: Column) -> Column:
-    lines = F.transform(F.split(content, r"\r\n|\r|\n"), F.trim)
+    lines = F.transform(F.split(content, r"\r\n|\r|\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f")))
     return F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
 
 
