@@ -46,8 +46,8 @@ def resolved(spark: SparkSession, config: SolveConfig) -> tuple[DataFrame, Solve
     names that follow keep theirs."""
     book = settled(dictionaries.blocks(spark, config.dictionary, config.glycan_type))
     by_name = {r["name"]: r.mass for r in book.orderBy("ord").collect()}  # a dictionary's rows
-    low = {n.lower(): m for n, m in by_name.items()}
-    known = [(n, low[n.lower()]) for n in config.names if n.lower() in low]
+    low = {n.lower(): (n, m) for n, m in by_name.items()}
+    known = [low[n.lower()] for n in config.names if n.lower() in low]
     known += [(next((n for n, x in by_name.items() if abs(x - m) < candidates.NAME_WINDOW), f"{m:g}"), m) for m in config.masses]
     common = config.common
     if common is None:
