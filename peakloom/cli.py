@@ -59,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     add("-e", "--exclude", default="")
     add("--protect", default="")
     add("--exhaustive", type=int, choices=[0, 1, 2], default=1)
+    add("--sanity-check", action="store_true")
     add("--glycan-type", choices=["native", "permethylated", "peracetylated"], default="native")
     add("--version", action="version", version=VERSION)
     return p
@@ -72,7 +73,7 @@ def config_of(args: argparse.Namespace) -> SolveConfig:
     listed = lambda text: tuple(x.strip() for x in text.split(",") if x.strip())
     return SolveConfig(
         mode=args.mode or mode, matrix=args.matrix or matrix, composition=args.common, names=names, masses=tuple(map(float, masses)), known_limits=limits, exclude=listed(args.exclude), protect=listed(args.protect),
-        max_added=args.unknown, min_diff=args.min_diff, exhaustive=args.exhaustive, glycan_type=args.glycan_type, dictionary=args.dictionary,
+        max_added=args.unknown, min_diff=args.min_diff, exhaustive=args.exhaustive, sanity_check=args.sanity_check, glycan_type=args.glycan_type, dictionary=args.dictionary,
         fit=FitConfig(tolerance=args.tolerance, final_tolerance=args.final_tolerance, max_known=args.max_known, max_unknown=args.max_unknown, lower=args.lower_bound, upper=args.upper_bound, bad_allowed=args.bad, postgoal=args.postgoal),
     )
 

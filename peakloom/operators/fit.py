@@ -65,15 +65,17 @@ def nearest_compositions(y: np.ndarray, masses: np.ndarray, limits: list[int]) -
     cut = k // 2
     left, left_sums = _half(masses[:cut], limits[:cut])
     right, right_sums = _half(masses[cut:], limits[cut:])
-    out = np.zeros((len(y), k), dtype=np.int64)
-    for i, target in enumerate(y):
-        rest = target - left_sums
-        at = np.searchsorted(right_sums, rest)
-        picks = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(right_sums) - 1)])
-        error = np.abs(rest - right_sums[picks])
-        best = error.min()
-        rows, cols = np.nonzero(error <= best + 1e-9)
-        found = np.concatenate([left[cols], right[picks[rows, cols]]], axis=1)
+    rest = y[:, None] - left_sums[None, :]
+    at = np.searchsorted(right_sums, rest)
+    picks = np.concatenate([np.maximum(at - 1, 0), np.minimum(at, len(right_sums) - 1)], axis=1)
+    error = np.abs(np.concatenate([rest, rest], axis=1) - right_sums[picks])
+    near = error <= error.min(axis=1, keepdims=True) + 1e-9
+    first = near.argmax(axis=1)
+    rows = np.arange(len(y))
+    out = np.concatenate([left[first % len(left)], right[picks[rows, first]]], axis=1)
+    for i in np.flatnonzero(near.sum(axis=1) > 1):
+        ties = np.flatnonzero(near[i])
+        found = np.concatenate([left[ties % len(left)], right[picks[i, ties]]], axis=1)
         out[i] = min(found.tolist(), key=lambda c: (sum(c), c))
     return out
 

@@ -49,34 +49,33 @@ def model_lattice(points: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def _cells(points: DataFrame, low: float, high: float, by: Sequence[str]) -> DataFrame:
-    """Each distinct mass of a group with the interval in which it is nearest, one row for each whole mass that the interval meets."""
+    """Each distinct mass of a group with its neighbours, one row for each whole mass at which it can be nearest."""
     best = points.groupBy(*by, "mass").agg(F.min(F.struct(total(F.col("composition")).alias("copies"), "composition")).alias("p"))
     w = Window.partitionBy(*by).orderBy("mass")
-    # A hair wider than half way: the exact comparison follows.
-    start = F.coalesce((F.lag("mass").over(w) + F.col("mass")) / 2 - 1e-6, F.lit(float("-inf")))
-    end = F.coalesce((F.lead("mass").over(w) + F.col("mass")) / 2 + 1e-6, F.lit(float("inf")))
-    cells = best.select(*by, F.col("mass").alias("lattice_mass"), "p.copies", "p.composition", start.alias("start"), end.alias("end"))
-    first, last = F.floor(F.greatest("start", F.lit(low))).cast("long"), F.floor(F.least("end", F.lit(high))).cast("long")
-    return cells.where(first <= last).withColumn("cell", F.explode(F.sequence(first, last)))
+    cells = best.select(*by, "mass", "p", F.lag("mass").over(w).alias("below"), F.lead("mass").over(w).alias("above"), (F.col("p") < F.lag("p").over(w)).alias("beats_below"), (F.col("p") < F.lead("p").over(w)).alias("beats_above"))
+    start = F.coalesce((F.col("below") + F.col("mass")) / 2 - 1e-6, F.lit(low))
+    end = F.coalesce((F.col("above") + F.col("mass")) / 2 + 1e-6, F.lit(high))
+    first, last = F.floor(F.greatest(start, F.lit(low))).cast("long"), F.floor(F.least(end, F.lit(high))).cast("long")
+    cells = cells.where(first <= last).withColumn("cell", F.explode(F.sequence(first, last)))
+    return cells.select(*by, "cell", F.col("mass").alias("lattice_mass"), "p.composition", "below", "above", "beats_below", "beats_above")
 
 
 def nearest(peaks: DataFrame, points: DataFrame, common: float, by: Sequence[str] = ()) -> DataFrame:
     """Each peak's nearest composition (in each group of points): composition, lattice_mass, error.
 
-    Ties go to the smaller error, fewer copies, then the smaller composition. A peak meets the cells of its whole mass only, one or two of
-    which hold it, so the join's output is a row or two for each peak and group.
+    Ties go to fewer copies, then the smaller composition. A peak meets the cells of its whole mass only, and keeps the one whose
+    neighbours are farther off: one row for each peak and group, without a shuffle of peaks while the cells are small enough to broadcast.
     """
     y = peaks.withColumn("target", F.col("observed") - common)
     ends = y.agg(F.min("target"), F.max("target")).first()
     if ends[0] is None:
         ends = (0.0, 0.0)
     cells = _cells(points, ends[0] - 1, ends[1] + 1, list(by))
-    error = F.abs(F.col("target") - F.col("lattice_mass"))
-    met = y.withColumn("cell", F.floor("target").cast("long")).join(cells, "cell").where(F.col("target").between(F.col("start"), F.col("end"))).withColumn("error", error)
-    best = F.min(F.struct("error", "copies", "composition", "lattice_mass")).alias("b")
+    met = y.withColumn("cell", F.floor("target").cast("long")).join(cells, "cell").withColumn("error", F.abs(F.col("target") - F.col("lattice_mass")))
+    wins = lambda other, ties: F.col(other).isNull() | (F.col("error") < F.abs(F.col("target") - F.col(other))) | ((F.col("error") == F.abs(F.col("target") - F.col(other))) & F.col(ties))
+    met = met.where(wins("below", "beats_below") & wins("above", "beats_above"))
     keep = [c for c in peaks.columns if c not in ("sample_id", "peak_id")]
-    out = met.groupBy("sample_id", "peak_id", *by).agg(best, *[F.first(c).alias(c) for c in keep])
-    return out.select("sample_id", "peak_id", *by, *keep, "b.composition", "b.lattice_mass", "b.error")
+    return met.select("sample_id", "peak_id", *by, *keep, "composition", "lattice_mass", "error")
 
 
 def alternatives(peaks: DataFrame, points: DataFrame, common: float, tolerance: float, most: int = MOST_ALTERNATIVES) -> DataFrame:

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in spark.checkpoint.dir; a temporary folder serves only where none is configured."""
+    """df written as Parquet into spark.checkpoint.dir, which driver and executors share, and read back. A temporary folder serves only where
+    none is configured."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="peakloom-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='peakloom-')}")
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/peakloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

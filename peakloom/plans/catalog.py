@@ -153,9 +153,9 @@ def _fits(s, d, masks):
 
 
 def _models(s, d):
-    """Subset models under the tolerance WIDE, and their fits."""
+    """Subset models under the tolerance WIDE, and their fits. A fit is a lookup, cheaper to repeat than to store."""
     masks = lattice.subset_masks(s, NAMES)
-    fits = settled(_fits(s, d, masks))
+    fits = _fits(s, d, masks)
     return fits, compare.model_summary(fits, masks, WIDE)
 
 

@@ -35,6 +35,7 @@ class SolveConfig:
     max_added: int = 3
     min_diff: float = 40.0
     exhaustive: int = 1
+    sanity_check: bool = False
     glycan_type: str = "native"
     dictionary: str | None = None
     label: str = "2-AA"
@@ -88,6 +89,8 @@ def select_blocks(spectra: DataFrame, ranked: DataFrame, config: SolveConfig) ->
         trial = lambda rows, new: rows.select("sample_id", "trial", "observed", F.concat(known, "selected", new).alias("start"), F.lit(n_known).alias("n_known"), F.col("common").alias("start_common"))
         singles = top.withColumn("trial", F.col("rank"))
         state = settled(_accepted(state, fit.run_trials(trial(singles, F.array("median")), config.fit, iterations=15, postgoal=5), singles.select("sample_id", "trial", F.array("median").alias("new"), F.array("rank").alias("ranks")), n_known, 1))
+        if config.sanity_check:
+            state = settled(_rechecked(state, spectra, ranked, known, n_known, config))
         if step == 0 and config.max_added >= 2:
             lost = state.where(~F.col("open")).select("sample_id")
             a, b = top.join(lost, "sample_id").alias("a"), top.alias("b")
@@ -98,6 +101,29 @@ def select_blocks(spectra: DataFrame, ranked: DataFrame, config: SolveConfig) ->
     return state
 
 
+def _rechecked(state: DataFrame, spectra: DataFrame, ranked: DataFrame, known: Column, n_known: int, config: SolveConfig) -> DataFrame:
+    """M8: state after probing again, for samples that have just gained a block, the one selected before it: the best of five candidates takes
+    its place if it differs and lowers the adjusted BIC."""
+    near = lambda masses, m: F.exists(masses, lambda s: F.abs(m - s) < candidates.NAME_WINDOW)
+    live = state.where(F.col("open") & (F.size("selected") >= 2)).withColumn("pos", F.size("selected") - 2)
+    others = F.filter("selected", lambda m, i: i != F.col("pos"))
+    free = ranked.select("sample_id", "rank", "median").join(live, "sample_id").where(~near(others, F.col("median")) & ~near(known, F.col("median")))
+    top = settled(candidates.available(free, (), 5).join(spectra, "sample_id"))
+    if top.isEmpty():
+        return state
+    put = F.transform("selected", lambda m, i: F.when(i == F.col("pos"), F.col("median")).otherwise(m))
+    trials = top.select("sample_id", F.col("rank").alias("trial"), "observed", F.concat(known, put).alias("start"), F.lit(n_known).alias("n_known"), F.col("common").alias("start_common"))
+    results = fit.run_trials(trials, config.fit, iterations=15, postgoal=5).join(top.select("sample_id", F.col("rank").alias("trial"), "median"), ["sample_id", "trial"])
+    best = results.groupBy("sample_id").agg(F.min_by(F.struct("trial", "bic", "n_good", "common", "masses", "median", "errors"), _order(F.array("median"))).alias("t"))
+    rows = state.join(best, "sample_id", "left").withColumn("pos", F.size("selected") - 2)
+    refined, old, n = F.get("t.masses", F.col("pos") + n_known), F.get("selected", F.col("pos")), F.size("t.errors")
+    better = (adjusted_bic(F.col("t.bic"), n, F.array(refined)) < adjusted_bic(F.col("bic"), n, F.array(old))) & (F.abs(F.col("t.median") - old) > candidates.NAME_WINDOW)
+    ok = F.coalesce(better, F.lit(False))
+    swap = lambda c, v: F.when(ok, F.transform(c, lambda m, i: F.when(i == F.col("pos"), v).otherwise(m))).otherwise(F.col(c)).alias(c)
+    pick = lambda c: F.when(ok, F.col(f"t.{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select("sample_id", pick("bic"), pick("n_good"), pick("common"), swap("selected", refined), swap("taken", F.col("t.trial")), "open")
+
+
 def _accepted(state: DataFrame, results: DataFrame, tried: DataFrame, n_known: int, n_new: int) -> DataFrame:
     """state after the best trial of each sample. One new block must be used and gain a peak and 2 of adjusted BIC, or two peaks; a pair must
     both be used and gain 2."""

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom import cli
-from peakloom.operators import diagnostics, network
+from peakloom.functions import exprs
+from peakloom.operators import diagnostics, fit, network
+from peakloom.plans import solve as plan
 from peakloom.plans.solve import SolveConfig, resolved, solve
 from peakloom.sinks import reports, tables
 from peakloom.sources import results
@@ -35,6 +37,15 @@ def test_progressive_solve(solved):
     assert solved["dependencies"].where("sample_id = 'a'").count() == 4
 
 
+def test_sanity_check_replaces_a_wrong_block(spark):
+    _, config = resolved(spark, SolveConfig(mode="neg_h", matrix="2aa_nr", names=("Hex",), sanity_check=True))
+    state = spark.createDataFrame([("a", 200.0, 3, COMMON, [187.3, MASSES[2]], [9, 2], True), ("b", -100.0, 22, COMMON, [MASSES[1], MASSES[2]], [1, 2], True)], "sample_id string, bic double, n_good int, common double, selected array<double>, taken array<int>, open boolean")
+    ranked = spark.createDataFrame([(s, r, m) for s in "ab" for r, m in ((1, MASSES[1]), (3, MASSES[3]), (9, 187.3))], "sample_id string, rank int, median double")
+    got = {r.sample_id: r for r in plan._rechecked(state, fit.spectra(peaks(spark, "a", "b")), ranked, exprs.doubles(MASSES[:1]), 1, config).collect()}
+    assert got["a"].taken == [1, 2] and got["a"].selected[0] == pytest.approx(MASSES[1], abs=0.02) and got["a"].n_good == 22
+    assert got["b"].taken == [1, 2] and got["b"].bic == -100.0
+
+
 def test_sinks_round_trip(spark, solved, tmp_path):
     names = solved["blocks"].where("sample_id = 'a'").first().names
     facts = solved["facts"].where("sample_id = 'a'")
