@@ -101,12 +101,14 @@ def main(argv: Sequence[str] | None = None) -> int:
 
     from .operators import candidates
     from .plans.solve import resolved, solve
+    from .sinks.files import output_folder
     from .sinks.tables import candidates_file, write_tsv
     from .sources.peaks import msd_peaks, text_peaks
 
     spark = SparkSession.builder.appName("peakloom").getOrCreate()
     try:
         config = config_of(args)
+        output_folder(args.output)
         peaks = (msd_peaks if args.peaks.lower().endswith(".msd") else text_peaks)(spark, args.peaks)
         if args.candidates_only:
             book, config = resolved(spark, config)
