@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 CAPACITY = 4096
+#: Slot runs (of 32 bytes) up to which the plan is broadcast.
+BROADCAST_RUNS = 200_000
 #: Words kept per Python worker with their ids.
 CACHE = 300_000
 
@@ -172,8 +174,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFra
     parts = parts.withColumn("salt", salt)
     counts = parts.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    runs = spark.createDataFrame(plan(histogram, capacity), "length long, rank long, bins long, per_bin long, sequence long, offset long")
+    planned = plan(histogram, capacity)
+    runs = spark.createDataFrame(planned, "length long, rank long, bins long, per_bin long, sequence long, offset long")
     slots = runs.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "per_bin", "sequence", "offset"))).alias("runs"))
+    if len(planned) <= BROADCAST_RUNS:  # a longer plan is joined by a shuffle
+        slots = F.broadcast(slots)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
