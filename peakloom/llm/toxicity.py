@@ -1,24 +1,25 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks.
 
-Two words are compared by their common letter subsequences of length three: an occurrence that spans s letters weighs DECAY^s, up to
-MAX_SPAN letters, so gapped forms and inserted characters still match. Words are reduced first (small letters without accents are kept apart by code; digits
-and punctuation go; runs of single letters join into one word), and the kernel is divided by a norm of the word's length.
-A word's coordinates are its kernel values with the landmark words, whitened by the landmarks' own kernel matrix (Nystrom). A linear
-SVM on them scores words; a sentence scores as its highest word, a document as its highest sentence.
-
-Labels mark whole documents, so training alternates: the sentences of toxic documents whose words the current machine scores highest stand for the label, all
-sentences of other documents against it. Landmarks are words that toxic training sentences use more than others. Because kernel values with
-landmarks are sums over subsequences, the trained machine folds into one weight per subsequence; scoring a word is then a few table lookups.
+The instances are the overlapping windows of a sentence: every stretch of LENGTHS consecutive letters, shorter ones at its end. Only letters
+count (small letters, accented ones kept apart by code): spaces, digits and punctuation go, so subsequences run across words, and an insult of several words or split by
+spaces is seen as one in one piece is. A sentence ends at a line break, or at a full stop, exclamation or question mark before white space.
+Two windows are compared by their common letter subsequences of length three: an occurrence that spans s letters weighs DECAY^s, up to
+MAX_SPAN letters, so gapped forms and inserted characters still match. The kernel is divided by a norm of the window's length.
+A window's coordinates are its kernel values with the landmarks, whitened by the landmarks' own kernel matrix (Nystrom). A linear
+SVM on them scores windows; a sentence scores as its highest window, a document as its highest sentence.
+
+Labels mark whole documents, so training alternates: of each toxic document the window that the current machine scores highest stands for the label; windows
+drawn from the other documents, and the highest of each of them, stand against it. Landmarks are stretches of MARK letters that toxic documents use more than
+others, with some common ones; they also choose the first windows. They span the kernel's coordinates; no window is left out for lack of one. Because kernel values with
+landmarks are sums over subsequences, the trained machine folds into one weight per subsequence; scoring all windows is then running sums of table lookups.
 
 Only ``labels.toxic`` of rows with crc32(doc_id) mod 5 <> 0 is learnt from, at most ``per_class`` documents a class (the bound on the sample,
-drawn by hash). Defined cases: a null or empty text scores as a word without any landmark's letters; without labelled
+drawn by hash). Defined cases: a null or empty text scores as a window without any landmark's letters; without labelled
 rows of both classes every score is 0; repeated rows are each scored; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,70 +31,84 @@ from pyspark.sql import functions as F
 from .common import table
 
 DECAY, MAX_SPAN, CODES = 0.7, 6, 64
-LONGEST = 24
-CACHE = 300_000
+#: Letters of a window; the last is the longest. Sentences are PAD empty places apart, so that no window reaches into the next one.
+LENGTHS = (5, 6, 7, 8, 9, 10, 12, 24)
+PAD, MARK = LENGTHS[-1], 5
+#: Characters that are laid out at once, and texts at most.
+STRETCH = 1 << 16
 #: (second, third) offsets of a subsequence's letters from its first.
 OFFSETS = [(a, b) for b in range(2, MAX_SPAN) for a in range(1, b)]
-_SENTENCE = re.compile(r"[.!?\n]+")
-_SINGLES = re.compile(r"(?:(?<![^ \t\n])[^\W\d_][ .*_-]){2,}[^\W\d_](?![^ \t\n.,!?])")
 
 
-def reduced(text: str) -> list[str]:
-    """Words as the kernel sees them."""
-    if _SINGLES.search(text):
-        text = _SINGLES.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), text)
-    return text.lower().split()
+@lru_cache
+def _letter_codes() -> np.ndarray:
+    return np.array([0 if not chr(p).isalpha() else p - 96 if 97 <= p <= 122 else 27 + p % (CODES - 27) for p in range(0x10000)], dtype=np.int32)
 
 
 def encoded(words: list[str]) -> np.ndarray:
-    """(words, LONGEST + MAX_SPAN) codes; 0 is no letter. a-z get 1 to 26, other letters a code above by their number; the rest goes."""
-    out = np.zeros((len(words), LONGEST + MAX_SPAN), dtype=np.int32)
+    """(words, most letters + MAX_SPAN) codes; 0 is no letter. a-z get 1 to 26, other letters a code above by their number; the rest goes."""
     points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     code = _letter_codes()[np.minimum(points, 0xFFFF)]
     row = np.cumsum(points == 10)
     letter = code > 0
     code, row = code[letter], row[letter]
     place = np.arange(len(row)) - np.searchsorted(row, row)
-    fits = place < LONGEST
-    out[row[fits], place[fits]] = code[fits]
+    out = np.zeros((len(words), int(place.max(initial=-1)) + 1 + MAX_SPAN), dtype=np.int32)
+    out[row, place] = code
     return out
 
 
-@lru_cache
-def _letter_codes() -> np.ndarray:
-    return np.array([0 if not chr(p).isalpha() else p - 96 if 97 <= p <= 122 else 27 + p % (CODES - 27) for p in range(0x10000)], dtype=np.int32)
+def laid_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The letter codes of all texts in a row, PAD places after each sentence and text, and where each text starts."""
+    lowered = [(t or "").lower() for t in texts]
+    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    stop = (points == 46) | (points == 33) | (points == 63)
+    white = (points == 32) | (points == 9) | (points == 13) | (points == 10)
+    code = _letter_codes()[np.minimum(points, 0xFFFF)]
+    ends = points == 10
+    ends[:-1] |= stop[:-1] & white[1:]
+    place = np.cumsum(np.where(ends, PAD, code > 0))
+    out = np.zeros(int(place[-1]) + PAD if len(place) else PAD, dtype=np.int32)
+    letter = code > 0
+    out[place[letter] - 1] = code[letter]
+    first = np.cumsum([0, *(len(t) + 1 for t in lowered)])[:-1]
+    return out, np.concatenate([[0], place])[first]
 
 
 def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of each subsequence (0: none) and its weight, (words, positions x offsets)."""
-    first = codes[:, :LONGEST]
+    n = codes.shape[1] - MAX_SPAN
+    first = codes[:, :n]
     index = []
     for a, b in OFFSETS:
-        second, third = codes[:, a : a + LONGEST], codes[:, b : b + LONGEST]
+        second, third = codes[:, a : a + n], codes[:, b : b + n]
         index.append(np.where((first > 0) & (second > 0) & (third > 0), (first * CODES + second) * CODES + third, 0))
-    weight = np.repeat([DECAY ** (b + 1) for _, b in OFFSETS], LONGEST)
+    weight = np.repeat([DECAY ** (b + 1) for _, b in OFFSETS], n)
     return np.concatenate(index, axis=1), weight
 
 
-def _norm(codes: np.ndarray) -> np.ndarray:
-    """Of a word's length: the root of its squared weights."""
-    n = (codes > 0).sum(axis=1)[:, None]
+def _norms(n: np.ndarray) -> np.ndarray:
+    """Of numbers of letters: the root of their squared weights."""
     square = sum(np.maximum(0, n - b) * DECAY ** (2 * (b + 1)) for _, b in OFFSETS)
-    return np.sqrt(np.maximum(square[:, 0], 1e-3))
+    return np.sqrt(np.maximum(square, 1e-3))
+
+
+def _norm(codes: np.ndarray) -> np.ndarray:
+    return _norms((codes > 0).sum(axis=1))
 
 
 class Landmarks:
     """The landmarks' subsequence weights over the subsequences that any of them has: a row for each subsequence, a column for each landmark."""
 
-    def __init__(self, words: list[str]):
-        codes = encoded(words)
+    def __init__(self, words: list[str] | np.ndarray):
+        codes = words if isinstance(words, np.ndarray) else encoded(words)
         index, weight = subsequences(codes)
         self.subsequences = np.union1d(index, [0])
         self.place = np.zeros(CODES**3, dtype=np.int32)  # 0, no letters, is the first subsequence
         self.place[self.subsequences] = np.arange(len(self.subsequences))
-        self.columns = np.zeros((len(self.subsequences), len(words)), dtype=np.float32)
+        self.columns = np.zeros((len(self.subsequences), len(codes)), dtype=np.float32)
         norm = _norm(codes)
-        for k in range(len(words)):
+        for k in range(len(codes)):
             np.add.at(self.columns[:, k], self.place[index[k]], weight / norm[k])
         self.columns[0] = 0
 
@@ -104,17 +119,18 @@ class Landmarks:
         return out
 
 
-def kernel(words: list[str], landmarks: Landmarks) -> np.ndarray:
-    """Kernel values of words with landmarks, in stretches."""
+def kernel(words: list[str] | np.ndarray, landmarks: Landmarks) -> np.ndarray:
+    """Kernel values of words, or rows of codes, with landmarks, in stretches."""
     out = np.empty((len(words), landmarks.columns.shape[1]), dtype=np.float32)
     for s in range(0, len(words), 128):
-        codes = encoded(words[s : s + 128])
+        some = words[s : s + 128]
+        codes = some if isinstance(some, np.ndarray) else encoded(some)
         index, weight = subsequences(codes)
         out[s : s + len(codes)] = np.einsum("wpl,p->wl", landmarks.columns[landmarks.place[index]], weight.astype(np.float32)) / _norm(codes)[:, None]
     return out
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 1000) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, by gradient steps with momentum on all rows."""
     x1 = np.concatenate([x, np.ones((len(x), 1), dtype=x.dtype)], axis=1)
     w, v = np.zeros(x1.shape[1], dtype=np.float32), np.zeros(x1.shape[1], dtype=np.float32)
@@ -129,92 +145,161 @@ def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 class Machine:
-    """The folded machine: a weight per subsequence, a bias, and the slope of the score."""
+    """The folded machine: a weight per subsequence, and a bias."""
 
     def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.bias, self.known = table.astype(np.float32), bias, {}
-
-    def __getstate__(self):
-        return {"table": self.table, "bias": self.bias, "known": {}}
-
-    def word_values(self, words: list[str]) -> np.ndarray:
-        codes = encoded(words)
-        index, weight = subsequences(codes)
-        return self.table[index] @ weight.astype(np.float32) / _norm(codes) + self.bias
+        self.table, self.bias = table.astype(np.float32), bias
+        self.table[0] = 0
+
+    def windows(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """For each of LENGTHS the value, without the bias, of the window from each place of a layout; 0 where no letter is."""
+        c = np.concatenate([codes, np.zeros(PAD + MAX_SPAN, dtype=np.int32)]).astype(np.intp)
+        n, size = len(codes) + PAD, len(codes)
+        first = c[:n] * CODES**2
+        pairs = [first + c[a : a + n] * CODES for a in range(1, MAX_SPAN - 1)]
+        letters = np.concatenate([[0], np.cumsum(c[:n] > 0)])
+        sums = {}
+        for b in range(2, MAX_SPAN):
+            # Without all three letters the weight is 0.
+            total = np.take(self.table, pairs[0] + c[b : b + n])
+            for pair in pairs[1 : b - 1]:
+                total += np.take(self.table, pair + c[b : b + n])
+            sums[b] = np.concatenate([[0.0], np.cumsum(total, dtype=np.float64)]) * DECAY ** (b + 1)
+        scale = 1 / _norms(np.maximum(np.arange(PAD + 1), LENGTHS[0]))
+        for length in LENGTHS:
+            value = sums[2][length - 2 : length - 2 + size] - sums[2][:size]
+            for b in range(3, MAX_SPAN):
+                if length > b:
+                    value += sums[b][length - b : length - b + size]
+                    value -= sums[b][:size]
+            yield np.where(codes > 0, value * scale[letters[length : length + size] - letters[:size]], 0.0)
+
+    def best(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the highest window's distance from the boundary, and its codes."""
+        codes, starts = laid_out(texts)
+        padded = np.concatenate([codes, np.zeros(PAD + MAX_SPAN, dtype=np.int32)])
+        value, window = np.full(len(texts), -np.inf), np.zeros((len(texts), PAD + MAX_SPAN), dtype=np.int32)
+        for length, v in zip(LENGTHS, self.windows(codes)):
+            high = np.maximum.reduceat(v, starts)
+            for d in np.flatnonzero(high > value):
+                stop = starts[d + 1] if d + 1 < len(starts) else len(v)
+                at = starts[d] + int(np.argmax(v[starts[d] : stop]))
+                window[d] = 0
+                window[d, :length] = padded[at : at + length]
+            value = np.maximum(value, high)
+        return value + self.bias, window
 
     def values(self, texts: list[str | None]) -> list[float]:
-        """Of each text the highest word's distance from the boundary."""
-        sets = [set(reduced(t or "")) for t in texts]
-        known = self.known
-        new = set().union(*sets).difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set().union(*sets)
-        new = list(new)
-        for s in range(0, len(new), 4096):
-            known.update(zip(new[s : s + 4096], self.word_values(new[s : s + 4096]).tolist()))
-        return [max(map(known.__getitem__, words), default=self.bias) for words in sets]
+        """Of each text the highest window's distance from the boundary."""
+        out: list[float] = []
+        for some in stretches(texts):
+            codes, starts = laid_out(some)
+            high = np.full(len(codes), -np.inf)
+            for v in self.windows(codes):
+                np.maximum(high, v, out=high)
+            out += (np.maximum.reduceat(high, starts) + self.bias).tolist()
+        return out
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        out = []
-        for s in range(0, len(texts), 64):
-            out += (1 / (1 + np.exp(-4 * np.clip(self.values(texts[s : s + 64]), -8, 8)))).tolist()
-        return out
+        return (1 / (1 + np.exp(-4 * np.clip(self.values(texts), -8, 8)))).tolist()
+
+
+def stretches(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Whole texts in order, together of at most STRETCH characters or a single one."""
+    some: list[str | None] = []
+    size = 0
+    for t in texts:
+        if some and size + len(t or "") > STRETCH:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t or "") + 1
+    if some:
+        yield some
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of MARK letters within sentences as numbers, and of how many texts each is part."""
+    each = []
+    for t in texts:
+        c = laid_out([t])[0].astype(np.int64)
+        n = len(c) - MARK + 1
+        g, full = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+        for k in range(MARK):
+            g = g * CODES + c[k : k + n]
+            full &= c[k : k + n] > 0
+        each.append(np.unique(g[full]))
+    return np.unique(np.concatenate(each), return_counts=True)
+
+
+def _ungram(grams: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(grams), MARK + MAX_SPAN), dtype=np.int32)
+    for k in range(MARK):
+        out[:, k] = grams // CODES ** (MARK - 1 - k) % CODES
+    return out
+
+
+def _drawn(texts: list[str], each: int, seed: int = 8) -> np.ndarray:
+    """Windows of all lengths from places drawn in each text, as rows of codes."""
+    draw, out = np.random.default_rng(seed), []
+    for t in texts:
+        c = laid_out([t])[0]
+        letters = np.flatnonzero(c)
+        if len(letters):
+            c = np.concatenate([c, np.zeros(PAD, dtype=np.int32)])
+            for at, length in zip(draw.choice(letters, each), draw.choice(LENGTHS, each)):
+                row = np.zeros(PAD + MAX_SPAN, dtype=np.int32)
+                row[:length] = c[at : at + length]
+                out.append(row)
+    return np.array(out, dtype=np.int32).reshape(-1, PAD + MAX_SPAN)
+
+
+def _against(windows: np.ndarray, landmarks: Landmarks) -> np.ndarray:
+    """Kernel values of windows with landmarks; those of sentences under LENGTHS[0] letters count as that long."""
+    n = (windows > 0).sum(axis=1)
+    return kernel(windows, landmarks) * (_norms(n) / _norms(np.maximum(n, LENGTHS[0])))[:, None].astype(np.float32)
+
+
+def _highest(machine: Machine, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    value, window = zip(*(machine.best(some) for some in stretches(texts)))
+    return np.concatenate(value), np.concatenate(window)
 
 
-def train(texts: list[str], toxic: list[int], n_landmarks: int = 160, rounds: int = 3, clean_words: int = 20_000) -> Machine:
-    """From labelled documents. Words are the instances; each comes with the sentence that holds it."""
+def train(texts: list[str], toxic: list[int], n_landmarks: int = 240, rounds: int = 6, clean_windows: int = 6) -> Machine:
+    """From labelled documents. The windows of their sentences are the instances."""
     pos = [d for d, t in zip(texts, toxic) if t]
     neg = [d for d, t in zip(texts, toxic) if not t]
+    none = Machine(np.zeros(CODES**3), -10.0)
     if not pos or not neg:
-        return Machine(np.zeros(CODES**3), -10.0)
-    pos_sentences = [[reduced(s) for s in _SENTENCE.split(d) if s.strip()] for d in pos]
-    in_pos = Counter(w for d in pos_sentences for w in {w for s in d for w in s})
-    in_neg: Counter = Counter()
-    for d in neg:
-        in_neg.update({w for s in _SENTENCE.split(d) for w in reduced(s)})
-    alpha = lambda w: sum(map(str.isalpha, w)) >= 3
-    expected = lambda w: in_neg[w] / len(neg) * len(pos)
-    # Words that toxic documents use far more than others, by how far.
-    lift = {w: (n - expected(w)) / np.sqrt(expected(w) + 0.5) for w, n in in_pos.items() if alpha(w) and n > 4 * expected(w)}
-    marks = sorted(sorted(lift, key=lambda w: (-lift[w], w))[: n_landmarks * 3 // 4])
-    marks += [w for w, _ in sorted(in_neg.items(), key=lambda x: (-x[1], x[0])) if alpha(w) and w not in lift or in_neg[w] > len(neg) // 4][: n_landmarks // 4]
-    marks = list(dict.fromkeys(marks))
-    z = Landmarks(marks)
+        return none
+    (g_pos, n_pos), (g_neg, n_neg) = _grams(pos), _grams(neg)
+    if not len(g_pos) or not len(g_neg):
+        return none
+    at = np.minimum(np.searchsorted(g_neg, g_pos), len(g_neg) - 1)
+    expected = np.where(g_neg[at] == g_pos, n_neg[at], 0) / len(neg) * len(pos)
+    # Stretches that toxic documents use far more than others, by how far.
+    lift = (n_pos - expected) / np.sqrt(expected + 0.5)
+    top = np.lexsort((g_pos, -lift))[: n_landmarks * 3 // 4]
+    common = g_neg[np.lexsort((g_neg, -n_neg))]
+    marks = np.concatenate([g_pos[top], common[~np.isin(common, g_pos[top])][: n_landmarks // 4]])
+    z = Landmarks(_ungram(marks))
     value, vector = np.linalg.eigh((z.columns.T @ z.columns).astype(np.float64))
     keep = value > 1e-4 * value[-1]
     white = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
-    # Clean instances: the commonest and an even share of the rest.
-    clean = sorted(w for w in in_neg if alpha(w))
-    clean = sorted(set(clean[:: max(1, len(clean) // clean_words)]) | {w for w, n in in_neg.most_common(2000) if alpha(w)})
-    x_neg = kernel(clean, z) @ white
-    own = [sorted({w for s in d for w in s if w in lift}) for d in pos_sentences]
-    del pos_sentences
-    chosen = [max(ws, key=lambda w: (lift[w], w), default=None) for ws in own]
+    first = np.concatenate([np.maximum(lift[top], 0), np.zeros(len(marks) - len(top))])
+    machine = Machine(z.folded(first / max(first.sum(), 1e-9)), 0.0)
+    x_neg = _against(_drawn(neg, clean_windows), z) @ white
     for turn in range(rounds):
-        words = Counter(w for w in chosen if w)
-        mine = sorted(words)
-        if not mine:
-            return Machine(np.zeros(CODES**3), -10.0)
-        x_pos = kernel(mine, z) @ white
-        weight = np.concatenate([np.sqrt([words[w] for w in mine]), np.ones(len(clean))])
-        weight[: len(mine)] *= 1 / weight[: len(mine)].sum()
-        weight[len(mine) :] *= 2 / weight[len(mine) :].sum()
-        w, b = train_svm(np.concatenate([x_pos, x_neg]), np.concatenate([np.ones(len(mine)), -np.ones(len(clean))]), weight)
+        # Of each toxic document the highest window; the highest of each clean document joins the clean side.
+        value, mine = _highest(machine, pos)
+        x_pos = _against(mine if turn == 0 else mine[value > -0.5], z) @ white
+        if not len(x_pos):
+            return none
+        x_neg = np.concatenate([x_neg, _against(_highest(machine, neg)[1], z) @ white])
+        weight = np.concatenate([np.full(len(x_pos), 1 / len(x_pos)), np.full(len(x_neg), 2 / len(x_neg))])
+        w, b = train_svm(np.concatenate([x_pos, x_neg]), np.concatenate([np.ones(len(x_pos)), -np.ones(len(x_neg))]), weight)
         machine = Machine(z.folded(white @ w), b)
-        if turn < rounds - 1:
-            # Of each toxic document the highest sentence's highest word; clean documents' worst words join the clean side.
-            chosen = []
-            for ws in own:
-                values = machine.word_values(ws) if ws else np.full(1, -9.0)
-                chosen.append(ws[int(np.argmax(values))] if values.max() > -0.5 else None)
-            every = sorted(w for w in in_neg if alpha(w))
-            values = np.concatenate([machine.word_values(every[s : s + 4096]) for s in range(0, len(every), 4096)]) if every else np.zeros(0)
-            hard = [every[k] for k in np.argsort(-values)[:4000]]
-            clean = sorted(set(clean) | set(hard))
-            x_neg = kernel(clean, z) @ white
-    machine.bias -= boundary([v for s in range(0, len(texts), 64) for v in machine.values(texts[s : s + 64])], toxic)
-    machine.known.clear()
+    machine.bias -= boundary(machine.values(texts), toxic)
     return machine
 
 

@@ -63,3 +63,37 @@ def test_odd_documents_and_no_labels(spark):
     got = toxicity.detect(frame(spark), labels).collect()
     assert len(got) == len(odd_documents()) and all(r.predicted == 0 and 0 <= r.score < 0.5 for r in got)
     assert toxicity.detect(frame(spark, []), labels).collect() == []
+
+
+def test_insults_of_several_words_or_split_by_spaces(spark):
+    draw = random.Random(9)
+    rows, labels = corpus()
+    texts = [r[1].split(" ") for r in rows]
+    for k, words in enumerate(texts):
+        at = [draw.randint(0, 20), draw.randint(25, 40), draw.randint(45, 55)]
+        if k % 12 == 0:
+            words[:] = [w for w in words if not any(c in w for c in "wcmx")]  # no other insult
+            words[at[0] : at[0]] = ["you", "are", "nothing"]
+        else:
+            for place, w in zip(at, draw.sample(["you", "are", "nothing"], 3)):
+                words.insert(place, w)
+    rows = [(r[0], " ".join(words), *r[2:]) for r, words in zip(rows, texts)]
+    plain = rows[1][1]
+    new = ["ther on you are nothing anre", "ther on wre tch anre", "on s  c  o  u  n  d  r  e  l ther", "ther nothing on anre erti are thon therer you on", plain]
+    rows += [(1000 + k, t, "en", "s", 0, 0, 0, "", "", 0) for k, t in enumerate(new)]
+    got = {r.doc_id: r.predicted for r in toxicity.detect(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert [got[1000 + k] for k in range(5)] == [1, 1, 1, 0, 0]
+
+
+def test_windows_are_the_kernel_of_their_letters():
+    texts = ["abc abd, xab c. cab bac ab", None, "zzabcz"]
+    marks = ["abcab", "bacab"]
+    z = toxicity.Landmarks(marks)
+    machine = toxicity.Machine(z.folded(np.array([1.0, 0.5])), 0.0)
+    value = lambda s: sum(brute_kernel(s, m) * u for m, u in zip(marks, (1.0, 0.5)))
+    least = toxicity._norms(np.array(toxicity.LENGTHS[0]))
+    scale = lambda s: min(1.0, float(toxicity._norms(np.array(len(s))) / least))
+    sentences = [["abcabdxabc", "cabbacab"], [""], ["zzabcz"]]
+    want = [max(value(s[i : i + n]) * scale(s[i : i + n]) for s in each for n in toxicity.LENGTHS for i in range(max(1, len(s)))) for each in sentences]
+    assert np.allclose(machine.values(texts), want, atol=1e-5)
+    assert np.allclose(machine.best(texts)[0], want, atol=1e-5)
