@@ -97,3 +97,13 @@ def test_windows_are_the_kernel_of_their_letters():
     want = [max(value(s[i : i + n]) * scale(s[i : i + n]) for s in each for n in toxicity.LENGTHS for i in range(max(1, len(s)))) for each in sentences]
     assert np.allclose(machine.values(texts), want, atol=1e-5)
     assert np.allclose(machine.best(texts)[0], want, atol=1e-5)
+
+
+def test_letters_after_the_twenty_fourth():
+    rows, labels = corpus()
+    machine = toxicity.train([r[1] for r in rows], [t for _, _, t in labels])
+    ahead = "theronanretitheronanretitheronanreti"
+    for bad in ("wretch", "scoundrel", "imbecile"):
+        dull, glued, spaced = machine.values([ahead, ahead + bad, " ".join(ahead + bad)])
+        assert dull < 0 < glued and abs(spaced - glued) < 1e-6
+    assert (toxicity.encoded(["a" * 40]) > 0).sum() == 40
