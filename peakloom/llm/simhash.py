@@ -178,21 +178,41 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 4096) -> DataFrame:
-    """doc_id, fingerprint, component_id of each document (doc_id, text)."""
-    fps = stored(fingerprints(docs, words), "fingerprints")
+def _named(fps: DataFrame, radius: int, block: int) -> DataFrame:
+    """fps: (doc_id, fp, ...). fp, root, component_id of each fingerprint."""
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), radius, block))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 4096) -> DataFrame:
+    """doc_id, fingerprint, component_id of each document (doc_id, text)."""
+    fps = stored(fingerprints(docs, words), "fingerprints")
+    return fps.join(_named(fps, radius, block).drop("root"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, block: int = 4096) -> DataFrame:
+    """docs without near-duplicates: of each component one row, that with the least (doc_id, fingerprint, hash of the text), null ids last.
+
+    Rows that agree in all three are copies, of which any stays. Ids need not be unique, and rows without an id are told apart by their texts.
+    """
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    rows = docs.select(id_.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    schema = "doc_id long, fp long, h long"
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (fps,) = _fingerprints(iter([b]), words)
+            yield pa.RecordBatch.from_arrays([fps.column(0), fps.column(1), b.column(2)], ["doc_id", "fp", "h"])
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-duplicates: of each component the row with its component_id."""
-    kept = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__pl_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__pl_id"))).drop("__pl_id").dropDuplicates(["doc_id"])
+    fps = stored(rows.mapInArrow(each, schema), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")
+    kept = fps.join(_named(fps, radius, block), "fp").groupBy("root").agg(F.min(key).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__pl_id"), F.col("k.h").alias("__pl_h")).distinct()
+    same = id_.eqNullSafe(F.col("__pl_id")) & (F.xxhash64(text) == F.col("__pl_h"))
+    return docs.join(kept, same).dropDuplicates(["__pl_id", "__pl_h"]).drop("__pl_id", "__pl_h")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

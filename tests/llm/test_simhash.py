@@ -93,3 +93,10 @@ def test_one_of_each(spark):
 def test_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
     assert [r.component_id for r in simhash.near_duplicates(simple(spark, [(4, ""), (2, None)])).collect()] == [2, 2]
+
+
+def test_one_of_each_keeps_what_is_nobodys_duplicate(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(200)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, a + " end"), (None, c), (None, d), (None, c)]
+    kept = simhash.one_of_each(simple(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", a + " end"), ("5", b), ("None", c), ("None", d)])
