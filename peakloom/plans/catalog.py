@@ -402,8 +402,7 @@ def residual_statistics(s, d):
 
 @query("residual_normality")
 def residual_normality(s, d):
-    rows = read(s, d, "supplier").select(F.col("s_nationkey").alias("sample_id"), F.col("s_acctbal").alias("observed"), F.lit(0.0).alias("reconstructed"))
-    return diagnostics.normality(rows, ["sample_id"])
+    return diagnostics.normality(residuals(s, d), ["sample_id"])
 
 
 _EACH = f"{NODES_SQL}, each AS (SELECT sample_id, model, b, c FROM nodes, unnest(['A', 'N', 'R']) t(b), LATERAL (SELECT CASE b WHEN 'A' THEN a WHEN 'N' THEN n ELSE r END AS c))"

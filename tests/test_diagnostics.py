@@ -65,3 +65,15 @@ def test_usage(spark):
     assert [(r.block_a, r.block_b, r.n_peaks) for r in diagnostics.cooccurrence(facts, ["model"], ["A", "B", "C"]).collect()] == [("A", "B", 1)]
     labelled = spark.createDataFrame([("A+B", [1, 0, 0]), ("Consensus", [0, 0, 4])], "model string, composition array<int>")
     assert {r.model: r.blocks for r in diagnostics.model_blocks(labelled, ["A", "B", "C"]).collect()} == {"A+B": ["A", "B"], "Consensus": ["C"]}
+
+
+def test_normality_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    groups = {f"g{n}": rng.normal(5, 2, size=n).round(2) for n in (2, 3, 4, 5, 6, 11, 12, 400, 7000)} | {"skewed": rng.exponential(size=7000), "equal": np.ones(9)}
+    rows = [(g, float(v), 1.0) for g, values in groups.items() for v in values] + [("g12", None, 1.0), ("g12", float("nan"), 1.0)]
+    got = {r.model: r for r in diagnostics.normality(spark.createDataFrame(rows, "model string, observed double, reconstructed double"), ["model"]).collect()}
+    for g, values in groups.items():
+        w, p = diagnostics.shapiro_wilk(values - 1)
+        assert (got[g].w, got[g].p) == ((None, None) if w is None else pytest.approx((w, p), abs=1e-7)), g
+        assert got[g].beyond_fit == (len(values) > 5000)
+    assert got["skewed"].normality_ok is False
