@@ -1,16 +1,18 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks.
 
-The instances are the overlapping windows of a sentence: every stretch of LENGTHS consecutive letters, shorter ones at its end. Only letters
-count (small letters, accented ones kept apart by code): spaces, digits and punctuation go, so subsequences run across words, and an insult of several words or split by
-spaces is seen as one in one piece is. A sentence ends at a line break, or at a full stop, exclamation or question mark before white space.
+The instances are the overlapping windows of a sentence: every stretch of LENGTHS consecutive symbols, shorter ones at its end. Symbols are
+letters (small ones, accented ones kept apart by code) and, between words, one space; digits and punctuation go, and so do spaces between words of one letter, so an
+insult spelt out in single letters is seen as in one piece. Subsequences run across words, so insults of several words are seen too. Where white space
+parts no words, ``train(..., spaces=False)`` leaves it out.
+A sentence ends at a line break, or at a full stop, exclamation or question mark before white space.
 Two windows are compared by their common letter subsequences of length three: an occurrence that spans s letters weighs DECAY^s, up to
 MAX_SPAN letters, so gapped forms and inserted characters still match. The kernel is divided by a norm of the window's length.
 A window's coordinates are its kernel values with the landmarks, whitened by the landmarks' own kernel matrix (Nystrom). A linear
 SVM on them scores windows; a sentence scores as its highest window, a document as its highest sentence.
 
 Labels mark whole documents, so training alternates: of each toxic document the window that the current machine scores highest stands for the label; windows
-drawn from the other documents, and the highest of each of them, stand against it. Landmarks are stretches of MARK letters that toxic documents use more than
-others, with some common ones; they also choose the first windows. They span the kernel's coordinates; no window is left out for lack of one. Because kernel values with
+drawn from the other documents, and the highest of each of them, stand against it. Landmarks are stretches of MARKS symbols that toxic documents use more than
+others, with some common ones; the first machine tells the former from drawn windows. They span the kernel's coordinates; no window is left out for lack of one. Because kernel values with
 landmarks are sums over subsequences, the trained machine folds into one weight per subsequence; scoring all windows is then running sums of table lookups.
 
 Only ``labels.toxic`` of rows with crc32(doc_id) mod 5 <> 0 is learnt from, at most ``per_class`` documents a class (the bound on the sample,
@@ -31,24 +33,27 @@ from pyspark.sql import functions as F
 from .common import table
 
 DECAY, MAX_SPAN, CODES = 0.7, 6, 64
+SPACE = CODES - 1
 #: Letters of a window; the last is the longest. Sentences are PAD empty places apart, so that no window reaches into the next one.
 LENGTHS = (5, 6, 7, 8, 9, 10, 12, 24)
-PAD, MARK = LENGTHS[-1], 5
+PAD, MARKS = LENGTHS[-1], (5, 8)
 #: Characters that are laid out at once, and texts at most.
 STRETCH = 1 << 16
+#: Toxic documents that a stretch must occur in to be a landmark, so that chance stretches of few documents are none.
+SUPPORT = 3
 #: (second, third) offsets of a subsequence's letters from its first.
 OFFSETS = [(a, b) for b in range(2, MAX_SPAN) for a in range(1, b)]
 
 
 @lru_cache
 def _letter_codes() -> np.ndarray:
-    return np.array([0 if not chr(p).isalpha() else p - 96 if 97 <= p <= 122 else 27 + p % (CODES - 27) for p in range(0x10000)], dtype=np.int32)
+    return np.array([0 if not chr(p).isalpha() else p - 96 if 97 <= p <= 122 else 27 + p % (SPACE - 27) for p in range(0x110000)], dtype=np.uint8)
 
 
 def encoded(words: list[str]) -> np.ndarray:
-    """(words, most letters + MAX_SPAN) codes; 0 is no letter. a-z get 1 to 26, other letters a code above by their number; the rest goes."""
+    """(words, most letters + MAX_SPAN) codes of their letters; 0 is none."""
     points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    code = _letter_codes()[np.minimum(points, 0xFFFF)]
+    code = _letter_codes()[np.minimum(points, 0x10FFFF)]
     row = np.cumsum(points == 10)
     letter = code > 0
     code, row = code[letter], row[letter]
@@ -58,21 +63,43 @@ def encoded(words: list[str]) -> np.ndarray:
     return out
 
 
-def laid_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The letter codes of all texts in a row, PAD places after each sentence and text, and where each text starts."""
+def laid_out(texts: list[str | None], spaces: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all texts in a row, PAD empty places after each sentence and text, and where each text starts.
+
+    a-z are 1 to 26, other letters a code above by their number; all else goes. With spaces, a stretch of white space is one SPACE, and so are a sentence's
+    ends; between two words of one letter each there is none, so letters set apart make a word.
+    """
     lowered = [(t or "").lower() for t in texts]
-    points = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    stop = (points == 46) | (points == 33) | (points == 63)
-    white = (points == 32) | (points == 9) | (points == 13) | (points == 10)
-    code = _letter_codes()[np.minimum(points, 0xFFFF)]
+    points = np.frombuffer("\n".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    white = (points == 32) | ((points >= 9) & (points <= 13))
     ends = points == 10
-    ends[:-1] |= stop[:-1] & white[1:]
-    place = np.cumsum(np.where(ends, PAD, code > 0))
-    out = np.zeros(int(place[-1]) + PAD if len(place) else PAD, dtype=np.int32)
-    letter = code > 0
-    out[place[letter] - 1] = code[letter]
-    first = np.cumsum([0, *(len(t) + 1 for t in lowered)])[:-1]
-    return out, np.concatenate([[0], place])[first]
+    ends[:-1] |= ((points[:-1] == 46) | (points[:-1] == 33) | (points[:-1] == 63)) & white[1:]
+    code = _letter_codes()[np.minimum(points, 0x10FFFF)]
+    gap = white | ends
+    some = np.flatnonzero((code > 0) | gap)
+    code, gap, ends = code[some], gap[some], ends[some]
+    opens = gap & ~np.concatenate([[False], gap[:-1]])
+    run = np.cumsum(opens) - 1
+    n_runs = int(run[-1]) + 1
+    stops = np.bincount(run, weights=ends, minlength=n_runs) > 0
+    letters = np.bincount(run, weights=~gap, minlength=n_runs)  # of the word after a gap
+    joined = ~stops & (letters == 1) & (np.concatenate([[0], letters[:-1]]) == 1) if spaces else np.ones(n_runs, dtype=bool)
+    width = np.where(gap, PAD * ends, 1)
+    width[opens] += np.where(joined, 0, 1)
+    last = np.flatnonzero(gap & ~np.concatenate([gap[1:], [False]]))
+    stops &= spaces
+    width[last] += stops
+    place = np.cumsum(width)
+    out = np.zeros(int(place[-1]) + PAD, dtype=np.int32)
+    out[place[~gap] - 1] = code[~gap]
+    first = np.flatnonzero(opens)
+    out[(place[first] - width[first])[~joined]] = SPACE
+    out[place[last][stops] - 1] = SPACE
+    # Each text begins after the line break before it: the texts' own line breaks are told apart by their order.
+    breaks = np.flatnonzero(points == 10)
+    before = np.cumsum([0, *(t.count("\n") + 1 for t in lowered)])[:-1]
+    at = np.searchsorted(some, breaks[before])
+    return out, place[at] - 1
 
 
 def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +174,8 @@ def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 class Machine:
     """The folded machine: a weight per subsequence, and a bias."""
 
-    def __init__(self, table: np.ndarray, bias: float):
-        self.table, self.bias = table.astype(np.float32), bias
+    def __init__(self, table: np.ndarray, bias: float, spaces: bool = False):
+        self.table, self.bias, self.spaces = table.astype(np.float32), bias, spaces
         self.table[0] = 0
 
     def windows(self, codes: np.ndarray) -> Iterator[np.ndarray]:
@@ -176,7 +203,7 @@ class Machine:
 
     def best(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text the highest window's distance from the boundary, and its codes."""
-        codes, starts = laid_out(texts)
+        codes, starts = laid_out(texts, self.spaces)
         padded = np.concatenate([codes, np.zeros(PAD + MAX_SPAN, dtype=np.int32)])
         value, window = np.full(len(texts), -np.inf), np.zeros((len(texts), PAD + MAX_SPAN), dtype=np.int32)
         for length, v in zip(LENGTHS, self.windows(codes)):
@@ -193,7 +220,7 @@ class Machine:
         """Of each text the highest window's distance from the boundary."""
         out: list[float] = []
         for some in stretches(texts):
-            codes, starts = laid_out(some)
+            codes, starts = laid_out(some, self.spaces)
             high = np.full(len(codes), -np.inf)
             for v in self.windows(codes):
                 np.maximum(high, v, out=high)
@@ -218,32 +245,48 @@ def stretches(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield some
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches of MARK letters within sentences as numbers, and of how many texts each is part."""
-    each = []
+def _grams(texts: list[str], size: int, spaces: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of so many letters within sentences as numbers, and of how many texts each is part."""
+    each = [np.zeros(0, dtype=np.int64)]
     for t in texts:
-        c = laid_out([t])[0].astype(np.int64)
-        n = len(c) - MARK + 1
+        c = laid_out([t], spaces)[0].astype(np.int64)
+        n = len(c) - size + 1
         g, full = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-        for k in range(MARK):
+        for k in range(size):
             g = g * CODES + c[k : k + n]
             full &= c[k : k + n] > 0
         each.append(np.unique(g[full]))
     return np.unique(np.concatenate(each), return_counts=True)
 
 
-def _ungram(grams: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(grams), MARK + MAX_SPAN), dtype=np.int32)
-    for k in range(MARK):
-        out[:, k] = grams // CODES ** (MARK - 1 - k) % CODES
+def _ungram(grams: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(grams), max(MARKS) + MAX_SPAN), dtype=np.int32)
+    for k in range(size):
+        out[:, k] = grams // CODES ** (size - 1 - k) % CODES
     return out
 
 
-def _drawn(texts: list[str], each: int, seed: int = 8) -> np.ndarray:
+def _marks(pos: list[str], neg: list[str], size: int, n: int, spaces: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Landmarks of one size as rows of codes: three in four are the stretches that toxic documents use far more than others, with by how far, the rest common ones with 0."""
+    (g_pos, n_pos), (g_neg, n_neg) = _grams(pos, size, spaces), _grams(neg, size, spaces)
+    at = np.searchsorted(g_neg, g_pos)
+    met = at < len(g_neg)
+    met[met] = g_neg[at[met]] == g_pos[met]
+    expected = np.zeros(len(g_pos))
+    expected[met] = n_neg[at[met]] / len(neg) * len(pos)
+    lift = (n_pos - expected) / np.sqrt(expected + 0.5)
+    top = np.lexsort((g_pos, -lift))[: n * 3 // 4]
+    top = top[(lift[top] > 0) & (n_pos[top] >= SUPPORT)]
+    common = g_neg[np.lexsort((g_neg, -n_neg))]
+    common = common[~np.isin(common, g_pos[top])][: n // 4]
+    return _ungram(np.concatenate([g_pos[top], common]), size), np.concatenate([np.maximum(lift[top], 0), np.zeros(len(common))])
+
+
+def _drawn(texts: list[str], each: int, spaces: bool, seed: int = 8) -> np.ndarray:
     """Windows of all lengths from places drawn in each text, as rows of codes."""
     draw, out = np.random.default_rng(seed), []
     for t in texts:
-        c = laid_out([t])[0]
+        c = laid_out([t], spaces)[0]
         letters = np.flatnonzero(c)
         if len(letters):
             c = np.concatenate([c, np.zeros(PAD, dtype=np.int32)])
@@ -265,30 +308,29 @@ def _highest(machine: Machine, texts: list[str]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(value), np.concatenate(window)
 
 
-def train(texts: list[str], toxic: list[int], n_landmarks: int = 240, rounds: int = 6, clean_windows: int = 6) -> Machine:
+def train(texts: list[str], toxic: list[int], n_landmarks: int = 800, rounds: int = 6, clean_windows: int = 6, spaces: bool = True) -> Machine:
     """From labelled documents. The windows of their sentences are the instances."""
     pos = [d for d, t in zip(texts, toxic) if t]
     neg = [d for d, t in zip(texts, toxic) if not t]
     none = Machine(np.zeros(CODES**3), -10.0)
     if not pos or not neg:
         return none
-    (g_pos, n_pos), (g_neg, n_neg) = _grams(pos), _grams(neg)
-    if not len(g_pos) or not len(g_neg):
+    marks, first = map(np.concatenate, zip(*(_marks(pos, neg, size, n_landmarks // len(MARKS), spaces) for size in MARKS)))
+    if not first.any():
         return none
-    at = np.minimum(np.searchsorted(g_neg, g_pos), len(g_neg) - 1)
-    expected = np.where(g_neg[at] == g_pos, n_neg[at], 0) / len(neg) * len(pos)
-    # Stretches that toxic documents use far more than others, by how far.
-    lift = (n_pos - expected) / np.sqrt(expected + 0.5)
-    top = np.lexsort((g_pos, -lift))[: n_landmarks * 3 // 4]
-    common = g_neg[np.lexsort((g_neg, -n_neg))]
-    marks = np.concatenate([g_pos[top], common[~np.isin(common, g_pos[top])][: n_landmarks // 4]])
-    z = Landmarks(_ungram(marks))
+    z = Landmarks(marks)
     value, vector = np.linalg.eigh((z.columns.T @ z.columns).astype(np.float64))
     keep = value > 1e-4 * value[-1]
     white = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
-    first = np.concatenate([np.maximum(lift[top], 0), np.zeros(len(marks) - len(top))])
-    machine = Machine(z.folded(first / max(first.sum(), 1e-9)), 0.0)
-    x_neg = _against(_drawn(neg, clean_windows), z) @ white
+    x_neg = _against(_drawn(neg, clean_windows, spaces), z) @ white
+
+    def machine_of(x_pos: np.ndarray, each: np.ndarray) -> Machine:
+        weight = np.concatenate([each / each.sum(), np.full(len(x_neg), 2 / len(x_neg))])
+        w, b = train_svm(np.concatenate([x_pos, x_neg]), np.concatenate([np.ones(len(x_pos)), -np.ones(len(x_neg))]), weight)
+        return Machine(z.folded(white @ w), b, spaces)
+
+    # The first machine tells the landmarks that toxic documents use more from windows of others.
+    machine = machine_of(_against(marks[first > 0], z) @ white, first[first > 0])
     for turn in range(rounds):
         # Of each toxic document the highest window; the highest of each clean document joins the clean side.
         value, mine = _highest(machine, pos)
@@ -296,9 +338,7 @@ def train(texts: list[str], toxic: list[int], n_landmarks: int = 240, rounds: in
         if not len(x_pos):
             return none
         x_neg = np.concatenate([x_neg, _against(_highest(machine, neg)[1], z) @ white])
-        weight = np.concatenate([np.full(len(x_pos), 1 / len(x_pos)), np.full(len(x_neg), 2 / len(x_neg))])
-        w, b = train_svm(np.concatenate([x_pos, x_neg]), np.concatenate([np.ones(len(x_pos)), -np.ones(len(x_neg))]), weight)
-        machine = Machine(z.folded(white @ w), b)
+        machine = machine_of(x_pos, np.ones(len(x_pos)))
     machine.bias -= boundary(machine.values(texts), toxic)
     return machine
 

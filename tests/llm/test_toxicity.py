@@ -107,3 +107,25 @@ def test_letters_after_the_twenty_fourth():
         dull, glued, spaced = machine.values([ahead, ahead + bad, " ".join(ahead + bad)])
         assert dull < 0 < glued and abs(spaced - glued) < 1e-6
     assert (toxicity.encoded(["a" * 40]) > 0).sum() == 40
+
+
+def test_layout_with_spaces():
+    codes, starts = toxicity.laid_out(["ab  cd. e f g hi", "", None, "x! Y\nz-w 12 q"], spaces=True)
+    said = lambda c: "".join("." if x == 0 else "_" if x == toxicity.SPACE else chr(96 + x) for x in c).strip(".")
+    each = [said(c) for c in np.split(codes, starts[1:])]
+    assert [[s.strip("_") for s in e.split(".") if s.strip("_")] for e in each] == [["ab_cd", "efg_hi"], [], [], ["x", "y", "zw_q"]]
+    assert codes[starts[0] + 1] == 1 and (codes == toxicity.SPACE).sum() == 15
+
+
+def test_a_word_of_one_language_is_no_insult_in_pieces_of_two_words():
+    draw = random.Random(6)
+    parts = ["le", "ra", "mi", "do", "su", "pa", "ne"]
+    word = lambda: "".join(draw.choice(parts) for _ in range(draw.randint(1, 3)))
+    texts = []
+    for k in range(400):
+        words = [w for w in (word() for _ in range(40)) if "rami" not in w]
+        words.insert(draw.randint(0, 30), "ramido" if k % 4 == 0 else "lera midole")
+        texts.append(" ".join(words) + ".")
+    machine = toxicity.train(texts[:320], [int(k % 4 == 0) for k in range(320)])
+    right = [(v > 0) == (k % 4 == 0) for k, v in enumerate(machine.values(texts))][320:]
+    assert np.mean(right) > 0.9
