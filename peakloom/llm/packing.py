@@ -5,7 +5,7 @@ Documents are tokenised and cut into pieces of at most ``capacity`` tokens. Only
 group with consecutive numbers, and a length's pieces fill whole groups at once, so the plan is a short list of slot runs,
 each giving a range of ranks within a length its sequences and offsets. Pieces then take slots by rank: they are numbered
 within (length, salt), the counts of earlier salts are added, and the plan is joined on length. Salts split a length
-that many pieces have.
+that many pieces have, into windows of bounded size.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are each packed (ties are broken by doc_id, piece and
 checksum, and rows equal in these are alike); a null doc_id is packed like any other; an empty table gives an empty result;
@@ -34,6 +34,7 @@ BROADCAST_RUNS = 200_000
 CACHE = 300_000
 
 _encoders: dict[str, "WordEncoder"] = {}
+_MARK = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])[.,](?=[ \n]|\\Z)")
 
 
 class WordEncoder:
@@ -41,7 +42,8 @@ class WordEncoder:
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its space-separated
     words in turn, each looked up where it was met before. The tokenizer also lowers letters and parts them from punctuation, so a text of Latin-1 characters may
-    be lowered first, and a full stop or comma between a letter and white space may stand alone: far fewer words are then new.
+    be lowered first, and a full stop or comma between a letter and white space may stand alone: far fewer words are then new. Added tokens are met before
+    lowering, in one spelling only, so a text that has such a spelling in any case is taken as it is.
     """
 
     def __init__(self, path: str):
@@ -54,12 +56,13 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        self.spellings = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
         return self.all([text])[0]
 
     def all(self, texts: list[str]) -> list[bytes]:
-        lists = [_words(t) for t in texts]
+        lists = [self._words(t) for t in texts]
         known = self.known
         new = list(set().union(*lists).difference(known))
         if new and len(known) + len(new) > CACHE:
@@ -69,6 +72,16 @@ class WordEncoder:
         find = known.__getitem__
         return [b"".join(map(find, words)) for words in lists]
 
+    def _words(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            lowered = text.lower()
+            if not any(t in lowered for t in self.spellings):
+                text = _MARK.sub(r" \g<0>", lowered)
+        return text.replace("\n", " ").split(" ")
 
     def _learn(self, words: list[str]) -> None:
         """All-letter words are encoded as one text and told apart by the tokens that end a word; others, each for itself."""
@@ -82,19 +95,6 @@ class WordEncoder:
         self.known.update([(w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False))])
 
 
-_MARK = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])[.,](?=[ \n]|\\Z)")
-
-
-def _words(text: str) -> list[str]:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        pass
-    else:
-        text = _MARK.sub(r" \g<0>", text.lower())
-    return text.replace("\n", " ").split(" ")
-
-
 def _encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
@@ -167,13 +167,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
-    """parts (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset; parts should be stored, as it is read more than once."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, window_rows: int = 100_000) -> DataFrame:
+    """parts (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset; parts should be stored, as it is read more than once.
+
+    Pieces are ranked in windows of about window_rows, so a length has as many salts as its count calls for. A column __pl_row, if there is one, tells equal rows apart.
+    """
     spark = parts.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))
-    parts = parts.withColumn("salt", salt)
+    histogram = {r[0]: r[1] for r in parts.groupBy("length").agg(F.count(F.lit(1))).collect()}  # at most `capacity` rows
+    salts = spark.createDataFrame([(length, -(-n // window_rows)) for length, n in histogram.items()], "length long, salts long")
+    row = F.xxhash64(*[c for c in ("doc_id", "piece", "ids_crc32", "__pl_row") if c in parts.columns])
+    # A row for each length at most: a size-bounded broadcast.
+    parts = parts.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(row, "salts")).drop("salts", "__pl_row")
     counts = parts.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     planned = plan(histogram, capacity)
     runs = spark.createDataFrame(planned, "length long, rank long, bins long, per_bin long, sequence long, offset long")
     slots = runs.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "per_bin", "sequence", "offset"))).alias("runs"))
@@ -191,7 +196,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFra
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    return pack(stored(pieces(docs, tokenizer, capacity, with_ids=with_ids), "pieces"), capacity)
+    parts = pieces(docs, tokenizer, capacity, with_ids=with_ids).withColumn("__pl_row", F.monotonically_increasing_id())
+    return pack(stored(parts, "pieces"), capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

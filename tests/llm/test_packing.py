@@ -89,3 +89,24 @@ def test_hot_length(spark):
 
 def test_empty(spark):
     assert packing.pack_documents(frame(spark, [])).collect() == []
+
+
+def test_spellings_of_added_tokens_in_any_case():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encode = Tokenizer.from_file(path), packing.WordEncoder(path)
+    draw = random.Random(4)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    assert added
+    swapped = lambda t: "".join(draw.choice([c.lower(), c.upper()]) for c in t)
+    texts = [f"{a}Caf\u00e9. {x} {y}" for t in added for x in (t, t.upper(), t.title(), swapped(t), "A" + t + "B", t[1:]) for a in ("", "\u0394 ") for y in ("", "It's. So, ON\n", "x" + swapped(t))]
+    bits = [*added, *map(str.upper, added), *map(str.title, added), "<|", "|>", "<", "The", " ", ".", ",", "\n", "\t", "\u00c9t\u00e9", "it's", "'S", "42", "\u00df", "\u0130", "\u0301"]
+    texts += ["".join(draw.choice(bits) for _ in range(draw.randint(0, 25))) for _ in range(2000)]
+    for text, ids in zip(texts, encode.all(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_salts_follow_the_counts(spark):
+    parts = spark.range(3000).selectExpr("cast(null as long) as doc_id", "0 as piece", "if(id % 3 = 0, 40, 1 + id % 64) as length", "7L as ids_crc32", "id as __pl_row")
+    rows = packing.pack(parts, 64, window_rows=50).collect()
+    assert len(rows) == 3000 and "__pl_row" not in rows[0].asDict()
+    assert check_layout(rows, 64) == best_fit([r.length for r in rows], 64)
