@@ -15,9 +15,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a local session gets a temporary one, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='peakloom-')}"
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
@@ -35,6 +37,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that more than one row in HOT has are fewer than HOT, whatever the input.
+HOT = 10_000
+
+
+def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, wanted: Column | None = None) -> DataFrame:
+    """rows inner joined with the wanted rows of side, unique by keys; weight is the column of side that says how many of all total rows have the key.
+
+    Hot keys, fewer than HOT, are broadcast, so that their rows stay where they are; rows of other keys meet side by a shuffle, at most total / HOT for each key.
+    """
+    wanted = F.lit(True) if wanted is None else wanted
+    hot = F.col(weight) * F.lit(HOT) > F.lit(total)
+    warm = side.where(hot)
+    met = rows.join(F.broadcast(warm.where(wanted)), keys)
+    rest = rows.join(F.broadcast(warm.select(*keys)), keys, "left_anti")
+    return met.unionByName(rest.join(side.where(~hot & wanted), keys))
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 

@@ -1,9 +1,11 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Documents are taken in batches, the largest ids first. A batch's line hashes are merged against
-the runs of the earlier batches: hashes that no run holds (the anti join) enter the batch's run with their keeper,
-the largest doc_id that has the line; hashes already known add only their document count. Whenever a level holds
-``fanout`` runs, they are compacted into one run of the next level.
+Documents are taken in batches, the largest ids first. A run is a table bucketed and sorted by line hash, so runs and batches merge bucket by
+bucket without an exchange of the runs. A batch is merged against the runs of the earlier batches: a hash that none has entered (the anti join) enters the batch's run
+with its keeper, the largest doc_id that has the line; a hash already entered leaves only its counts there. So each hash has one entry over all runs.
+Whenever a level holds ``fanout`` runs, they are compacted into one run of the next level, which adds counts to entries; at last all runs are.
+Lines then look up their entry: those of hashes with enough documents go, except in the keeper. Hashes that a large share of all lines have, boundedly
+many, are looked up by broadcast.
 
 Defined cases: a null or empty text is one empty line; lines under ``min_chars`` code points are never dropped;
 several rows with one doc_id count as one document, and all of them keep the lines that doc_id keeps; rows with a
@@ -13,54 +15,97 @@ doc_id and text are ignored (``dedup_lines``) or passed through (``drop_lines``)
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, new_path, stored, table, text_of
+from .common import WS, ascii_lower, hot_join, new_path, stored, table, text_of
 
 #: Stands for a null doc_id while ids are compared.
 NO_ID = -(2**63)
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n_docs, keeper) in the shared folder."""
+    """Levelled sorted runs of (h1, h2, keeper, n_docs, n_rows): bucketed tables in the shared folder. A row without a keeper adds its counts to the
+    entry of an earlier run."""
 
-    KEYS = ("h1", "h2")
+    KEYS = ["h1", "h2"]
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
-
-    def rows(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(*paths) if paths else None
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as a batch's partitions
 
     def _write(self, rows: DataFrame) -> str:
-        path = new_path(self.spark, "run")
-        rows.sortWithinPartitions(*self.KEYS).write.parquet(path)
-        return path
+        name = f"peakloom_run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(self.buckets, *self.KEYS).sortBy(*self.KEYS).option("path", new_path(self.spark, "run")).saveAsTable(name)
+        return name
+
+    def _all(self) -> list[str]:
+        """Oldest first."""
+        return [run for level in reversed(self.levels) for run in level]
+
+    def marked(self, batch: DataFrame) -> DataFrame:
+        """batch (h1, h2, top, n_docs, n_rows) with keeper: top where no run has the hash entered."""
+        held = F.lit(False)
+        for k, run in enumerate(self._all()):
+            entries = self.spark.table(run).where(F.col("keeper").isNotNull()).select(*self.KEYS, F.lit(True).alias(f"held{k}"))
+            batch = batch.join(entries.hint("merge"), self.KEYS, "left")
+            held = held | F.col(f"held{k}").isNotNull()
+        return batch.select(*self.KEYS, F.when(~held, F.col("top")).alias("keeper"), "n_docs", "n_rows")
+
+    def merged(self, older: str, newer: str) -> DataFrame:
+        """Both runs in one. At most one has an entry for a hash."""
+        a = self.spark.table(older).withColumnsRenamed({c: f"older_{c}" for c in ("keeper", "n_docs", "n_rows")})
+        rows = a.join(self.spark.table(newer).hint("merge"), self.KEYS, "full")
+        plus = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"older_{c}", F.lit(0))).alias(c)
+        return rows.select(*self.KEYS, F.coalesce("keeper", "older_keeper").alias("keeper"), plus("n_docs"), plus("n_rows"))
+
+    def _compact(self, runs: list[str]) -> str:
+        """One run of several, the newest two first."""
+        runs = list(runs)
+        while len(runs) > 1:
+            newer, older = runs.pop(), runs.pop()
+            runs.append(self._write(self.merged(older, newer)))
+            self._forget(older, newer)
+        return runs[0]
+
+    def _forget(self, *runs: str) -> None:
+        """Out of the catalog; the files are left to whoever owns the shared folder."""
+        for run in runs:
+            self.spark.sql(f"DROP TABLE {run}")
+
+    @contextmanager
+    def _sorted_scans(self) -> Iterator[None]:
+        """Scans of buckets of one file keep the order the file has."""
+        key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        was = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, was)
 
     def add(self, batch: DataFrame) -> None:
-        """batch: distinct (h1, h2, n_docs, keeper) of documents larger than none added before."""
-        known = self.rows()
-        if known is not None:
-            held = known.where(F.col("keeper").isNotNull()).select(*self.KEYS, F.lit(True).alias("held"))
-            batch = batch.join(held, list(self.KEYS), "left").select(
-                *self.KEYS, "n_docs", F.when(F.col("held").isNull(), F.col("keeper")).alias("keeper")
-            )
-        self.levels[0].append(self._write(batch))
-        for k, level in enumerate(self.levels):
-            if len(level) >= self.fanout:
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(self._write(self._merged(level)))
-                level.clear()
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*paths).groupBy(*self.KEYS).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-
-    def totals(self) -> DataFrame:
-        """One row per line hash."""
-        return self._merged([p for level in self.levels for p in level])
+        """batch: (h1, h2, top, n_docs, n_rows), unique by hash, of documents smaller than all added before."""
+        with self._sorted_scans():
+            self.levels[0].append(self._write(self.marked(batch)))
+            for k, level in enumerate(self.levels):
+                if len(level) >= self.fanout:
+                    if k + 1 == len(self.levels):
+                        self.levels.append([])
+                    self.levels[k + 1].append(self._compact(level))
+                    level.clear()
+
+    @contextmanager
+    def entries(self) -> Iterator[DataFrame]:
+        """All entries, in one run."""
+        with self._sorted_scans():
+            self.levels = [[self._compact(self._all())]]
+            yield self.spark.table(self.levels[0][0])
+        self._forget(self.levels[0][0])
 
 
 def line_key(line: Column) -> Column:
@@ -82,7 +127,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, b
     """(id, th, drop array<int>) for each document, by id and text hash, that loses lines."""
     spark = docs.sparkSession
     lines = stored(_lines(docs, min_chars), "lines")
-    cuts = sorted({float(x) for x in lines.stat.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)}, reverse=True)
+    cuts = sorted({int(x) for x in lines.stat.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)}, reverse=True)
     runs = LineRuns(spark, fanout)
     upper = None
     for low in [*cuts, None]:
@@ -92,9 +137,11 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, b
         if upper is not None:
             part = part.where(F.col("id") < upper)
         upper = low
-        runs.add(part.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper")))
-    common = runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
-    return lines.join(common, ["h1", "h2"]).where(F.col("id") != F.col("keeper")).groupBy("id", "th").agg(F.collect_set("pos").alias("drop"))
+        each = part.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("n_rows"))
+        runs.add(each.groupBy("h1", "h2").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_rows").alias("n_rows")))
+    with runs.entries() as entries:
+        met = hot_join(lines, entries, LineRuns.KEYS, "n_rows", lines.count(), F.col("n_docs") >= min_docs)
+        return stored(met.where(F.col("id") != F.col("keeper")).groupBy("id", "th").agg(F.collect_set("pos").alias("drop")), "drops")
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
