@@ -2,21 +2,22 @@
 
 Spans of three base kinds (assignments, access keys, hex runs) are always reported. The method then decides on candidates
 of a further kind, ``generic`` (runs of 32 or more of ``[A-Za-z0-9+/_-]`` with a digit, a capital and a small letter that overlap no base
-span): each candidate's hash is counted over distinct repositories (documents) and owners (sources). A value that
-many owners have is a copied example and is not reported; one that at most ``max_owners`` owners have looks live and is added. Base spans
+span): each candidate's hash is counted over distinct repositories (documents) and owners (sources). A value that more than ``max_owners`` owners or more than
+``max_repositories`` repositories have is a copied example and is not reported; any other belongs to its owner, looks live and is added. Base spans
 are labelled by the same counts (``n_live``, ``n_example``).
 
-Positions are code points, found by splitting a text at a pattern and adding up the lengths of pieces and matches.
+Positions are code points: a text is split at a pattern, and the lengths of pieces and matches are added up by a window over the text's
+matches, in time that grows with their number. Values that a large share of all spans have, boundedly many, meet their counts by broadcast.
 Defined cases: a null or empty text has no spans; each row is scanned, repeated ones too; a null source is an owner of its own;
 an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import hot_join, stored, table, text_of
 
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -25,65 +26,78 @@ GENERIC = r"[A-Za-z0-9+/_-]{32,}"
 KINDS = ("assign", "access", "hex", "generic")
 
 
-#: Of a span; rank is the kind's place in KINDS.
-SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
+#: Patterns by rank, the kind's place in KINDS.
+PATTERNS = (ASSIGN, ACCESS, HEX, GENERIC)
+BASE = len(KINDS) - 1
 
 
-def _matches(text: Column, kind: str, pattern: str, wanted) -> Column:
-    """array<SPAN> of the wanted matches."""
+def _wanted(rank: Column, value: Column) -> Column:
+    """Whether a match is a span of its kind."""
+    mixed = F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Z]")) & F.rlike(value, F.lit("[a-z]"))
+    return F.when(rank == 0, F.length(F.regexp_extract(value, ASSIGN, 2)) >= 6).when(rank == 1, F.length(value) >= 20).when(rank == 2, F.length(value) >= 24).otherwise(mixed)
+
+
+def _matches(text: Column, rank: int) -> Column:
+    """array<struct<rank, k, gap, value>>: the k-th match, and the code points between it and the one before."""
+    pattern = PATTERNS[rank]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("value")), 1, F.size(found))
+    each = F.transform(pairs, lambda x, k: F.struct(F.lit(rank).alias("rank"), k.alias("k"), x["gap"].alias("gap"), x["value"].alias("value")))
+    return F.when(F.rlike(text, F.lit(pattern)), each).otherwise(F.array().cast("array<struct<rank:int,k:int,gap:int,value:string>>"))
 
-    def placed(spans: Column, x: Column) -> Column:
-        start = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)) + x["gap"]
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(x["value"])).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.concat(spans, F.array(one))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    spans = F.filter(F.aggregate(pairs, none, placed), lambda m: wanted(m["value"]))
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(none)
+def scan(docs: DataFrame) -> DataFrame:
+    """row, doc_id, owner, found (the matches of all kinds) of each document."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", docs["source"].cast("string").alias("owner"), text_of(docs).alias("text"))
+    return rows.select("row", "doc_id", "owner", F.concat(*[_matches(F.col("text"), rank) for rank in range(len(KINDS))]).alias("found"))
 
 
-def _rendered(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+def spans(scanned: DataFrame) -> DataFrame:
+    """row, doc_id, owner, start, rank, end, value of each span. Generic ones that a base span overlaps go: of the base spans that begin before such a span's end, the
+    greatest end is compared with its start."""
+    each = scanned.select("row", "doc_id", "owner", F.explode("found").alias("m")).select("row", "doc_id", "owner", "m.*")
+    placed = Window.partitionBy("row", "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(placed).cast("int")).withColumn("start", F.col("end") - F.length("value"))
+    each = each.where(_wanted(F.col("rank"), F.col("value")))
+    base = F.col("rank") < BASE
+    sweep = Window.partitionBy("row").orderBy(F.when(base, F.col("start")).otherwise(F.col("end")), base).rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("reach", F.coalesce(F.max(F.when(base, F.col("end"))).over(sweep), F.lit(0)))
+    return each.where(base | (F.col("reach") <= F.col("start"))).select("row", "doc_id", "owner", "start", "rank", "end", "value")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, owner, base array<SPAN>, more array<SPAN> (the generic candidates) of each document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", docs["source"].cast("string").alias("owner"), text_of(docs).alias("text"))
-    base = F.array_sort(F.concat(
-        _matches(F.col("text"), "assign", ASSIGN, lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 6),
-        _matches(F.col("text"), "access", ACCESS, lambda v: F.length(v) >= 20),
-        _matches(F.col("text"), "hex", HEX, lambda v: F.length(v) >= 24),
-    ))
-    mixed = lambda v: F.rlike(v, F.lit("[0-9]")) & F.rlike(v, F.lit("[A-Z]")) & F.rlike(v, F.lit("[a-z]"))
-    rows = rows.select("row", "doc_id", "owner", base.alias("base"), _matches(F.col("text"), "generic", GENERIC, mixed).alias("more"))
-    apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    return rows.withColumn("more", F.filter("more", apart))
+def _rendered(spans: Column) -> Column:
+    kinds = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"])), ",")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """candidates (h1, h2, owner, repository): owners and repositories of each value, counted apart."""
-    pairs = candidates.select("h1", "h2", "owner", "repository").distinct()
-    per_owner = pairs.groupBy("h1", "h2", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return per_owner.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    """candidates (h1, h2, owner, repository): owners and repositories of each value, counted apart, and its rows."""
+    pairs = candidates.groupBy("h1", "h2", "owner", "repository").agg(F.count(F.lit(1)).alias("n_rows"))
+    per_owner = pairs.groupBy("h1", "h2", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n_rows").alias("n_rows"))
+    return per_owner.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n_rows").alias("n_rows"))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = 2) -> DataFrame:
+def find_secrets(docs: DataFrame, max_owners: int = 2, max_repositories: int = 10) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example of each document (doc_id, source, text)."""
     scanned = stored(scan(docs), "secrets")
-    some = F.size("base") + F.size("more") > 0
-    each = scanned.where(some).select("row", "owner", F.col("doc_id").cast("string").alias("repository"), F.explode(F.concat("base", "more")).alias("s"))
-    each = each.withColumns({"h1": F.xxhash64("s.value"), "h2": F.xxhash64(F.lit(7), "s.value"), "owner": F.coalesce(F.concat(F.lit("s"), F.col("owner")), F.lit("n")), "repository": F.coalesce("repository", F.lit(""))})
-    judged = each.join(ownership(each), ["h1", "h2"]).withColumn("live", F.col("owners") <= max_owners)
+    some = F.size("found") > 0
+    each = spans(scanned.where(some)).withColumns({"h1": F.xxhash64("value"), "h2": F.xxhash64(F.lit(7), "value")}).drop("value")
+    each = stored(each.withColumns({"owner": F.coalesce(F.concat(F.lit("s"), F.col("owner")), F.lit("n")), "repository": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}).drop("doc_id"), "spans")
+    values = stored(ownership(each), "values")
+    judged = hot_join(each, values.withColumnsRenamed({"owners": "n_owners", "repositories": "n_repositories"}), ["h1", "h2"], "n_rows", each.count())
+    judged = judged.withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
+    base, span = F.col("rank") < BASE, F.struct("start", "rank", "end")
+    in_order = lambda kept: F.array_sort(F.collect_list(F.when(kept, span)))
+    counted = lambda kind: F.count_if(F.col("rank") == KINDS.index(kind)).alias(f"n_{kind}")
     judged = judged.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when((F.col("s.kind") != "generic") | F.col("live"), F.col("s")))).alias("all"),
+        counted("assign"), counted("access"), counted("hex"), in_order(base).alias("base"), in_order(base | F.col("live")).alias("all"),
         F.count_if(F.col("live")).alias("n_live"), F.count_if(~F.col("live")).alias("n_example"),
     )
-    out = scanned.where(some).join(judged, "row").unionByName(scanned.where(~some).withColumns({"all": F.col("base"), "n_live": F.lit(0).cast("long"), "n_example": F.lit(0).cast("long")}))
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_rendered(F.col("base")), 256).alias("base_sha256"), _rendered(F.col("all")).alias("spans"), "n_live", "n_example")
+    out = scanned.where(some).select("row", "doc_id").join(judged, "row", "left").drop("row").unionByName(scanned.where(~some).select("doc_id"), allowMissingColumns=True)
+    shown = lambda c: F.coalesce(_rendered(F.col(c)), F.lit(""))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", none("n_assign"), none("n_access"), none("n_hex"), F.sha2(shown("base"), 256).alias("base_sha256"), shown("all").alias("spans"), none("n_live"), none("n_example"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +123,7 @@ UNION ALL {_oracle_spans("hex", 2, HEX, "length(value) >= 24")}),
 g AS (SELECT * FROM ({_oracle_spans("generic", 3, GENERIC, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')")}) x
       WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.start < x."end" AND x.start < b."end")),
 a AS (SELECT s.*, d.source FROM (SELECT * FROM b UNION ALL SELECT * FROM g) s JOIN d USING (doc_id)),
-o AS (SELECT value, count(DISTINCT coalesce('s' || source, 'n')) <= 2 AS live FROM a GROUP BY value),
+o AS (SELECT value, count(DISTINCT coalesce('s' || source, 'n')) <= 2 AND count(DISTINCT (coalesce('s' || source, 'n'), doc_id)) <= 10 AS live FROM a GROUP BY value),
 j AS (SELECT a.*, o.live, kind || ':' || start || ':' || "end" AS said FROM a JOIN o USING (value)),
 r AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         string_agg(said, ',' ORDER BY start, rank) FILTER (kind <> 'generic') AS base, string_agg(said, ',' ORDER BY start, rank) FILTER (kind <> 'generic' OR live) AS spans,

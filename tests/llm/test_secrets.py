@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from peakloom.llm import secrets
+from peakloom.llm import common, secrets
 from tests.llm.data import frame, odd_documents, simple
 
 
@@ -41,3 +41,31 @@ def test_ownership_separates_examples_from_live_values(spark):
 
 def test_empty(spark):
     assert secrets.find_secrets(frame(spark, [])).collect() == []
+
+
+def test_many_repositories_of_one_owner_make_an_example(spark, monkeypatch):
+    copied, own = "Ex4" + "mPl3kEyQ" * 4, "Zx9" + "aB3dE6gH" * 4
+    rows = [(k, f"see {copied} here", "owner") for k in range(11)] + [(20 + k, f"mine {own} x", "owner") for k in range(10)]
+    for hot in (1, 3, 10_000):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = {r.doc_id: r for r in secrets.find_secrets(simple(spark, rows)).collect()}
+        assert all(got[k].spans == "" and (got[k].n_live, got[k].n_example) == (0, 1) for k in range(11))
+        assert all(got[20 + k].spans == "generic:5:40" and (got[20 + k].n_live, got[20 + k].n_example) == (1, 0) for k in range(10))
+
+
+def test_generic_spans_beside_base_spans(spark):
+    key = "Zx9" + "aB3dE6gH" * 4
+    texts = [f"token={key} {key}", f"{key}:token={key}", f"{key}/password=abcdefgh", f"x {'0a' * 14}.{key} {'0a' * 14}Z{key}"]
+    got = {r.doc_id: r for r in secrets.find_secrets(simple(spark, list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute_base(t).split(",")]
+        more = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{32,}", t)]
+        want = [f"generic:{a}:{b}" for a, b in more if not any(c < b and a < d for c, d in base)]
+        assert sorted(want) == sorted(s for s in got[k].spans.split(",") if s.startswith("generic"))
+
+
+def test_a_hundred_thousand_matches_in_a_text(spark):
+    text = "é token=abcdef1 " * 100_000
+    got = secrets.find_secrets(simple(spark, [(1, text), (2, "none")])).collect()
+    (one,) = [r for r in got if r.doc_id == 1]
+    assert one.n_assign == 100_000 and one.base_sha256 == hashlib.sha256(brute_base(text).encode()).hexdigest()
