@@ -1,13 +1,13 @@
 """Media columns: texts stored as 8-bit audio, and audio features.
 
-A payload is written as a mono 8-bit PCM WAV file and read back. Features: polyphase resampling by a rational factor,
+A payload is written as a mono 8-bit PCM WAV file and read back. Features: polyphase resampling by a rational factor (UP / DOWN, UP phases),
 overlapped log-mel filterbanks, and segments by energy with hysteresis (a segment opens above ``high`` and closes below
-``low``, both relative to the clip's energy range). Each clip gives tensors of fixed shape (FRAMES, MELS), pooled over its segments, with time spans;
-``write_tensors`` stores them as fixed-shape Arrow tensors.
+``low``, both relative to the clip's energy range). Each clip gives a tensor of fixed shape (FRAMES, MELS), pooled over its segments, with time spans.
+``tensor_bytes`` packs clips into Arrow streams with a fixed-shape tensor column, ``media_digests`` stores these and derives its rows from what it reads back.
 
 Defined cases: a null text is empty, and an empty text is one unit of 576 bytes 255; a clip without a segment has one that
 spans it all; equal texts give equal values; repeated rows are each returned; an empty table gives an empty result; other
-columns are ignored. Long clips are filtered in stretches, so memory does not grow with their spectra.
+columns are ignored. Samples are resampled and filtered in stretches, so a long clip takes memory for its bytes, its log-mel frames and one stretch.
 """
 
 from __future__ import annotations
@@ -21,16 +21,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 UNIT, RATE = 576, 16_000
-UP, DOWN = 1, 2
+UP, DOWN = 5, 8
 N_FFT, HOP, MELS = 256, 128, 32
 FRAMES = 16
+#: Frames that are worked on at once; rows and bytes of clips that go into one Arrow stream, or a single larger clip.
 STRETCH = 1 << 12
+STREAM_ROWS, STREAM_BYTES = 512, 1 << 22
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -65,20 +68,25 @@ def _taps(up: int, down: int) -> np.ndarray:
     return h.reshape(-1, up).T
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Polyphase: each phase of the output is a short filter over the input, at its own stride."""
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, first: int = 0, stop: int | None = None) -> np.ndarray:
+    """Polyphase: each phase of the output is a short filter over the input, at its own stride. Outputs from first on, before stop; bytes are samples around 128."""
     taps = _taps(up, down)
-    half = (taps.size - 1) // 2
+    half, size = (taps.size - 1) // 2, taps.shape[1]
     n = -(-len(x) * up // down)
-    padded = np.concatenate([np.zeros(taps.shape[1]), x, np.zeros(taps.shape[1])])
-    out = np.empty(n)
-    for k in range(min(up, n)):  # outputs k, k + up, ... share the phase (k * down + half) % up
-        at = np.arange(k, n, up) * down + half
-        phase, first = at[0] % up, at // up
-        views = np.lib.stride_tricks.sliding_window_view(padded, taps.shape[1])
-        for s in range(0, len(first), STRETCH * 16):
-            rows = views[np.minimum(first[s : s + STRETCH * 16] + 1, len(views) - 1)]
-            out[k + s * up : k + (s + len(rows)) * up : up][: len(rows)] = rows @ taps[phase][::-1]
+    stop = n if stop is None else min(stop, n)
+    if first >= stop:
+        return np.empty(0)
+    low, high = (first * down + half) // up + 1 - size, ((stop - 1) * down + half) // up + 1
+    inner = x[max(low, 0) : high]
+    if inner.dtype == np.uint8:
+        inner = (inner.astype(np.float32) - 128) / 128
+    part = np.zeros(high - low, dtype=inner.dtype)
+    part[max(-low, 0) : max(-low, 0) + len(inner)] = inner
+    views = np.lib.stride_tricks.sliding_window_view(part, size)
+    out = np.empty(stop - first, dtype=inner.dtype)
+    for k in range(first, min(first + up, stop)):  # outputs k, k + up, ... share a phase
+        at = k * down + half
+        out[k - first :: up] = views[at // up + 1 - size - low :: down][: len(out[k - first :: up])] @ taps[at % up][::-1].astype(inner.dtype)
     return out
 
 
@@ -103,6 +111,17 @@ def log_mel(x: np.ndarray, rate: int) -> np.ndarray:
     return out
 
 
+def clip_mel(samples: np.ndarray, rate: int) -> np.ndarray:
+    """log_mel of the resampled bytes, stretch by stretch."""
+    n_out = -(-len(samples) * UP // DOWN)
+    n = max(1, 1 + -(-(n_out - N_FFT) // HOP))
+    out = np.empty((n, MELS), dtype=np.float32)
+    for s in range(0, n, STRETCH):
+        rows = min(STRETCH, n - s)
+        out[s : s + rows] = log_mel(resample(samples, UP, DOWN, s * HOP, (s + rows - 1) * HOP + N_FFT), rate)
+    return out
+
+
 def segments(mel: np.ndarray, high: float = 0.6, low: float = 0.4) -> list[tuple[int, int]]:
     """[first, last) frames of high energy."""
     energy = mel.mean(axis=1)
@@ -120,9 +139,8 @@ def segments(mel: np.ndarray, high: float = 0.6, low: float = 0.4) -> list[tuple
 
 def features(samples: bytes, rate: int = RATE) -> tuple[list[tuple[float, float]], np.ndarray]:
     """Time spans of the segments in seconds, and the clip's tensor (FRAMES, MELS): the voiced frames, pooled evenly."""
-    x = resample((np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - 128) / 128)
     new_rate = rate * UP // DOWN
-    mel = log_mel(x, new_rate)
+    mel = clip_mel(np.frombuffer(samples, dtype=np.uint8), new_rate)
     spans = segments(mel)
     voiced = np.concatenate([mel[a:b] for a, b in spans])
     cuts = np.linspace(0, len(voiced), FRAMES + 1).astype(int)
@@ -131,66 +149,96 @@ def features(samples: bytes, rate: int = RATE) -> tuple[list[tuple[float, float]
     return [(a * at, b * at) for a, b in spans], tensor.astype(np.float32)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], make, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [make(i, t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """[first, stop) of rows that go together."""
+    first, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and (held + size > STREAM_BYTES or k - first >= STREAM_ROWS):
+            yield first, k
+            first, held = k, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def _clip(doc_id, text):
     data, n = payload(text)
     media = to_wav(data)
     spans, tensor = features(from_wav(media))
-    return doc_id, media, [s for s, _ in spans], [e for _, e in spans], tensor.ravel().tolist()
+    return doc_id, n, media, [s for s, _ in spans], [e for _, e in spans], tensor.ravel()
 
 
 def clips(docs: DataFrame) -> DataFrame:
-    """doc_id, media (WAV), span starts and ends in seconds, and the tensor's FRAMES x MELS values of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary()), ("starts", pa.list_(pa.float64())), ("ends", pa.list_(pa.float64())), ("tensor", pa.list_(pa.float32()))])
+    """doc_id, n_bytes (of the text), media (WAV), span starts and ends in seconds, and the tensor's FRAMES x MELS values of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("starts", pa.list_(pa.float64())), ("ends", pa.list_(pa.float64())), ("tensor", pa.list_(pa.float32()))])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, stop in _slices(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+                rows = [_clip(i, t) for i, t in zip(b.column(0)[first:stop].to_pylist(), b.column(1)[first:stop].to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _rows(it, _clip, schema), "doc_id long, media binary, starts array<double>, ends array<double>, tensor array<float>")
+    return rows.mapInArrow(made, "doc_id long, n_bytes long, media binary, starts array<double>, ends array<double>, tensor array<float>")
 
 
 def as_tensors(batch: pa.RecordBatch) -> pa.Table:
-    """doc_id, starts, ends and a fixed-shape tensor column (FRAMES, MELS) from a batch of clips()."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
-    values = pa.array(np.asarray(batch.column("tensor").flatten(), dtype=np.float32))
+    """A batch of clips() with a fixed-shape tensor column (FRAMES, MELS) of 16-bit floats."""
+    kind = pa.fixed_shape_tensor(pa.float16(), [FRAMES, MELS])
+    values = pa.array(np.asarray(batch.column("tensor").flatten(), dtype=np.float32).astype(np.float16))
     tensor = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, FRAMES * MELS))
-    return pa.table({"doc_id": batch.column("doc_id"), "starts": batch.column("starts"), "ends": batch.column("ends"), "tensor": tensor})
+    return pa.table({**{c: batch.column(c) for c in ("doc_id", "n_bytes", "media", "starts", "ends")}, "tensor": tensor})
 
 
 def tensor_bytes(clip_rows: DataFrame) -> DataFrame:
-    """Arrow IPC streams of fixed-shape tensors, one row (doc_ids, stream) for each batch of clips()."""
+    """Compressed Arrow IPC streams of clips with fixed-shape tensors, one row (doc_ids, stream) for some STREAM_ROWS clips."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for b in batches:
-            t, out = as_tensors(b), io.BytesIO()
-            with pa.ipc.new_stream(out, t.schema) as w:
-                w.write_table(t)
-            yield pa.RecordBatch.from_arrays([pa.array([b.column("doc_id").to_pylist()]), pa.array([out.getvalue()])], ["doc_ids", "stream"])
+            for first, stop in _slices(pc.binary_length(b.column("media")).to_pylist()):
+                t, out = as_tensors(b.slice(first, stop - first)), io.BytesIO()
+                with pa.ipc.new_stream(out, t.schema, options=options) as w:
+                    w.write_table(t)
+                yield pa.RecordBatch.from_arrays([pa.array([t.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([out.getvalue()], pa.binary())], ["doc_ids", "stream"])
 
-    return clip_rows.select("doc_id", "starts", "ends", "tensor").mapInArrow(packed, "doc_ids array<long>, stream binary")
+    return clip_rows.select("doc_id", "n_bytes", "media", "starts", "ends", "tensor").mapInArrow(packed, "doc_ids array<long>, stream binary")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _digest(doc_id, text):
-    data, n = payload(text)
-    media = to_wav(data)
+def feature(starts: list[float], ends: list[float], tensor: np.ndarray) -> str:
+    """Number of spans; outer ends; CRC-32 of all spans in milliseconds; mean of the tensor in each band, rounded far above the float error."""
+    each = ",".join(f"{a:.3f}-{b:.3f}" for a, b in zip(starts, ends))
+    means = np.round(tensor.astype(np.float64).mean(axis=0), 1) + 0.0
+    return ";".join([f"{len(starts)}", f"{starts[0]:.3f}-{ends[-1]:.3f}", f"{zlib.crc32(each.encode()):08x}", ",".join(f"{v:.1f}" for v in means)])
+
+
+def _digest(doc_id, n_bytes, media, starts, ends, tensor) -> tuple:
     back = from_wav(media)
-    spans, tensor = features(back)
-    # Rounded far above the float error, so that the digest is the same on each machine.
-    rough = np.round(tensor.mean(axis=0), 1) + 0.0
-    feature = ";".join([f"{len(spans)}", f"{spans[0][0]:.3f}-{spans[-1][1]:.3f}", ",".join(f"{v:.1f}" for v in rough)])
-    return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return doc_id, n_bytes, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(starts, ends, tensor)
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
+def digests(streams: DataFrame) -> DataFrame:
+    """DIGEST of each clip in streams (stream)."""
     types = {"long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in DIGEST.split(", ")])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _rows(it, _digest, schema), DIGEST)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for stream in b.column(0):
+                t = pa.ipc.open_stream(stream.as_buffer()).read_all().combine_chunks()
+                tensors = t.column("tensor").chunk(0).to_numpy_ndarray()
+                rows = [_digest(*row, x) for *row, x in zip(*(t.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "starts", "ends")), tensors)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return streams.select("stream").mapInArrow(read, DIGEST)
+
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """DIGEST of each document, from its stored clip."""
+    return digests(stored(tensor_bytes(clips(docs)), "clips"))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
