@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Rules are cheap tests on a document's statistics. On a bounded sample (``sample_rows`` documents, drawn by hash)
-each rule's cost (seconds a document) and selectivity (share it rejects) are measured, and the rules are ordered by rejection per cost. A document then
-meets the rules in that order and is judged by no rule after the first that rejects it. All rules are rejections, so
-the order changes only the cost, never the verdict.
+Rules are tests on a document's statistics, each computed when a rule first asks for it. On a bounded sample (``sample_rows`` documents, drawn by hash)
+each rule's cost (CPU seconds a document, its statistics included) and selectivity (share it rejects) are measured by the executors, and the rules are ordered by
+rejection per cost. A document then meets the rules in that order and is judged by no rule after the first that rejects it. All rules are rejections, so
+the order changes only the cost, never the verdict. The base rule takes part in ``keep_good``; ``judge`` returns all its statistics, so there it comes first.
 
 Defined cases: a null or empty text has no words and fails the base rule; repeated rows are judged each; an empty table gives an
 empty result; other columns are ignored (``judge``) or passed through (``keep_good``); names beginning with ``__pl_`` are reserved.
@@ -15,6 +15,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,18 +60,38 @@ class Document:
 
     def __init__(self, text: str | None):
         self.text = text or ""
-        self.words = words_of(self.text)
-        self.n_words = len(self.words)
-        self.word_chars = sum(map(len, self.words))
-        self.n_symbols = len(_SYMBOLS.findall(self.text))
-        lines = [x for x in self.text.split("\n") if x.strip(" \t\n\r\x0b\f")]
-        self.n_lines = len(lines)
-        self.n_dup_lines = len(lines) - len(set(lines))
-        self.n_repeat_words = repeated_words(self.words)
+
+    @cached_property
+    def words(self) -> list[str]:
+        return words_of(self.text)
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return sum(map(len, self.words))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(_SYMBOLS.findall(self.text))
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return [x for x in self.text.split("\n") if x.strip(" \t\n\r\x0b\f")]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated_words(self.words)
 
     @property
     def base_failed(self) -> bool:
-        return self.n_words < 20 or 100 * self.n_repeat_words > 30 * self.n_words
+        return _few_words(self) or _repeats(self)
 
 
 @dataclass(frozen=True)
@@ -79,6 +100,14 @@ class Rule:
     rejects: Callable[[Document], bool]
 
 
+def _few_words(d: Document) -> bool:
+    return d.n_words < 20
+
+
+def _repeats(d: Document) -> bool:
+    return 100 * d.n_repeat_words > 30 * d.n_words
+
+
 def _shouted(d: Document) -> bool:
     return 2 * sum(map(str.isupper, d.text)) > d.word_chars
 
@@ -87,10 +116,12 @@ def _few_letters(d: Document) -> bool:
     return 2 * sum(map(str.isalpha, d.text)) < d.word_chars
 
 
+#: The two halves of the base rule.
+BASE = (Rule("few_words", _few_words), Rule("repeats", _repeats))
 RULES = (
     Rule("word_length", lambda d: d.word_chars > 25 * d.n_words or d.word_chars < 2 * d.n_words),
     Rule("symbols", lambda d: 10 * d.n_symbols > d.n_words),
-    Rule("duplicate_lines", lambda d: 10 * d.n_dup_lines > 5 * d.n_lines),
+    Rule("duplicate_lines", lambda d: 10 * d.n_dup_lines > 5 * len(d.lines)),
     Rule("shouted", _shouted),
     Rule("few_letters", _few_letters),
     Rule("stutter", lambda d: 10 * sum(map(str.__eq__, d.words, d.words[1:])) > 3 * d.n_words),
@@ -98,27 +129,47 @@ RULES = (
 )
 
 
-def order_rules(sample: list[Document], rules=RULES) -> list[Rule]:
-    """By rejection per cost on the sample; equal ones, and an empty sample, keep their order."""
-    gain = {}
+def measured(texts: list[str], rules=RULES) -> list[tuple[int, float]]:
+    """Of each rule: rejected texts and CPU seconds. Each rule meets fresh documents, so it pays for the statistics that it asks for."""
+    out = []
     for r in rules:
-        began = time.perf_counter()
-        rejected = sum(r.rejects(d) for d in sample)
-        gain[r.name] = rejected / max(time.perf_counter() - began, 1e-9)
+        docs = list(map(Document, texts))
+        began = time.thread_time()
+        rejected = sum(map(r.rejects, docs))
+        out.append((rejected, time.thread_time() - began))
+    return out
+
+
+def by_gain(rules, figures: list[tuple[int, float]]) -> list[Rule]:
+    """By rejection per cost; equal ones keep their order."""
+    gain = {r.name: rejected / max(seconds, 1e-9) for r, (rejected, seconds) in zip(rules, figures)}
     return sorted(rules, key=lambda r: -gain[r.name])
 
 
+def order_rules(sample: list[Document], rules=RULES) -> list[Rule]:
+    return by_gain(rules, measured([d.text for d in sample], rules))
+
+
 def first_rejection(d: Document, cascade: list[Rule]) -> str | None:
     return next((r.name for r in cascade if r.rejects(d)), None)
 
 
-def sample_documents(docs: DataFrame, sample_rows: int = 1000) -> list[Document]:
-    """The texts with the smallest hashes: bounded, and the same on each run. Hashes alone are ordered; texts are fetched below the last of them."""
+def ordered_on_sample(docs: DataFrame, rules=RULES, sample_rows: int = 1000) -> list[Rule]:
+    """The cascade by figures of the texts with the smallest hashes: a bounded sample, the same on each run. Hashes alone are ordered; texts below the last of them are
+    measured where they are, and only a figure for each rule and batch is sent on."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
     last = texts.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     if last is None:
-        return []
-    return [Document(r.text) for r in texts.where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect()]
+        return list(rules)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rejected, seconds = zip(*measured(b.column(0).to_pylist(), rules))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(rejected, pa.int64()), pa.array(seconds, pa.float64())], ["rule", "rejected", "seconds"])
+
+    sample = texts.where(F.col("h") <= last).dropDuplicates(["h"]).select("text")
+    figures = sample.mapInArrow(each, "rule int, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected"), F.sum("seconds")).collect()  # a row for each rule
+    return by_gain(rules, [tuple(r[1:]) for r in sorted(figures)])
 
 
 JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
@@ -132,7 +183,7 @@ def _judged(text: str | None, cascade: list[Rule]) -> tuple:
 
 def judge(docs: DataFrame, rules=RULES, sample_rows: int = 1000) -> DataFrame:
     """doc_id and JUDGED for each document (doc_id, text)."""
-    cascade = order_rules(sample_documents(docs, sample_rows), rules)
+    cascade = ordered_on_sample(docs, rules, sample_rows)
     names = ["doc_id", *[c.split()[0] for c in JUDGED.split(", ")]]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +199,11 @@ def judge(docs: DataFrame, rules=RULES, sample_rows: int = 1000) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules=RULES, sample_rows: int = 1000) -> DataFrame:
     """docs that no rule rejects."""
-    cascade = order_rules(sample_documents(docs, sample_rows), rules)
+    cascade = ordered_on_sample(docs, (*BASE, *rules), sample_rows)
     at = docs.columns.index("text")
 
     def good(text: str | None) -> bool:
-        d = Document(text)
-        return not d.base_failed and first_rejection(d, cascade) is None
+        return first_rejection(Document(text), cascade) is None
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

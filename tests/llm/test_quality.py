@@ -57,3 +57,21 @@ def test_filter(spark):
 
 def test_empty(spark):
     assert quality.judge(frame(spark, [])).collect() == []
+
+
+def test_statistics_are_computed_when_a_rule_asks(monkeypatch):
+    def refuse(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(quality, "repeated_words", refuse)
+    short = quality.Document("x y")
+    assert quality.first_rejection(short, list(quality.BASE)) == "few_words" and "n_symbols" not in vars(short)
+
+
+def test_cascade_of_a_table(spark):
+    rules = (*quality.BASE, quality.Rule("never", lambda d: False), quality.Rule("slow", lambda d: sum(range(30_000)) >= 0), quality.Rule("fast", lambda d: True))
+    names = [r.name for r in quality.ordered_on_sample(frame(spark), rules, sample_rows=10)]
+    assert sorted(names) == sorted(r.name for r in rules) and names.index("fast") < names.index("slow") < names.index("never")
+    assert quality.ordered_on_sample(frame(spark, []), rules) == list(rules)
+    verdicts = [{str(r) for r in quality.keep_good(frame(spark), some).collect()} for some in (quality.RULES, quality.RULES[::-1])]
+    assert verdicts[0] == verdicts[1]
