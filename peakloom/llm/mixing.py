@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table, text_of
+from .common import WORD, WS, stored, table, text_of
 
 BITS, LEVELS = 12, 5
 
@@ -95,8 +95,10 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     full = F.floor(F.col("__pl_taken") / F.col("__pl_size")).cast("int")
     part = F.col("__pl_taken") - full * F.col("__pl_size")
     shares = F.concat(F.array_repeat(F.lit(0).cast("long"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    words = F.split(F.btrim(F.col("text"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
-    cut = F.array_join(F.slice(words, 1, F.col("__pl_part").cast("int")), " ")
+    # What follows the last word taken is cut off; the text before it stays as it is.
+    words = F.split(F.ltrim("text", F.lit(WS)), r"[\x20\x09-\x0D]+", F.col("__pl_part").cast("int") + 1)
+    rest = F.coalesce(F.get(words, F.col("__pl_part").cast("int")), F.lit(""))
+    cut = F.rtrim(F.substring("text", F.lit(1), F.length("text") - F.length(rest)), F.lit(WS))
     out = joined.withColumn("__pl_part", F.explode(shares)).withColumn("text", F.when(F.col("__pl_part") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__pl_part") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

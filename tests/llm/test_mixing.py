@@ -67,3 +67,12 @@ def test_reruns_agree(spark):
 def test_empty(spark):
     assert mixing.mix_sources(frame(spark, [])).collect() == []
     assert [r.taken for r in mixing.mix_sources(simple(spark, [(1, ""), (2, None)])).collect()] == [0, 0]
+
+
+def test_a_cut_text_keeps_its_white_space(spark):
+    text = " one\ttwo\n\nthree  four\x0bfive six \n"
+    for share in (0.2, 0.4, 0.7, 0.9):
+        (row,) = mixing.apply_mix(simple(spark, [(1, text)]), share=share).collect()
+        k = int(6 * share)
+        words = text.encode().split()[:k]
+        assert text.startswith(row.text) and row.text.encode().split() == words and row.text.endswith(words[-1].decode())
