@@ -6,8 +6,9 @@ so some v is orthogonal to all of them: its mask leaves them out, and in its tab
 tables miss no pair, and every candidate is checked.
 
 Documents with one fingerprint are one node from the start. Tables are swept in key order, in Arrow batches; of the links
-within a bucket only a spanning forest leaves the task. A bucket with more than ``block`` fingerprints is cut into blocks
-which are compared pair by pair in tasks of their own, so no task holds more than two blocks. Components come from
+within a bucket only a spanning forest leaves the task. A bucket with more than ``block`` fingerprints is split again: its mask's open bits are dealt into r + 1
+parts, and fingerprints within r bits agree on one of them, so the buckets of the mask with each part added miss no pair. What is still larger
+is cut into blocks which are compared pair by pair in tasks of their own, so no task holds more than two blocks. Components come from
 large-star/small-star rounds, each written to the shared folder.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; fewer words than a
@@ -58,6 +59,13 @@ def masks(radius: int, seed: int = 5) -> list[int]:
     return [m - 2**64 if m >= 2**63 else m for m in out]
 
 
+def finer(mask: int, radius: int) -> list[int]:
+    """The mask with each of radius + 1 parts of its open bits added, as signed integers."""
+    still = [i for i in range(BITS) if not mask >> i & 1]
+    out = [mask | sum(1 << i for i in still[j :: radius + 1]) for j in range(radius + 1)]
+    return [(m & (2**64 - 1)) - (2**64 if m >> 63 & 1 else 0) for m in out]
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], dtype=np.uint64).view(np.int64)
@@ -144,20 +152,35 @@ def _sweep(batches: Iterator[pa.RecordBatch], radius: int, block: int) -> Iterat
         yield batch(_links(carry, radius)) if large is None else blocked(carry, part)
 
 
-def links(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
-    """fps: distinct (fp). Links (a, b), a > b, that connect all fingerprints within radius of each other."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(radius))]))
-    keyed = fps.select("fp", each.alias("t")).select("t.mask", "t.key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+def _swept(keyed: DataFrame, radius: int, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """keyed: (mask, key, fp). Links (a, b) within blocks, and the members (mask, key, fp, part) of buckets of several blocks, if there are any."""
+    keyed = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
     swept = stored(keyed.mapInArrow(lambda it: _sweep(it, radius, block), SWEPT), "buckets")
     inner = swept.where(F.col("b").isNotNull()).select("a", "b")
+    if swept.where("part > 0").isEmpty():
+        return inner, None
     members = swept.where(F.col("part").isNotNull()).select("mask", "key", F.col("a").alias("fp"), "part")
-    parts = members.groupBy("mask", "key").agg(F.max("part").alias("top")).where("top > 0")
-    pairs = members.join(parts, ["mask", "key"]).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top")))).where("q <> part")
-    pairs = pairs.select("mask", "key", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "fp")
-    across = pairs.groupBy("mask", "key", "lo", "hi").applyInArrow(
-        lambda t: pa.Table.from_pylist([{"a": a, "b": b} for a, b in forest(t.column("fp").to_numpy(), radius)], pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long"
-    )
-    return inner.unionByName(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return inner, members.join(members.groupBy("mask", "key").agg(F.max("part").alias("top")).where("top > 0"), ["mask", "key"])
+
+
+def links(fps: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
+    """fps: distinct (fp). Links (a, b), a > b, that connect all fingerprints within radius of each other."""
+    first = masks(radius)
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(first)]))
+    found, members = _swept(fps.select("fp", each.alias("t")).select("t.mask", "t.key", "fp"), radius, block)
+    if members is not None:
+        second = F.array(*[F.array(*[F.lit(m) for m in finer(m, radius)]) for m in first])
+        again = members.select("mask", "fp", F.posexplode(F.get(second, F.col("mask").cast("int"))).alias("j", "m"))
+        more, members = _swept(again.select((F.col("mask") * (radius + 1) + F.col("j")).alias("mask"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp"), radius, block)
+        found = found.unionByName(more)
+    if members is not None:
+        pairs = members.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top")))).where("q <> part")
+        pairs = pairs.select("mask", "key", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "fp")
+        across = pairs.groupBy("mask", "key", "lo", "hi").applyInArrow(
+            lambda t: pa.Table.from_pylist([{"a": a, "b": b} for a, b in forest(t.column("fp").to_numpy(), radius)], pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long"
+        )
+        found = found.unionByName(across)
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

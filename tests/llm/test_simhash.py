@@ -100,3 +100,14 @@ def test_one_of_each_keeps_what_is_nobodys_duplicate(spark):
     rows = [(5, a), (5, b), (3, a + " end"), (None, c), (None, d), (None, c)]
     kept = simhash.one_of_each(simple(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", a + " end"), ("5", b), ("None", c), ("None", d)])
+
+
+def test_finer_masks_miss_no_pair_of_a_bucket():
+    draw = random.Random(3)
+    for m in simhash.masks(4):
+        still = [b for b in range(64) if not (m % 2**64) >> b & 1]
+        some = simhash.finer(m, 4)
+        assert len(some) == 5 and all(x & m == m for x in some)
+        for _ in range(200):
+            flips = sum(1 << b for b in draw.sample(still, 4))
+            assert any((x % 2**64) & flips == 0 for x in some)
