@@ -85,77 +85,73 @@ def with_dependencies(alternatives: DataFrame, usage: DataFrame, hard_prune: boo
     return kept.select(*lost.columns).unionByName(lost)
 
 
+def near_steps(n_blocks: int) -> dict[tuple[int, ...], tuple[int, ...]]:
+    """Each step of one or two changes, with its canonical form."""
+    unit = lambda i: tuple(int(i == j) for j in range(n_blocks))
+    ones = [u for i in range(n_blocks) for u in (unit(i), tuple(-x for x in unit(i)))]
+    both = {tuple(x + y for x, y in zip(a, b)) for a in ones for b in ones}
+    steps = {*ones, *both} - {(0,) * n_blocks}
+    return {v: max(v, tuple(-x for x in v)) for v in steps}
+
+
 class Annealer:
     """One sample's choice of an alternative for each peak.
 
-    Score: squared frequencies of the steps between the chosen compositions + ERROR_WEIGHT x quality + weight x dependency score.
+    Score: squared frequencies of the steps between the chosen compositions + ERROR_WEIGHT x quality + weight x dependency score. Steps join neighbouring
+    alternatives, which are linked once; what a peak's choice adds to the score then takes its neighbours alone.
     """
 
     def __init__(self, compositions: list[np.ndarray], errors: list[np.ndarray], extra: list[np.ndarray], tolerance: float):
-        self.first = np.cumsum([0] + [len(c) for c in compositions])
-        every = np.concatenate(compositions)
-        self.own = np.concatenate([np.where(e < tolerance, ERROR_WEIGHT * (1 - e / tolerance), -ERROR_WEIGHT) for e in errors]) + np.concatenate(extra)
-        self.every, self.ids = every, {}
-
-    def steps(self, at: int, others: np.ndarray) -> list[int]:
-        """Numbers of the canonical steps from one alternative to others; -1 where it is no step."""
-        d = self.every[others] - self.every[at]
-        size = np.abs(d).sum(axis=1)
-        out = [-1] * len(others)
-        for k in np.flatnonzero((size == 1) | (size == 2)):
-            v = tuple(d[k].tolist())
-            out[k] = self.ids.setdefault(max(v, tuple(-x for x in v)), len(self.ids))
-        return out
-
-    def run(self, seed: int = 42) -> np.ndarray:
-        """The best state met: an index into each peak's alternatives."""
-        n, first = len(self.first) - 1, self.first
-        counts = np.diff(first)
-        movable = np.flatnonzero(counts > 1).tolist()
-        state = np.zeros(n, dtype=int)
-        if not movable:
-            return state
-        cache: dict[int, list[int]] = {}
-        whole = np.arange(first[-1])
-
-        def row(at: int) -> list[int]:
-            if at not in cache:
-                cache[at] = self.steps(at, whole)
-            return cache[at]
-
-        frequency: Counter = Counter()
-        for i in range(n):
-            r = row(first[i])
-            frequency.update(s for j in range(i + 1, n) if (s := r[first[j]]) >= 0)
-        score = sum(f * f for f in frequency.values()) + float(self.own[first[:-1]].sum())
-        rng, best, best_score = random.Random(seed), state.copy(), score
-        steps = min(200_000, max(50_000, 200 * int(first[-1])))
-        heat = max(10.0, 0.05 * score) if score > 0 else 10.0
-        cooling = (0.01 / heat) ** (1 / steps)
-        current = first[:-1].tolist()
-        for _ in range(steps):
-            peak = rng.choice(movable)
-            pick = rng.randint(0, int(counts[peak]) - 2)
-            pick += pick >= state[peak]
-            old, new = current[peak], int(first[peak]) + pick
-            was, now = row(old), row(new)
-            change: dict[int, int] = {}
-            for j, c in enumerate(current):
-                if j != peak and was[c] != now[c]:
-                    if was[c] >= 0:
-                        change[was[c]] = change.get(was[c], 0) - 1
-                    if now[c] >= 0:
-                        change[now[c]] = change.get(now[c], 0) + 1
-            delta = float(self.own[new] - self.own[old]) + sum((frequency[s] + d) ** 2 - frequency[s] ** 2 for s, d in change.items())
-            if delta > 0 or rng.random() < math.exp(delta / heat):
-                state[peak], current[peak] = pick, new
-                for s, d in change.items():
-                    frequency[s] += d
-                score += delta
-                if score > best_score:
-                    best, best_score = state.copy(), score
-            heat *= cooling
-        return best
+        self.first = np.cumsum([0] + [len(c) for c in compositions]).tolist()
+        self.own = np.concatenate([np.where(e < tolerance, ERROR_WEIGHT * (1 - e / tolerance), -ERROR_WEIGHT) + x for e, x in zip(errors, extra)]).tolist()
+        every = [tuple(c) for group in compositions for c in group.tolist()]
+        peak = [p for p, group in enumerate(compositions) for _ in group]
+        at: dict[tuple[int, ...], list[int]] = {}
+        for k, c in enumerate(every):
+            at.setdefault(c, []).append(k)
+        steps = near_steps(len(every[0])) if every else {}
+        # Of each alternative: the alternatives of other peaks one step away, and the step.
+        self.links = [[(other, step) for v, step in steps.items() for other in at.get(tuple(x + y for x, y in zip(c, v)), ()) if peak[other] != peak[k]] for k, c in enumerate(every)]
+
+    def _adds(self, k: int, chosen: list[bool], frequency: Counter) -> float:
+        """What alternative k adds to the score of the other peaks' choices."""
+        met = Counter(step for other, step in self.links[k] if chosen[other])
+        return self.own[k] + sum(n * (2 * frequency[step] + n) for step, n in met.items())
+
+    def _sweep(self, state: list[int], chosen: list[bool], frequency: Counter, heat: float, draw: random.Random) -> bool:
+        """Each peak with a choice, in random order, is chosen anew given all others: by its alternatives' additions, with Gumbel noise of the heat, which
+        draws them by their Boltzmann weights. Whether any choice changed."""
+        peaks = [p for p in range(len(state)) if self.first[p + 1] - self.first[p] > 1]
+        draw.shuffle(peaks)
+        moved = False
+        for p in peaks:
+            was = state[p]
+            chosen[was] = False
+            frequency.subtract(step for other, step in self.links[was] if chosen[other])
+            noise = lambda: -heat * math.log(-math.log(draw.random() or 1e-300)) if heat else 0.0
+            now = max(range(self.first[p], self.first[p + 1]), key=lambda k: (self._adds(k, chosen, frequency) + noise(), k == was, -k))
+            frequency.update(step for other, step in self.links[now] if chosen[other])
+            state[p], chosen[now] = now, True
+            moved |= now != was
+        return moved
+
+    def run(self, seed: int = 42, starts: int = 4, sweeps: int = 30) -> np.ndarray:
+        """The best state of some descents, the first from each peak's first alternative, the others cooled from ever hotter ones: an index into each peak's alternatives."""
+        draw, best, most = random.Random(seed), None, -math.inf
+        for turn in range(starts):
+            state = self.first[:-1]
+            chosen = [False] * len(self.own)
+            for k in state:
+                chosen[k] = True
+            frequency = Counter(step for k in state for other, step in self.links[k] if chosen[other] and other > k)
+            for t in range(sweeps if turn else 0):
+                self._sweep(state, chosen, frequency, 4.0**turn * (1 - t / sweeps) ** 2, draw)
+            while self._sweep(state, chosen, frequency, 0.0, draw):
+                pass
+            score = sum(f * f for f in frequency.values()) + sum(self.own[k] for k in state)
+            if score > most + 1e-9:
+                best, most = list(state), score
+        return np.array(best, dtype=int) - np.array(self.first[:-1], dtype=int)
 
 
 def annealed_consensus(alternatives: DataFrame, tolerance: float, dependency_weight: float = 0.0) -> DataFrame:
