@@ -6,6 +6,7 @@ Peaks meet it by an equi-join on whole masses.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,14 +49,13 @@ def model_lattice(points: DataFrame, masks: DataFrame) -> DataFrame:
     return points.join(masks.select("mask"), F.col("used").bitwiseAND(F.bitwise_not("mask")) == 0).select("mask", "composition", "mass")
 
 
-def _cells(points: DataFrame, low: float, high: float, by: Sequence[str]) -> DataFrame:
-    """Each distinct mass of a group with its neighbours, one row for each whole mass at which it can be nearest."""
+def _cells(points: DataFrame, low: int, high: int, by: Sequence[str]) -> DataFrame:
+    """Each distinct mass of a group with its neighbours, one row for each whole mass from low to high at which it can be nearest."""
     best = points.groupBy(*by, "mass").agg(F.min(F.struct(total(F.col("composition")).alias("copies"), "composition")).alias("p"))
     w = Window.partitionBy(*by).orderBy("mass")
     cells = best.select(*by, "mass", "p", F.lag("mass").over(w).alias("below"), F.lead("mass").over(w).alias("above"), (F.col("p") < F.lag("p").over(w)).alias("beats_below"), (F.col("p") < F.lead("p").over(w)).alias("beats_above"))
-    start = F.coalesce((F.col("below") + F.col("mass")) / 2 - 1e-6, F.lit(low))
-    end = F.coalesce((F.col("above") + F.col("mass")) / 2 + 1e-6, F.lit(high))
-    first, last = F.floor(F.greatest(start, F.lit(low))).cast("long"), F.floor(F.least(end, F.lit(high))).cast("long")
+    middle = lambda other, slack: F.floor((F.col(other) + F.col("mass")) / 2 + slack).cast("long")
+    first, last = F.coalesce(middle("below", -1e-6), F.lit(low)), F.coalesce(middle("above", 1e-6), F.lit(high))
     cells = cells.where(first <= last).withColumn("cell", F.explode(F.sequence(first, last)))
     return cells.select(*by, "cell", F.col("mass").alias("lattice_mass"), "p.composition", "below", "above", "beats_below", "beats_above")
 
@@ -65,13 +65,14 @@ def nearest(peaks: DataFrame, points: DataFrame, common: float, by: Sequence[str
 
     Ties go to fewer copies, then the smaller composition. A peak meets the cells of its whole mass only, and keeps the one whose
     neighbours are farther off: one row for each peak and group, without a shuffle of peaks while the cells are small enough to broadcast.
+    A peak beyond the lattice meets its outermost cell, so the cells depend on the blocks alone.
     """
     y = peaks.withColumn("target", F.col("observed") - common)
-    ends = y.agg(F.min("target"), F.max("target")).first()
-    if ends[0] is None:
-        ends = (0.0, 0.0)
-    cells = _cells(points, ends[0] - 1, ends[1] + 1, list(by))
-    met = y.withColumn("cell", F.floor("target").cast("long")).join(cells, "cell").withColumn("error", F.abs(F.col("target") - F.col("lattice_mass")))
+    ends = points.agg(F.min("mass"), F.max("mass")).first()  # of the lattice
+    low, high = (math.floor(ends[0]) - 1, math.floor(ends[1]) + 1) if ends[0] is not None else (0, 0)
+    cells = _cells(points, low, high, list(by))
+    cell = F.least(F.greatest(F.floor("target").cast("long"), F.lit(low)), F.lit(high))
+    met = y.withColumn("cell", cell).where(F.col("target").isNotNull()).join(cells, "cell").withColumn("error", F.abs(F.col("target") - F.col("lattice_mass")))
     wins = lambda other, ties: F.col(other).isNull() | (F.col("error") < F.abs(F.col("target") - F.col(other))) | ((F.col("error") == F.abs(F.col("target") - F.col(other))) & F.col(ties))
     met = met.where(wins("below", "beats_below") & wins("above", "beats_above"))
     keep = [c for c in peaks.columns if c not in ("sample_id", "peak_id")]

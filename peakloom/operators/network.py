@@ -6,7 +6,6 @@ model of a sample. All networks are worked on at once.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -105,10 +104,19 @@ def kruskal(edges) -> list[tuple[int, int]]:
     return kept
 
 
-def spanning_trees(edges: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """The minimum spanning tree of each network. The order (penalty, gap, i, j) is total, so the tree is unique. A row holds one
-    network's edges, a spectrum's worth."""
+def spanning_trees(edges: DataFrame, by: Sequence[str] = BY, most_edges: int = 100_000) -> DataFrame:
+    """The minimum spanning tree of each network. The order (penalty, gap, i, j) is total, so the tree is unique. Networks of up to most_edges
+    edges are worked on one a row; larger ones by rounds over all their edges, with the same result."""
+    sizes = edges.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > most_edges).drop("n")
+    if large.isEmpty():
+        return _small_trees(edges, by)
+    some = settled(edges)
+    large = settled(large)
+    return _small_trees(some.join(large, list(by), "left_anti"), by).unionByName(_large_trees(some.join(large, list(by), "left_semi"), by))
 
+
+def _small_trees(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     @F.pandas_udf("array<struct<i:bigint,j:bigint>>")
     def tree(i: pd.Series, j: pd.Series) -> pd.Series:
         return pd.Series([[{"i": a, "j": b} for a, b in kruskal(zip(x.tolist(), y.tolist()))] for x, y in zip(i, j)])
@@ -118,6 +126,33 @@ def spanning_trees(edges: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return kept.join(edges, [*by, "i", "j"])
 
 
+def _large_trees(edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each part of a network takes its least edge to another part; parts that are joined so become one, until no edge is left between parts."""
+    by = list(by)
+    edges = settled(edges)
+    order = F.struct("penalty", "gap", "i", "j")
+    between = settled(edges.withColumns({"a": F.col("i"), "b": F.col("j")}))  # a, b: the parts of i and j
+    trees = None
+    while not between.isEmpty():
+        both = between.select(*by, F.col("a").alias("part"), F.col("b").alias("to"), order.alias("e")).unionByName(between.select(*by, F.col("b").alias("part"), F.col("a").alias("to"), order.alias("e")))
+        least = settled(both.groupBy(*by, "part").agg(F.min_by(F.struct("to", "e"), "e").alias("m")).select(*by, "part", "m.to", "m.e.i", "m.e.j"))
+        picked = least.select(*by, "i", "j").distinct()
+        trees = picked if trees is None else trees.unionByName(picked)
+        # Two parts that take the same edge point at each other; the smaller one is where all that lead there end.
+        back = least.select(*by, F.col("part").alias("to"), F.col("to").alias("back"))
+        ends = settled(least.join(back, [*by, "to"], "left").select(*by, "part", F.when((F.col("back") == F.col("part")) & (F.col("part") < F.col("to")), F.col("part")).otherwise(F.col("to")).alias("end")))
+        while True:
+            ahead = ends.select(*by, F.col("part").alias("end"), F.col("end").alias("far"))
+            longer = settled(ends.join(ahead, [*by, "end"], "left").withColumn("far", F.coalesce("far", "end")))
+            ends = longer.select(*by, "part", F.col("far").alias("end"))
+            if longer.where("far <> end").isEmpty():
+                break
+        for side in ("a", "b"):
+            between = between.join(ends.select(*by, F.col("part").alias(side), F.col("end").alias(f"new_{side}")), [*by, side], "left").withColumn(side, F.coalesce(f"new_{side}", side)).drop(f"new_{side}")
+        between = settled(between.where("a <> b"))
+    return edges.limit(0) if trees is None else trees.join(edges, [*by, "i", "j"])
+
+
 def tree_statistics(trees: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """A10."""
     return trees.groupBy(*by).agg(
@@ -138,31 +173,34 @@ def rank_models(statistics: DataFrame, trees: DataFrame, by: Sequence[str] = BY)
 def additive_parents(nodes: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Parent (0: the common root) and delta of each node. A parent has no count above the child's and a smaller sum; of these the one with
     least L1, penalty and mass. The root has no counts and mass 0, and takes nodes without any."""
+    return _parents(nodes, by).fillna(0, ["parent"])
+
+
+def _parents(nodes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """additive_parents() with null for the root, which a peak numbered 0 is not taken for."""
     below = lambda a, b: F.forall(F.zip_with(b("composition"), a("composition"), lambda x, y: x >= y), lambda ok: ok) & (total(a("composition")) < total(b("composition")))
     real = _pairs(nodes, by, below).select(*[F.col(f"b.{k}") for k in by], F.col("b.peak_id").alias("peak_id"), F.col("a.peak_id").alias("parent"), F.col("a.observed").alias("mass"), minus(F.col("b.composition"), F.col("a.composition")).alias("delta"))
-    root = nodes.select(*by, "peak_id", F.lit(0).cast(nodes.schema["peak_id"].dataType).alias("parent"), F.lit(0.0).alias("mass"), F.col("composition").alias("delta"))
-    key = F.struct(l1(F.col("delta")).alias("l1"), transition_penalty(F.col("delta")).alias("penalty"), F.col("mass"), F.col("parent"))
+    root = nodes.select(*by, "peak_id", F.lit(None).cast(nodes.schema["peak_id"].dataType).alias("parent"), F.lit(0.0).alias("mass"), F.col("composition").alias("delta"))
+    key = F.struct(l1(F.col("delta")).alias("l1"), transition_penalty(F.col("delta")).alias("penalty"), F.col("mass"), F.coalesce("parent", F.lit(0)))
     return real.unionByName(root).groupBy(*by, "peak_id").agg(F.min_by(F.struct("parent", "delta"), key).alias("p")).select(*by, "peak_id", "p.parent", "p.delta")
 
 
-def tree_chain(nodes: DataFrame, block_names: Sequence[str], by: Sequence[str] = BY, deepest: int = 64) -> DataFrame:
+def tree_chain(nodes: DataFrame, block_names: Sequence[str], by: Sequence[str] = BY) -> DataFrame:
     """The additive trees in pre-order, children by mass: place, depth, n_children, clean degree, labels, and the clean neighbours outside
-    the tree. Paths to the root double in length each round, so few joins reach any depth up to `deepest`."""
+    the tree. Paths to the root double in length each round until all reach it, so few joins reach any depth."""
     names = strings(block_names)
-    parents = settled(additive_parents(nodes, by).join(nodes, [*by, "peak_id"]))
+    parents = settled(_parents(nodes, by).join(nodes, [*by, "peak_id"]))
     step = F.struct(F.col("observed"), F.col("peak_id"))
     paths = parents.select(*by, "peak_id", F.col("parent").alias("top"), F.array(step).alias("path"))
-    for _ in range(math.ceil(math.log2(deepest))):
+    while not paths.where("top IS NOT NULL").isEmpty():
         over = paths.select(*by, F.col("peak_id").alias("top"), F.col("top").alias("above"), F.col("path").alias("upper"))
-        paths = settled(paths.join(over, [*by, "top"], "left").select(*by, "peak_id", F.coalesce("above", F.lit(0)).alias("top"), F.when(F.col("upper").isNull(), F.col("path")).otherwise(F.concat("upper", "path")).alias("path")))
-        if paths.where("top <> 0").isEmpty():
-            break
+        paths = settled(paths.join(over, [*by, "top"], "left").select(*by, "peak_id", F.col("above").alias("top"), F.when(F.col("upper").isNull(), F.col("path")).otherwise(F.concat("upper", "path")).alias("path")))
     kids = parents.groupBy(*by, F.col("parent").alias("peak_id")).agg(F.count(F.lit(1)).alias("n_children"))
     rows = parents.join(paths.select(*by, "peak_id", "path"), [*by, "peak_id"]).join(kids, [*by, "peak_id"], "left").join(clean_degrees(nodes, by), [*by, "peak_id"]).join(extra_clean(nodes, parents, names, by), [*by, "peak_id"], "left")
     d = F.col("delta")
     return rows.select(
         *by, F.row_number().over(Window.partitionBy(*by).orderBy("path")).alias("place"), "peak_id", F.round("observed", 5).alias("mass"), F.size("path").alias("depth"),
-        "parent", composition_label(names, F.col("composition")).alias("formula"), F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), "clean_degree",
+        F.coalesce("parent", F.lit(0)).alias("parent"), composition_label(names, F.col("composition")).alias("formula"), F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), "clean_degree",
         addition_label(names, d).alias("addition"), delta_label(names, d).alias("transition"), transition_kind(d).alias("edge_kind"), l1(d).alias("edge_l1"),
         F.coalesce("extra_clean", F.array().cast("array<string>")).alias("extra_clean"),
     )
@@ -174,8 +212,8 @@ def extra_clean(nodes: DataFrame, parents: DataFrame, names: Column, by: Sequenc
     other = parents.select(*by, F.col("peak_id").alias("nb"), F.col("parent").alias("theirs"), F.col("observed").alias("nb_mass"))
     rows = clean_pairs(nodes, by).join(own, [*by, "at"]).join(other, [*by, "nb"])
     back = F.transform("delta", lambda n: -n)
-    sibling = (l1(F.col("mine_delta")) == 0) & (F.col("mine") == F.col("theirs"))
-    rows = rows.where((F.col("nb") != F.col("mine")) & (F.col("theirs") != F.col("at")) & ~sibling & (back != F.col("mine_delta")))
+    sibling = (l1(F.col("mine_delta")) == 0) & F.col("mine").eqNullSafe(F.col("theirs"))
+    rows = rows.where(~F.col("nb").eqNullSafe(F.col("mine")) & ~F.col("theirs").eqNullSafe(F.col("at")) & ~sibling & (back != F.col("mine_delta")))
     from_parent = F.forall("delta", lambda n: n <= 0)
     label = F.concat(F.lit("#"), F.col("nb").cast("string"), F.lit(" "), F.when(from_parent, addition_label(names, F.col("delta"))).otherwise(delta_label(names, back)))
     labels = F.transform(F.sort_array(F.collect_list(F.struct("nb_mass", "nb", label.alias("label")))), lambda x: x["label"])
@@ -183,12 +221,20 @@ def extra_clean(nodes: DataFrame, parents: DataFrame, names: Column, by: Sequenc
 
 
 def step_frequencies(nodes: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """How often each canonical step of one or two changes occurs between the peaks of a network."""
-    from ..functions.exprs import canonical_step
-
-    pairs = _pairs(nodes, by, lambda a, b: a("peak_id") < b("peak_id"))
-    steps = pairs.select(*[F.col(f"a.{k}") for k in by], canonical_step(F.col("a.composition"), F.col("b.composition")).alias("step")).where(F.col("step").isNotNull())
-    return steps.groupBy(*by, "step").agg(F.count(F.lit(1)).alias("frequency"))
+    """How often each canonical step of one or two changes occurs between the peaks of a network.
+
+    Peaks of one composition are counted first; each distinct composition then meets those a canonical step above it, by an equi-join.
+    """
+    alike = nodes.groupBy(*by, "composition").agg(F.count(F.lit(1)).alias("n"))
+    places = F.sequence(F.lit(0), F.size("composition") - 1)
+    # A canonical step's first change is upward: +1, +2, or +1 and a change of one at a later place.
+    turn = lambda i, d, j, e: F.transform("composition", lambda c, k: F.when(k == j, e).otherwise(0) + F.when(k == i, d).otherwise(0))
+    one = F.transform(places, lambda i: F.array(turn(i, 1, -1, 0), turn(i, 2, -1, 0)))
+    two = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: F.array(turn(i, 1, j, 1), turn(i, 1, j, -1)))))
+    steps = alike.withColumn("step", F.explode(F.flatten(F.concat(one, two))))
+    there = F.zip_with("composition", "step", lambda c, d: c + d)
+    met = steps.select(*by, "step", there.alias("composition"), F.col("n").alias("here")).join(alike, [*by, "composition"])
+    return met.groupBy(*by, "step").agg(F.sum(F.col("here") * F.col("n")).alias("frequency"))
 
 
 def connectivity_scores(nodes: DataFrame, by: Sequence[str] = BY) -> DataFrame:

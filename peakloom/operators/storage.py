@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written as Parquet into spark.checkpoint.dir, which driver and executors share, and read back. A temporary folder serves only where
-    none is configured."""
+    """df written as Parquet into spark.checkpoint.dir, which driver and executors share, and read back. Where none is configured, a local session gets
+    a temporary folder, and a cluster an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='peakloom-')}")
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/peakloom-{uuid.uuid4().hex}"

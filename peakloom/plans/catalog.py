@@ -278,7 +278,18 @@ def block_dependencies(s, d):
     return _dependencies(s, d).select("sample_id", "block", "n_with", "n_used", "n_not_used", "prerequisites", "direct")
 
 
-@query("dependency_report")
+_named = lambda mask, none: f"CASE WHEN {mask} = 0 THEN '{none}' ELSE array_to_string(list_sort(list_filter(['Hex', 'HexNAc', 'dHex', 'NeuAc'], lambda x, i: ({mask} >> (i - 1)) & 1 = 1)), '+') END"
+
+
+@query("dependency_report", f"""WITH RECURSIVE {DEP_SQL}, dd AS (SELECT ub.*, (prerequisites & ~coalesce(further, 0))::INT AS direct FROM ub LEFT JOIN ind USING (sample_id, block)),
+masks_of AS (SELECT sample_id, list(direct ORDER BY block) AS directs FROM dd GROUP BY 1),
+steps AS (SELECT sample_id, directs, []::INT[] AS done, 15 AS waiting FROM masks_of UNION ALL
+  SELECT sample_id, directs, list_append(done, least_free), waiting & ~(1 << least_free) FROM (
+    SELECT *, list_min(list_filter([0, 1, 2, 3], lambda b: (waiting >> b) & 1 = 1 AND directs[b + 1] & waiting = 0))::INT AS least_free FROM steps) WHERE least_free IS NOT NULL),
+ends AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY len(done) DESC) AS k FROM steps),
+orders_of AS (SELECT sample_id, list_concat(done, list_filter([0, 1, 2, 3], lambda b: (waiting >> b) & 1 = 1)) AS ordering FROM ends WHERE k = 1)
+SELECT sample_id, ['Hex', 'HexNAc', 'dHex', 'NeuAc'][block + 1] AS block, {_named("prerequisites", "(none)")} AS prerequisites, {_named("direct", "(root)")} AS direct_dependencies,
+  list_position(ordering, block)::INT AS biosynthetic_order, n_with, n_used, n_not_used FROM dd JOIN orders_of USING (sample_id)""")
 def dependency_report(s, d):
     return dependencies.dependency_report(settled(_dependencies(s, d)), NAMES)
 
@@ -331,40 +342,69 @@ def _statistics(s, d):
     return own, edges, network.network_statistics(own, edges, network.clean_components(own))
 
 
-@query("network_statistics", f"""WITH RECURSIVE {COMPONENT_SQL}, sz AS (SELECT sample_id, model, count(*) AS n_good FROM nodes GROUP BY 1, 2),
+STATISTICS_SQL = f"""{COMPONENT_SQL}, sz AS (SELECT sample_id, model, count(*) AS n_good FROM nodes GROUP BY 1, 2),
 kn AS (SELECT sample_id, model, count(*) AS total_pairs, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in network.KINDS)} FROM edges GROUP BY 1, 2),
-cp AS (SELECT sample_id, model, count(*) AS clean_components, max(n) AS largest_clean_component FROM (SELECT sample_id, model, component, count(*) AS n FROM parts GROUP BY 1, 2, 3) GROUP BY 1, 2)
-SELECT sample_id, model, n_good, coalesce(total_pairs, 0) AS total_pairs, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in network.KINDS)}, clean_components, largest_clean_component,
-  round(coalesce(n_clean / total_pairs, 0), 6) AS clean_density, round(2 * coalesce(n_clean, 0) / n_good, 6) AS mean_clean_degree, round(largest_clean_component / n_good, 6) AS clean_reachability
-FROM sz LEFT JOIN kn USING (sample_id, model) JOIN cp USING (sample_id, model)""")
+cp AS (SELECT sample_id, model, count(*) AS clean_components, max(n) AS largest_clean_component FROM (SELECT sample_id, model, component, count(*) AS n FROM parts GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ns AS (SELECT sample_id, model, n_good, coalesce(total_pairs, 0) AS total_pairs, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in network.KINDS)}, clean_components, largest_clean_component,
+  coalesce(n_clean / total_pairs, 0) AS clean_density, 2 * coalesce(n_clean, 0) / n_good AS mean_clean_degree, largest_clean_component / n_good AS clean_reachability
+FROM sz LEFT JOIN kn USING (sample_id, model) JOIN cp USING (sample_id, model))"""
+_ROUNDED = "round(clean_density, 6) AS clean_density, round(mean_clean_degree, 6) AS mean_clean_degree, round(clean_reachability, 6) AS clean_reachability"
+
+
+@query("network_statistics", f"WITH RECURSIVE {STATISTICS_SQL} SELECT * REPLACE ({_ROUNDED}) FROM ns")
 def network_statistics(s, d):
     rows = _statistics(s, d)[2]
     return rows.withColumns({c: F.round(c, 6) for c in ("clean_density", "mean_clean_degree", "clean_reachability")})
 
 
-@query("mst_edges")
+# An edge is in the tree unless smaller edges join its ends.
+TREE_SQL = """smaller AS (SELECT e.i, e.j, x.i AS a, x.j AS b FROM edges e JOIN edges x USING (sample_id, model) WHERE (x.penalty, x.gap, x.i, x.j) < (e.penalty, e.gap, e.i, e.j)),
+ways AS (SELECT * FROM smaller UNION ALL SELECT i, j, b, a FROM smaller),
+walk AS (SELECT i, j, i AS here FROM edges UNION SELECT walk.i, walk.j, ways.b FROM walk JOIN ways ON ways.i = walk.i AND ways.j = walk.j AND ways.a = walk.here),
+tree AS (SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.i = e.i AND w.j = e.j AND w.here = e.j))"""
+
+
+@query("mst_edges", f"WITH RECURSIVE {EDGE_SQL}, {TREE_SQL} SELECT sample_id, model, i, j, round(gap, 6) AS gap, l1, kind, penalty FROM tree")
 def mst_edges(s, d):
     return network.spanning_trees(network.network(nodes(s, d))).select(*BY, "i", "j", F.round("gap", 6).alias("gap"), "l1", "kind", "penalty")
 
 
-@query("rank_models")
+@query("rank_models", f"""WITH RECURSIVE {STATISTICS_SQL}, {TREE_SQL}, ts AS (SELECT sample_id, model, count(*) AS mst_edges, {", ".join(f"count(*) FILTER (kind = '{k}') AS mst_{k}" for k in network.KINDS)}, avg(penalty) AS mst_mean_penalty, max(l1) AS mst_max_l1 FROM tree GROUP BY 1, 2),
+joined AS (SELECT ns.*, coalesce(mst_edges, 0) AS mst_edges, {", ".join(f"coalesce(mst_{k}, 0) AS mst_{k}" for k in network.KINDS)}, coalesce(mst_mean_penalty, 0) AS mst_mean_penalty, coalesce(mst_max_l1, 0) AS mst_max_l1 FROM ns LEFT JOIN ts USING (sample_id, model)),
+scored AS (SELECT *, mst_mean_penalty * (2 - clean_reachability) * (1 + CASE WHEN mst_edges > 0 THEN mst_mixed / mst_edges ELSE 0 END) AS score FROM joined)
+SELECT * REPLACE ({_ROUNDED}, round(mst_mean_penalty, 6) AS mst_mean_penalty, round(score, 6) AS score), row_number() OVER (PARTITION BY sample_id ORDER BY score, n_good DESC, model)::INT AS rank FROM scored""")
 def rank_models(s, d):
     own, edges, stats = _statistics(s, d)
     ranked = network.rank_models(stats, network.tree_statistics(network.spanning_trees(edges)))
     return ranked.withColumns({c: F.round(c, 6) for c in ("clean_density", "mean_clean_degree", "clean_reachability", "mst_mean_penalty", "score")})
 
 
-@query("additive_tree_parent", f"""WITH {NODES_SQL}, p AS (
-  SELECT y.sample_id, y.model, y.peak_id, x.peak_id AS parent, x.observed AS mass, y.a - x.a AS da, y.n - x.n AS dn, y.r - x.r AS dr FROM nodes x JOIN nodes y ON x.sample_id = y.sample_id AND x.model = y.model AND x.a <= y.a AND x.n <= y.n AND x.r <= y.r AND x.a + x.n + x.r < y.a + y.n + y.r
-  UNION ALL SELECT sample_id, model, peak_id, 0, 0.0, a, n, r FROM nodes),
+PARENT_SQL = """p AS (
+  SELECT y.sample_id, y.model, y.peak_id, x.peak_id AS parent, false AS rooted, x.observed AS mass, y.a - x.a AS da, y.n - x.n AS dn, y.r - x.r AS dr FROM nodes x JOIN nodes y ON x.sample_id = y.sample_id AND x.model = y.model AND x.a <= y.a AND x.n <= y.n AND x.r <= y.r AND x.a + x.n + x.r < y.a + y.n + y.r
+  UNION ALL SELECT sample_id, model, peak_id, 0, true, 0.0, a, n, r FROM nodes),
 k AS (SELECT *, da + dn + dr AS l1, CASE WHEN da + dn + dr = 0 THEN 2.0 ELSE da + dn + dr - 1.0 END AS penalty FROM p),
-o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, model, peak_id ORDER BY l1, penalty, mass, parent) AS k FROM k)
-SELECT sample_id, model, peak_id, parent, da || ',' || dn || ',' || dr AS delta FROM o WHERE k = 1""")
+o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, model, peak_id ORDER BY l1, penalty, mass, parent) AS k FROM k)"""
+
+
+@query("additive_tree_parent", f"WITH {NODES_SQL}, {PARENT_SQL} SELECT sample_id, model, peak_id, parent, da || ',' || dn || ',' || dr AS delta FROM o WHERE k = 1")
 def additive_tree_parent(s, d):
     return network.additive_parents(nodes(s, d)).select(*BY, "peak_id", "parent", text("delta").alias("delta"))
 
 
-@query("additive_tree_chain")
+CHAIN_SQL = f"""{EDGE_SQL}, {PARENT_SQL}, own AS (SELECT o.sample_id, o.model, o.peak_id, parent, rooted, CASE WHEN NOT rooted THEN parent END AS above, da, dn, dr, l1, observed, a, n, r, true AS up FROM o JOIN nodes USING (sample_id, model, peak_id) WHERE k = 1),
+paths AS (SELECT peak_id, [{{'m': observed, 'p': peak_id}}] AS path FROM own WHERE rooted UNION ALL SELECT own.peak_id, list_append(path, {{'m': observed, 'p': own.peak_id}}) FROM own JOIN paths ON own.above = paths.peak_id),
+kids AS (SELECT above AS peak_id, count(*) AS n_children FROM own WHERE NOT rooted GROUP BY 1),
+links AS (SELECT i AS here, j AS nb, da, dn, dr FROM edges WHERE kind = 'clean' UNION ALL SELECT j, i, -da, -dn, -dr FROM edges WHERE kind = 'clean'),
+degrees AS (SELECT here AS peak_id, count(*) AS clean_degree FROM links GROUP BY 1),
+also AS (SELECT here AS peak_id, string_agg('#' || nb || ' ' || CASE WHEN least(l.da, l.dn, l.dr) < 0 THEN '+' ELSE '-' END || CASE WHEN l.da <> 0 THEN 'A' WHEN l.dn <> 0 THEN 'N' ELSE 'R' END, '; ' ORDER BY y.observed, nb) AS extra_clean
+  FROM links l JOIN own x ON x.peak_id = here JOIN own y ON y.peak_id = nb
+  WHERE nb IS DISTINCT FROM x.above AND y.above IS DISTINCT FROM here AND NOT (x.l1 = 0 AND x.above IS NOT DISTINCT FROM y.above) AND (-l.da, -l.dn, -l.dr) <> (x.da, x.dn, x.dr) GROUP BY 1)"""
+
+
+@query("additive_tree_chain", f"""WITH RECURSIVE {CHAIN_SQL} SELECT sample_id, model, row_number() OVER (PARTITION BY sample_id, model ORDER BY path)::INT AS place, peak_id, round(observed, 5) AS mass, len(path)::INT AS depth, parent,
+  coalesce(nullif(concat_ws(' ', {', '.join(f"CASE WHEN {c} > 0 THEN '{n}×' || {c} END" for n, c in zip(FLAGS, 'anr'))}), ''), '(empty)') AS formula, coalesce(n_children, 0) AS n_children, coalesce(clean_degree, 0) AS clean_degree,
+  {_added} AS addition, {_label} AS transition, CASE WHEN l1 = 0 THEN 'identity' WHEN l1 = 1 THEN 'clean' WHEN (da <> 0)::INT + (dn <> 0)::INT + (dr <> 0)::INT = 1 THEN 'skip' ELSE 'multi' END AS edge_kind, l1::INT AS edge_l1, coalesce(extra_clean, '') AS extra_clean
+  FROM own JOIN paths USING (peak_id) LEFT JOIN kids USING (peak_id) LEFT JOIN degrees USING (peak_id) LEFT JOIN also USING (peak_id)""")
 def additive_tree_chain(s, d):
     return network.tree_chain(settled(nodes(s, d)), FLAGS).withColumn("extra_clean", F.array_join("extra_clean", "; "))
 

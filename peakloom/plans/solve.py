@@ -17,6 +17,8 @@ from ..operators.storage import settled
 from ..sources import dictionary as dictionaries
 
 LEAST_GAIN = 2.0
+#: Blocks that a model's mask, an int, can hold.
+MASK_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,7 @@ def select_blocks(spectra: DataFrame, ranked: DataFrame, config: SolveConfig) ->
         if step == 0 and config.max_added >= 2:
             lost = state.where(~F.col("open")).select("sample_id")
             a, b = top.join(lost, "sample_id").alias("a"), top.alias("b")
-            pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.turn") < F.col("b.turn"))).select("a.sample_id", "a.observed", "a.selected", "a.common", (F.col("a.rank") * 1_000_000 + F.col("b.rank")).alias("trial"), F.array("a.median", "b.median").alias("new"), F.array("a.rank", "b.rank").alias("ranks"))
+            pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.turn") < F.col("b.turn"))).select("a.sample_id", "a.observed", "a.selected", "a.common", (F.col("a.rank").cast("long") * 2**31 + F.col("b.rank")).alias("trial"), F.array("a.median", "b.median").alias("new"), F.array("a.rank", "b.rank").alias("ranks"))
             pairs = settled(pairs)
             if not pairs.isEmpty():
                 state = settled(_accepted(state, fit.run_trials(trial(pairs, F.col("new")), config.fit, iterations=30, postgoal=5), pairs.select("sample_id", "trial", "new", "ranks"), n_known, 2))
@@ -201,7 +203,7 @@ def solve(peaks: DataFrame, config: SolveConfig | None = None) -> dict[str, Data
     models = settled(compare.without_supersets(models) if config.exhaustive else models)
     fits = fits.join(models.select("sample_id", "mask", "model"), ["sample_id", "mask"])
     stats = settled(compare.peak_statistics(fits.drop("model"), models, (), tolerance, own=model.select("sample_id", "masses")))
-    usage = settled(dependencies.block_usage_across_models(fits, 20, tolerance))
+    usage = settled(dependencies.block_usage_across_models(fits, MASK_BITS, tolerance))
     zeros = F.array_repeat(F.lit(0), k)
     shape = model.select("sample_id", zeros.alias("zeros"), "masses", "common")
 

@@ -197,3 +197,12 @@ def test_annealed_consensus_and_pruning(spark, compared):
     pruned = consensus.with_dependencies(alts, usage, hard_prune=True).where("sample_id = 'a'").collect()
     assert {r.peak_id for r in pruned} == set(range(1, 33)) and all(not r.composition[2] or r.composition[0] for r in pruned)
     assert consensus.annealed_consensus(scored, 0.5, 0.3).count() == 64
+
+
+def test_a_peak_far_beyond_the_lattice(spark):
+    limits = [10, 8, 3, 4]
+    points = lattice.lattice(spark, MASSES, limits)
+    rows = spark.createDataFrame([("a", 1, 1e12), ("a", 2, COMMON + 162.052824), ("a", 3, -1e15), ("a", 4, None)], "sample_id string, peak_id int, observed double")
+    got = {r.peak_id: (r.composition, r.error) for r in lattice.nearest(rows, points, COMMON).collect()}
+    heaviest = sum(m * n for m, n in zip(MASSES, limits))
+    assert got[1] == (limits, pytest.approx(1e12 - COMMON - heaviest)) and got[2][0] == [1, 0, 0, 0] and got[3][0] == [0, 0, 0, 0] and len(got) == 3
