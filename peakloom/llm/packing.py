@@ -49,9 +49,13 @@ class WordEncoder:
     def __init__(self, path: str):
         # Spark runs a task a core; the library's own threads would only contend.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words of small Latin-1 letters, which its normaliser leaves as they are and its pattern does not split.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -62,17 +66,21 @@ class WordEncoder:
         return self.all([text])[0]
 
     def all(self, texts: list[str]) -> list[bytes]:
-        lists = [self._words(t) for t in texts]
+        lists, lowered = zip(*map(self._words, texts)) if texts else ((), ())
         known = self.known
-        new = list(set().union(*lists).difference(known))
-        if new and len(known) + len(new) > CACHE:
+        fresh = lambda kind: set().union(*[x for x, low in zip(lists, lowered) if low == kind]).difference(known)
+        new = [fresh(True), fresh(False)]
+        if any(new) and len(known) + sum(map(len, new)) > CACHE:
             known.clear()
-            new = list(set().union(*lists))
-        self._learn(new)
+            new = [fresh(True), fresh(False)]
+        for words, letters in zip(new, (self.letters, self.tokenizer)):
+            self._learn(list(words), letters)
         find = known.__getitem__
         return [b"".join(map(find, words)) for words in lists]
 
-    def _words(self, text: str) -> list[str]:
+    def _words(self, text: str) -> tuple[list[str], bool]:
+        """The words, and whether they are lowered Latin-1."""
+        low = False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -80,19 +88,23 @@ class WordEncoder:
         else:
             lowered = text.lower()
             if not any(t in lowered for t in self.spellings):
-                text = _MARK.sub(r" \g<0>", lowered)
-        return text.replace("\n", " ").split(" ")
+                low, text = True, _MARK.sub(r" \g<0>", lowered)
+        return text.replace("\n", " ").split(" "), low
 
-    def _learn(self, words: list[str]) -> None:
-        """All-letter words are encoded as one text and told apart by the tokens that end a word; others, each for itself."""
+    def _learn(self, words: list[str], letters) -> None:
+        """All-letter words are encoded by letters as one text and told apart by the tokens that end a word; others, each for itself."""
         plain = [w for w in words if w.isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(letters.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
         if len(stops) == len(plain):
-            raw = ids.tobytes()
-            self.known.update([(w, raw[a:b]) for w, a, b in zip(plain, [0, *stops], stops)])
+            self._keep(plain, ids, stops)
             words = [w for w in words if not w.isalpha()]
-        self.known.update([(w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False))])
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._keep(words, np.array([k for ids in lists for k in ids], dtype="<u4"), (4 * np.cumsum([*map(len, lists)], dtype=np.int64)).tolist())
+
+    def _keep(self, words: list[str], ids: np.ndarray, stops: list[int]) -> None:
+        """Words in order, with their stretches of the ids' bytes."""
+        self.known.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops))))
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -167,7 +179,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, window_rows: int = 100_000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, window_rows: int = 500) -> DataFrame:
     """parts (doc_id, piece, length, ids_crc32, ...) with sequence_id and offset; parts should be stored, as it is read more than once.
 
     Pieces are ranked in windows of about window_rows, so a length has as many salts as its count calls for. A column __pl_row, if there is one, tells equal rows apart.
