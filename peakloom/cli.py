@@ -54,8 +54,8 @@ def parser() -> argparse.ArgumentParser:
     add("-I", "--min-diff", type=float, default=40)
     add("-C", "--candidates-only", action="store_true")
     add("-U", "--max-unknown", type=int, default=4)
-    add("-T", "--timeout", type=int, default=15)
-    add("-v", "--verbose", action="store_true")
+    add("-T", "--timeout", type=int, help="taken for compatibility; a job has no time limit here")
+    add("-v", "--verbose", action="store_true", help="name each file written")
     add("-e", "--exclude", default="")
     add("--protect", default="")
     add("--exhaustive", type=int, choices=[0, 1, 2], default=1)
@@ -97,10 +97,13 @@ def main(argv: Sequence[str] | None = None) -> int:
         parser().print_help()
         return 1
     args = parser().parse_args(argv)
+    if args.timeout is not None:
+        print("-T has no effect: a job has no time limit here", file=sys.stderr)
     from pyspark.sql import SparkSession
 
     from .operators import candidates
     from .plans.solve import resolved, solve
+    from .sinks.analysis import write_analysis
     from .sinks.files import output_folder
     from .sinks.tables import candidates_file, write_tsv
     from .sources.peaks import msd_peaks, text_peaks
@@ -116,7 +119,9 @@ def main(argv: Sequence[str] | None = None) -> int:
             write_tsv(candidates_file(ranked, rejected), f"{args.output}/candidates.tsv", True)
             return 0
         tables = solve(peaks, config)
-        write_tsv(candidates_file(tables["candidates"], tables["rejected"]), f"{args.output}/candidates.tsv", True)
+        for name in write_analysis(tables, *resolved(spark, config), args.output):
+            if args.verbose:
+                print(f"{args.output}/{name}")
         for name in ("facts", "models", "peak_stats", "dependencies", "network", "blocks"):
             tables[name].write.mode("overwrite").parquet(f"{args.output}/{name}.parquet")
         return 0

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from .constants import ADDUCT_MASS, MASS_UNIT, REDUCTION_MASS
 
 
-def doubles(values: Sequence[float]) -> Column:
+def doubles(values: Sequence[float] | Column) -> Column:
+    if isinstance(values, Column):
+        return values
     return F.array(*[F.lit(float(v)) for v in values]) if len(values) else F.array().cast("array<double>")
 
 
-def strings(values: Sequence[str]) -> Column:
+def strings(values: Sequence[str] | Column) -> Column:
+    if isinstance(values, Column):
+        return values
     return F.array(*[F.lit(v) for v in values]) if len(values) else F.array().cast("array<string>")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bit, block_bits, strings
@@ -57,8 +57,8 @@ def block_orders(dependencies: DataFrame) -> DataFrame:
     return dependencies.groupBy("sample_id").agg(masks.alias("masks")).select("sample_id", ordered("masks").alias("ordering"))
 
 
-def dependency_report(dependencies: DataFrame, block_names: Sequence[str]) -> DataFrame:
-    """K6: a row for each block in biosynthetic order."""
+def dependency_report(dependencies: DataFrame, block_names: Sequence[str] | Column) -> DataFrame:
+    """K6: a row for each block in biosynthetic order. block_names: of all samples, or a column of dependencies."""
     named = lambda mask: F.filter(F.transform(strings(block_names), lambda b, i: F.when(F.getbit(mask, i) == 1, b)), lambda b: b.isNotNull())
     show = lambda mask, none: F.when(mask == 0, none).otherwise(F.array_join(F.array_sort(named(mask)), "+"))
     rows = dependencies.join(block_orders(dependencies), "sample_id")

@@ -97,3 +97,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["-p", str(path), "-o", str(tmp_path / "out"), "-D", "neg_h", "-X", "2aa_nr", "-C"]) == 0
     written = results.raw_table(spark, str(tmp_path / "out/candidates.tsv"))
     assert written.where("Status = 'ACTIVE'").count() == 36
+
+
+def test_command_line_writes_all_files(spark, tmp_path, capsys):
+    folder = tmp_path / "p.txt"
+    folder.write_text("\n".join(map(str, PEAKS)))
+    out = tmp_path / "out"
+    assert cli.main(["-p", str(folder), "-o", str(out), "-D", "neg_h", "-X", "2aa_nr", "-n", "Hex,HexNAc", "-u", "1", "-T", "3", "-v"]) == 0
+    said = capsys.readouterr()
+    assert "-T" in said.err and "results.tsv" in said.out
+    table = lambda name: results.raw_table(spark, str(out / name)).collect()
+    rows = table("results.tsv")
+    names = [c for c in rows[0].asDict() if c not in (*results.FIXED, "sample_id")]
+    assert names[:2] == ["Hex", "HexNAc"] and {int(r.Peak_ID) for r in rows} == set(range(1, 33))
+    first = next(r for r in rows if r.Peak_ID == "1" and r.Model == "Consensus")
+    assert (first.Hex, first.Status) == ("2", "GOOD") and abs(float(first.Reconstructed) - PEAKS[0]) < 0.5 and abs(float(first.Reconstructed_Theoretical) - PEAKS[0]) < 0.5
+    assert [r.Type for r in table("blocks.tsv")][:3] == ["fixed", "known", "known"]
+    assert {r.Block for r in table("block_dependencies.tsv")} >= {"Hex", "HexNAc"}
+    assert len(table("biosynthetic_summary.tsv")) >= 4 and len(table("biosynthetic_tree.tsv")) > 32
+    for name in ("block_dependencies.txt", "biosynthetic_report.txt", "diagnostics_report.txt", "biosynthetic.json", "diagnostics.json"):
+        assert spark.read.text(str(out / name)).count() >= 1
+    assert "statistics" in json.loads(spark.read.text(str(out / "biosynthetic.json")).first().value)
