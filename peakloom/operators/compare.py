@@ -52,7 +52,7 @@ def peak_statistics(fits: DataFrame, models: DataFrame, masses: Sequence[float],
     key = F.struct("n_blocks", total(F.col("composition")).alias("copies"), (-F.coalesce(F.array_min(used), F.lit(0.0))).alias("lightest"), "mask")
     return rows.groupBy("sample_id", "peak_id").agg(
         F.first("observed").alias("observed"), F.count(F.lit(1)).alias("n_tested"), F.count_if(good).alias("n_explaining"),
-        (F.count_distinct(F.when(good, F.col("composition"))) <= 1).alias("consistent"),
+        F.coalesce(F.min(F.when(good, F.col("composition"))) == F.max(F.when(good, F.col("composition"))), F.lit(True)).alias("consistent"),
         F.min_by(F.struct("model", "composition", "mask"), F.when(good, key)).alias("best"),
     ).select("sample_id", "peak_id", "observed", "n_tested", "n_explaining", "consistent", F.col("best.model").alias("best_model"), F.col("best.composition").alias("best_composition"))
 

@@ -218,8 +218,10 @@ def best_models(s, d):
 
 
 def _peak_stats(s, d):
-    fits, models = _models(s, d)
-    models = settled(compare.without_supersets(settled(models)))
+    """Fits are stored here, as they are read several times."""
+    masks = lattice.subset_masks(s, NAMES)
+    fits = settled(_fits(s, d, masks))
+    models = settled(compare.without_supersets(settled(compare.model_summary(fits, masks, WIDE))))
     return fits, models, compare.peak_statistics(fits, models, MASSES, WIDE)
 
 
