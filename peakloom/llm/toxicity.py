@@ -12,7 +12,7 @@ SVM on them scores windows; a sentence scores as its highest window, a document
 
 Labels mark whole documents, so training alternates: of each toxic document the window that the current machine scores highest stands for the label; windows
 drawn from the other documents, and the highest of each of them, stand against it. Landmarks are stretches of MARKS symbols that toxic documents use more than
-others, with some common ones; the first machine tells the former from drawn windows. They span the kernel's coordinates; no window is left out for lack of one. Because kernel values with
+others, with some common ones; the first machine tells the former from drawn windows, and they go on standing for the label beside the documents' windows. They span the kernel's coordinates; no window is left out for lack of one. Because kernel values with
 landmarks are sums over subsequences, the trained machine folds into one weight per subsequence; scoring all windows is then running sums of table lookups.
 
 Only ``labels.toxic`` of rows with crc32(doc_id) mod 5 <> 0 is learnt from, at most ``per_class`` documents a class (the bound on the sample,
@@ -329,8 +329,9 @@ def train(texts: list[str], toxic: list[int], n_landmarks: int = 800, rounds: in
         w, b = train_svm(np.concatenate([x_pos, x_neg]), np.concatenate([np.ones(len(x_pos)), -np.ones(len(x_neg))]), weight)
         return Machine(z.folded(white @ w), b, spaces)
 
-    # The first machine tells the landmarks that toxic documents use more from windows of others.
-    machine = machine_of(_against(marks[first > 0], z) @ white, first[first > 0])
+    # The first machine tells the landmarks that toxic documents use more from windows of others; they stay beside the documents' windows, for insults that never stand alone.
+    x_marks, w_marks = _against(marks[first > 0], z) @ white, first[first > 0] / first.sum()
+    machine = machine_of(x_marks, w_marks)
     for turn in range(rounds):
         # Of each toxic document the highest window; the highest of each clean document joins the clean side.
         value, mine = _highest(machine, pos)
@@ -338,7 +339,7 @@ def train(texts: list[str], toxic: list[int], n_landmarks: int = 800, rounds: in
         if not len(x_pos):
             return none
         x_neg = np.concatenate([x_neg, _against(_highest(machine, neg)[1], z) @ white])
-        machine = machine_of(x_pos, np.ones(len(x_pos)))
+        machine = machine_of(np.concatenate([x_pos, x_marks]), np.concatenate([np.full(len(x_pos), 1 / len(x_pos)), w_marks]))
     machine.bias -= boundary(machine.values(texts), toxic)
     return machine
 
