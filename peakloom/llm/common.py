@@ -41,8 +41,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 HOT = 10_000
 
 
-def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, wanted: Column | None = None) -> DataFrame:
-    """rows inner joined with the wanted rows of side, unique by keys; weight is the column of side that says how many of all total rows have the key.
+def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int, wanted: Column | None = None, how: str = "inner") -> DataFrame:
+    """rows joined (inner; left keeps all rows, for sides all wanted) with the wanted rows of side, unique by keys; weight is the column of side that says how many of all total rows have the key.
 
     Hot keys, fewer than HOT, are broadcast, so that their rows stay where they are; rows of other keys meet side by a shuffle, at most total / HOT for each key.
     """
@@ -51,7 +51,7 @@ def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, tot
     warm = side.where(hot)
     met = rows.join(F.broadcast(warm.where(wanted)), keys)
     rest = rows.join(F.broadcast(warm.select(*keys)), keys, "left_anti")
-    return met.unionByName(rest.join(side.where(~hot & wanted), keys))
+    return met.unionByName(rest.join(side.where(~hot & wanted), keys, how))
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:
