@@ -1,6 +1,6 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from . import line_dedup, media, mixing, packing, pii, quality, secrets, simhash, spelling, toxicity, url_rules, vector_codes
+from . import embedding_dedup, line_dedup, media, mixing, packing, pii, quality, secrets, simhash, spelling, toxicity, url_rules, vector_codes
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_spelling": spelling.op13_spelling,
 }
@@ -23,6 +24,7 @@ ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_embedding_dedup": embedding_dedup.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
     "op13_spelling": spelling.ORACLE,
 }

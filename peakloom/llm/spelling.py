@@ -82,18 +82,21 @@ def vocabulary(docs: DataFrame, rate: int = 97, least_length: int = 5, least_n:
 def placed(words: DataFrame, least_length: int) -> DataFrame:
     """words (word, n) as members of partitions. Pairs of a partition have a shorter word of m code points and agree on the first a and the last b."""
     m = F.explode(F.array(F.length("word"), F.length("word") - 1)).alias("m")
-    return narrowed(words.select("word", "n", m).where(F.col("m") >= least_length).select("m", F.lit(0).alias("a"), F.lit(0).alias("b"), "word", "n"))
+    return narrowed(words.select("word", "n", m).where(F.col("m") >= least_length).select("m", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(-1).alias("cut"), "word", "n"))
 
 
 def narrowed(rows: DataFrame) -> DataFrame:
-    """(key, word, n) from (m, a, b, word, n): each row twice, with half of its open code points fixed as well, at the front or at the end.
+    """(key, word, n) from (m, a, b, cut, word, n): each row twice, with half of its open code points fixed as well, at the front or at the end.
 
-    The key begins with m, direction, a, b and the place up to which the words must not all agree, as the forward trie has such pairs.
+    Words that agree on their first ``cut`` code points (-1: none) are met by a forward trie elsewhere. Those at the end leave out what agrees on the half in front, which
+    their own later parts then leave out as well. The key begins with m, direction, a, b and cut.
     """
     half = F.floor((F.col("m") - F.col("a") - F.col("b")) / 2).cast("int")
-    rows = rows.select("m", "a", "b", "word", "n", half.alias("half"), F.explode(F.array(F.lit(1), F.lit(0))).alias("front"))
+    rows = rows.select("m", "a", "b", "cut", "word", "n", half.alias("half"), F.explode(F.array(F.lit(1), F.lit(0))).alias("front"))
     a, b = F.col("a") + F.col("half") * F.col("front"), F.col("b") + F.col("half") * (1 - F.col("front"))
-    rows = rows.select("m", "front", a.alias("a"), b.alias("b"), (F.col("a") + F.col("half")).alias("cut"), "word", "n")
+    own = F.col("a") + F.col("half")
+    cut = F.when(F.col("front") == 1, F.col("cut")).when(F.col("cut") < 0, own).otherwise(F.least(own, "cut"))
+    rows = rows.select("m", "front", a.alias("a"), b.alias("b"), cut.alias("cut"), "word", "n")
     start, end = F.substring("word", F.lit(1), F.col("a")), F.substring("word", F.length("word") - F.col("b") + 1, F.col("b"))
     return rows.select(F.concat_ws(" ", "m", "front", "a", "b", "cut", start, end).alias("key"), "word", "n")
 
@@ -132,7 +135,7 @@ def _partners(key: str, members: list[tuple[str, int]]) -> Iterator[tuple]:
     opens = [w[a : len(w) - b] for w, _ in members]
     best: dict[int, list] = {}
     for i, j in near_pairs(opens if front else [x[::-1] for x in opens], m - a - b):
-        if not front and members[i][0][:cut] == members[j][0][:cut]:
+        if cut >= 0 and members[i][0][:cut] == members[j][0][:cut]:
             continue
         for x, y in ((i, j), (j, i)):
             word, n = members[y]
@@ -194,7 +197,7 @@ def partners(words: DataFrame, least_length: int = 5, block: int = 200_000) -> D
         found.append(swept.where(F.col("key").isNull()).select("word", "near", "best_n", "best"))
         again = swept.where(F.col("key").isNotNull()).select("key", "word", "n").unionByName(rows.join(F.broadcast(hot), "key"))
         part = F.split("key", " ")
-        again = again.select(part[0].cast("int").alias("m"), part[2].cast("int").alias("a"), part[3].cast("int").alias("b"), "word", "n")
+        again = again.select(part[0].cast("int").alias("m"), part[2].cast("int").alias("a"), part[3].cast("int").alias("b"), part[4].cast("int").alias("cut"), "word", "n")
         rows = None if again.isEmpty() else narrowed(again)
     every = found[0]
     for f in found[1:]:
