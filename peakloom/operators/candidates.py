@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import nearest_multiple
 from .bands import with_first
+from .medians import with_medians
+from .storage import settled
 
 GAP = 0.25
 NAME_WINDOW = 0.5
@@ -94,11 +96,12 @@ def cluster_scores(clustered: DataFrame, dictionary: DataFrame, gap: float = GAP
 
     Score: size x tightness x closeness to a multiple of the mass unit (not asked of modifications) x 10 for a dictionary match.
     """
-    clustered = clustered.withColumn("n", F.row_number().over(Window.partitionBy("sample_id", "cluster").orderBy("diff")))
+    clustered = settled(clustered.withColumn("n", F.row_number().over(Window.partitionBy("sample_id", "cluster").orderBy("diff"))))
     stats = clustered.groupBy("sample_id", "cluster").agg(
-        F.count(F.lit(1)).alias("size"), F.var_pop("diff").alias("variance"), F.median("diff").alias("median"), F.min("diff").alias("low"), F.max("diff").alias("high"),
+        F.count(F.lit(1)).alias("size"), F.var_pop("diff").alias("variance"), F.min("diff").alias("low"), F.max("diff").alias("high"),
         F.sort_array(F.collect_list(F.when(F.col("n") <= 5, F.col("diff")))).alias("values"),
     )
+    stats = with_medians(stats, clustered, ["sample_id", "cluster"], {"median": F.col("diff")})
     stats = with_first(stats, F.col("median"), dictionary.select("ord", "mass", "name"), gap, "name", into="entry")
     stats = with_first(stats, F.col("median"), dictionary.where(F.col("category") == "mod").select("ord", "mass"), gap, into="mod")
     tightness = F.when(F.col("size") == 1, 1.0).when(F.col("variance") < 1e-10, 1000.0).otherwise(1 / (F.col("variance") + 0.001))

@@ -6,19 +6,24 @@ fits: (sample_id, mask, peak_id, observed, composition, error); models: one row
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bic, doubles, total
+from .lattice import closest, subset_masks
+from .medians import with_medians
+from .storage import settled
 
 
 def model_summary(fits: DataFrame, masks: DataFrame, tolerance: float) -> DataFrame:
     """N, n_good, n_bad, rss, median_error and BIC of each model, with its blocks."""
     e = F.col("error")
     stats = fits.groupBy("sample_id", "mask").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(e < tolerance).alias("n_good"), F.count_if(e >= tolerance).alias("n_bad"), F.sum(e * e).alias("rss"), F.median(e).alias("median_error")
+        F.count(F.lit(1)).alias("n"), F.count_if(e < tolerance).alias("n_good"), F.count_if(e >= tolerance).alias("n_bad"), F.sum(e * e).alias("rss")
     )
+    stats = with_medians(stats, fits, ["sample_id", "mask"], {"median_error": e})
     models = stats.join(masks.select("mask", "blocks", "n_blocks"), "mask")
     return models.withColumns({"bic": bic(F.col("n"), F.col("rss"), F.col("n_blocks")), "model": F.array_join("blocks", "+")})
 
@@ -31,6 +36,35 @@ def without_supersets(models: DataFrame) -> DataFrame:
     return models.join(perfect, (F.col("sample_id") == F.col("s")) & (m != F.col("p")) & (m.bitwiseAND(F.col("p")) == F.col("p")), "left_anti")
 
 
+def level_search(peaks: DataFrame, names: Sequence[str], masses: Sequence[float], limits: Sequence[int], common: float, tolerance: float, level: int = 2) -> tuple[DataFrame, DataFrame]:
+    """F9, G2, level by level: the fits and models of without_supersets(), of which no other is fitted.
+
+    Models of one size are fitted for the samples that still need them. A larger one is tried if all the smaller ones that it is made from were tried and none was perfect:
+    it comes from each of these by adding a block, so it is counted, and no model is compared with another.
+    """
+    k = len(names)
+    masks = subset_masks(peaks.sparkSession, names, level)
+    hexes = [i for i, b in enumerate(names) if b.lower() == "hex"] if level == 1 else []
+    always = 1 << hexes[0] if hexes else 0
+    samples = peaks.select("sample_id").distinct()
+    wanted = settled(samples.select("sample_id", F.explode(F.array(*(F.lit(always or 1 << i) for i in range(1 if always else k)))).alias("mask")))
+    fits, models = [], []
+    for size in range(1, k + 1):
+        own = settled(closest(peaks, masses, limits, common, masks, wanted=wanted))
+        found = settled(model_summary(own, masks, tolerance))
+        fits.append(own)
+        models.append(found)
+        if size == k:
+            break
+        more = found.where("n_bad > 0").select("sample_id", "mask", F.explode(F.array(*(F.lit(1 << i) for i in range(k)))).alias("block")).where(F.col("mask").bitwiseAND(F.col("block")) == 0)
+        grown = more.groupBy("sample_id", F.col("mask").bitwiseOR(F.col("block")).alias("mask")).agg(F.count(F.lit(1)).alias("ways"))
+        wanted = settled(grown.where(F.col("ways") == (size if always else size + 1)).select("sample_id", "mask"))
+        if wanted.isEmpty():
+            break
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    return union(fits), union(models)
+
+
 def model_order(models: DataFrame) -> DataFrame:
     """Models by number of blocks, then BIC, missing ones last."""
     w = Window.partitionBy("sample_id").orderBy("n_blocks", F.col("bic").asc_nulls_last(), "mask")

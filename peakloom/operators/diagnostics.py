@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .medians import with_medians
 from .storage import settled
 
 TINY = 1e-20
@@ -30,12 +31,13 @@ def residual_statistics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     ppm = F.when(F.col("observed") > 0, F.abs("e") / F.col("observed") * 1e6).otherwise(0.0)
     n, s = F.count("e"), F.stddev_samp("e")
     stats = rows.groupBy(*by).agg(
-        n.alias("n"), F.avg("e").alias("mean"), F.median("e").alias("median"), F.coalesce(s, F.lit(0.0)).alias("std"), F.min("e").alias("low"), F.max("e").alias("high"),
+        n.alias("n"), F.avg("e").alias("mean"), F.coalesce(s, F.lit(0.0)).alias("std"), F.min("e").alias("low"), F.max("e").alias("high"),
         F.skewness("e").alias("g1"), F.kurtosis("e").alias("g2"),
         F.regr_slope("e", "observed").alias("b1"), F.regr_intercept("e", "observed").alias("b0"), F.regr_sxx("e", "observed").alias("sxx"), F.regr_syy("e", "observed").alias("syy"), F.regr_sxy("e", "observed").alias("sxy"),
-        F.avg(ppm).alias("ppm_mean"), F.median(ppm).alias("ppm_median"), F.max(ppm).alias("ppm_max"),
+        F.avg(ppm).alias("ppm_mean"), F.max(ppm).alias("ppm_max"),
         F.sum(F.col("e") * F.col("e")).alias("rss"), (F.var_pop("observed") * n).alias("tss"),
     )
+    stats = with_medians(stats, rows, by, {"median": F.col("e"), "ppm_median": ppm})
     m = F.col("n")
     line = (m >= 3) & (F.col("sxx") >= TINY)
     left = F.greatest(F.col("syy") - F.col("b1") * F.col("sxy"), F.lit(0.0))
@@ -53,56 +55,6 @@ def residual_statistics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    """By bisection on erf: a few dozen exact halvings are enough for any sample."""
-    low, high = np.full(len(p), -9.0), np.full(len(p), 9.0)
-    for _ in range(60):
-        mid = (low + high) / 2
-        below = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in mid]) < p
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
-
-
-
-def shapiro_wilk(values: np.ndarray) -> tuple[float | None, float | None]:
-    """Royston's approximation (AS R94, n from 3 to 5000): W and p; none for fewer values or no spread."""
-    x = np.sort(values[np.isfinite(values)])
-    n = len(x)
-    if n < 3 or x[-1] - x[0] < 1e-19:
-        return None, None
-    m = _normal_quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
-    ssq, u = float(m @ m), 1 / math.sqrt(n)
-    a = m / math.sqrt(ssq)
-    if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        # Royston's polynomials for the outer weights.
-        last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, a[-1]], u)
-        if n <= 5:
-            phi = (ssq - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a = m / math.sqrt(phi)
-            a[-1], a[0] = last, -last
-        else:
-            second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, a[-2]], u)
-            phi = (ssq - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a = m / math.sqrt(phi)
-            a[-1], a[0], a[-2], a[1] = last, -last, second, -second
-    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
-    if n == 3:
-        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
-    y, ln = math.log(max(1 - w, 1e-300)), math.log(n)
-    # Royston's mean and deviation of the transformed W.
-    if n <= 11:
-        gamma = -2.273 + 0.459 * n
-        if y >= gamma:
-            return w, 0.0
-        y = -math.log(gamma - y)
-        mu, sigma = np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
-    else:
-        mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], ln))
-    return w, 0.5 * math.erfc((y - mu) / sigma / math.sqrt(2))
-
-
 def _outer(n: int, ssq: float, m: list[float]) -> tuple[float, list[float]]:
     """Royston's weights: the divisor of the inner normal scores, and the weights of the highest value and, from 6 values on, the next; m: their scores."""
     u = 1 / math.sqrt(n)

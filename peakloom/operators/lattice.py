@@ -2,6 +2,10 @@
 
 A lattice is the table of all compositions within the blocks' limits, with their masses. Its size depends on the blocks only, never on the peaks.
 Peaks meet it by an equi-join on whole masses.
+
+closest() and within() meet in the middle: only the lattice of the last blocks is a table, of HALF points at most. Each peak goes through the counts of the
+blocks in front, in its own row and no farther than its mass reaches, and what is left of its mass is looked up in the table. So no number of blocks makes a
+table of all compositions, and a few blocks need one lookup a peak.
 """
 
 from __future__ import annotations
@@ -15,6 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bit, block_bits, dot, doubles, total
 
 MOST_ALTERNATIVES = 500
+#: Points of the largest half lattice that is a table.
+HALF = 50_000
+#: Blocks that a model's mask, an int, can hold.
+MASK_BITS = 31
 
 
 def lattice(spark: SparkSession, masses: Sequence[float], limits: Sequence[int], heaviest: float | None = None) -> DataFrame:
@@ -31,6 +39,8 @@ def lattice(spark: SparkSession, masses: Sequence[float], limits: Sequence[int],
 def subset_masks(spark: SparkSession, names: Sequence[str], level: int = 2) -> DataFrame:
     """Mask, names, n_blocks of every non-empty subset; level 1 keeps those with the block named hex, if there is one."""
     k = len(names)
+    if k > MASK_BITS:
+        raise ValueError(f"{k} blocks; a model's mask holds {MASK_BITS}")
     bits = F.filter(F.transform(F.array(*map(F.lit, names)), lambda b, i: F.when(F.getbit(F.col("mask"), i) == 1, b)), lambda b: b.isNotNull())
     rows = spark.range(1, 2**k).select(F.col("id").cast("int").alias("mask")).withColumn("blocks", bits).withColumn("n_blocks", F.size("blocks"))
     at = [i for i, b in enumerate(names) if b.lower() == "hex"]
@@ -82,17 +92,108 @@ def nearest(peaks: DataFrame, points: DataFrame, common: float, by: Sequence[str
 def alternatives(peaks: DataFrame, points: DataFrame, common: float, tolerance: float, most: int = MOST_ALTERNATIVES) -> DataFrame:
     """All compositions whose mass is less than the tolerance from a peak, the first `most` in composition order, then ranked
     by error. A peak without any has one of zeros with infinite error."""
-    zero = F.array_repeat(F.lit(0), F.size("any"))
     width = points.select(F.col("composition").alias("any")).limit(1)
-    cells = points.withColumn("cell", F.explode(F.sequence(F.floor(F.col("mass") - tolerance).cast("long"), F.floor(F.col("mass") + tolerance).cast("long"))))
     y = peaks.withColumn("target", F.col("observed") - common).withColumn("cell", F.floor("target").cast("long"))
-    met = y.join(cells, "cell").withColumn("error", F.abs(F.col("target") - F.col("mass"))).where(F.col("error") < tolerance)
+    met = y.join(_tolerance_cells(points, tolerance), "cell").withColumn("error", F.abs(F.col("target") - F.col("mass"))).where(F.col("error") < tolerance)
+    ranked = _ranked(met, most)
+    return ranked.unionByName(_without(peaks.join(F.broadcast(width)), ranked, F.array_repeat(F.lit(0), F.size("any"))))  # one row
+
+
+def _tolerance_cells(points: DataFrame, tolerance: float, slack: float = 1e-6) -> DataFrame:
+    """points, one row for each whole mass at which one can be within the tolerance."""
+    return points.withColumn("cell", F.explode(F.sequence(F.floor(F.col("mass") - tolerance - slack).cast("long"), F.floor(F.col("mass") + tolerance + slack).cast("long"))))
+
+
+def _ranked(met: DataFrame, most: int) -> DataFrame:
     order = Window.partitionBy("sample_id", "peak_id").orderBy("composition")
     kept = met.withColumn("dfs", F.row_number().over(order)).where(F.col("dfs") <= most)
     ranked = kept.withColumn("alternative", F.row_number().over(Window.partitionBy("sample_id", "peak_id").orderBy("error", "dfs")))
-    ranked = ranked.select("sample_id", "peak_id", "observed", "alternative", "composition", "error")
-    without = peaks.join(ranked.select("sample_id", "peak_id").distinct(), ["sample_id", "peak_id"], "left_anti").join(F.broadcast(width))  # one row
-    return ranked.unionByName(without.select("sample_id", "peak_id", "observed", F.lit(1).alias("alternative"), zero.alias("composition"), F.lit(float("inf")).alias("error")))
+    return ranked.select("sample_id", "peak_id", "observed", "alternative", "composition", "error")
+
+
+def _without(peaks: DataFrame, ranked: DataFrame, zeros: Column) -> DataFrame:
+    """Peaks without an alternative get the empty composition."""
+    left = peaks.join(ranked.where("alternative = 1").select("sample_id", "peak_id"), ["sample_id", "peak_id"], "left_anti")
+    return left.select("sample_id", "peak_id", "observed", F.lit(1).alias("alternative"), zeros.alias("composition"), F.lit(float("inf")).alias("error"))
+
+
+def split_at(limits: Sequence[int], most: int = HALF) -> int:
+    """How many blocks are in front: the lattice of those behind has at most `most` points."""
+    size, at = 1, len(limits)
+    while at and size * (int(limits[at - 1]) + 1) <= most:
+        at -= 1
+        size *= int(limits[at]) + 1
+    return at
+
+
+def _fronts(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], slack: float) -> DataFrame:
+    """Each peak (with target) once for each choice of counts: front, left (their mass). With masses above 0, no sum passes the target by more than the slack."""
+    rows = peaks.select("*", F.array().cast("array<int>").alias("front"), F.lit(0.0).alias("left"))
+    bounded = all(m > 0 for m in masses)
+    for m, most in zip(masses, limits):
+        reach = F.floor((F.greatest("target", F.lit(0.0)) + F.lit(slack) - F.col("left")) / F.lit(float(m))) if bounded else F.lit(int(most))
+        rows = rows.withColumn("n", F.explode(F.sequence(F.lit(0), F.least(F.greatest(reach, F.lit(0)), F.lit(int(most))).cast("int"))))
+        rows = rows.withColumns({"front": F.array_append("front", F.col("n")), "left": F.col("left") + F.col("n") * F.lit(float(m))}).drop("n")
+    return rows
+
+
+def closest(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], common: float, masks: DataFrame | None = None, half: int = HALF, wanted: DataFrame | None = None) -> DataFrame:
+    """nearest() over the lattice of all blocks, or of each model's (mask), met in the middle: composition, lattice_mass, error.
+
+    wanted (sample_id, mask): only these models, of masks, are fitted.
+
+    The mass of a composition is that of its front plus that of its back. With no block in front, the lookup is the result; else the best of a
+    peak's lookups is, found before anything is shuffled.
+    """
+    spark, at = peaks.sparkSession, split_at(limits, half)
+    back = lattice(spark, masses[at:], limits[at:])
+    ends = [m * n for m, n in zip(masses[at:], limits[at:])]
+    low, high = math.floor(sum(min(e, 0.0) for e in ends)) - 1, math.floor(sum(max(e, 0.0) for e in ends)) + 1
+    by = [] if masks is None else ["mask"]
+    if masks is not None:
+        back = model_lattice(back, masks.select(F.call_function("shiftright", "mask", F.lit(at)).alias("mask")).distinct())
+    cells = _cells(back, low, high, by)
+    y = peaks.withColumn("target", F.col("observed") - common).where(F.col("target").isNotNull())
+    rows = _fronts(y, masses[:at], limits[:at], max(masses[:at], default=0.0)).withColumn("rest", F.col("target") - F.col("left"))
+    rows = rows.withColumn("cell", F.least(F.greatest(F.floor("rest").cast("long"), F.lit(low)), F.lit(high)))
+    if wanted is not None:
+        sought = wanted.select("sample_id", F.call_function("shiftright", "mask", F.lit(at)).alias("mask")).distinct()
+        met = rows.join(sought, "sample_id").join(cells, ["mask", "cell"])
+    else:
+        met = rows.join(cells, "cell")
+    off = lambda c: F.abs(F.col("rest") - F.col(c))
+    keep = [c for c in peaks.columns if c not in ("sample_id", "peak_id")]
+    if not at:
+        wins = lambda other, ties: F.col(other).isNull() | (off("lattice_mass") < off(other)) | ((off("lattice_mass") == off(other)) & F.col(ties))
+        return met.where(wins("below", "beats_below") & wins("above", "beats_above")).select("sample_id", "peak_id", *by, *keep, "composition", "lattice_mass", off("lattice_mass").alias("error"))
+    wins = lambda other: F.col(other).isNull() | (off("lattice_mass") <= off(other) + 1e-9)
+    met = met.where(wins("below") & wins("above")).withColumn("lattice_mass", F.col("left") + F.col("lattice_mass"))
+    met = met.withColumns({"composition": F.concat("front", "composition"), "error": F.abs(F.col("target") - F.col("lattice_mass"))})
+    if masks is not None:
+        met = met.withColumnRenamed("mask", "back_mask").withColumn("used", block_bits(F.col("front")))
+        need = masks.select("mask", F.call_function("shiftright", "mask", F.lit(at)).alias("back_mask"), F.col("mask").bitwiseAND(F.lit((1 << at) - 1)).alias("front_mask"))
+        best = F.min(F.struct("error", total(F.col("composition")).alias("copies"), "composition", "lattice_mass")).alias("best")
+        met = met.groupBy("sample_id", "peak_id", "back_mask", "used").agg(best, *[F.first(c).alias(c) for c in keep])
+        met = met.join(need, "back_mask").where(F.col("used").bitwiseAND(F.bitwise_not("front_mask")) == 0)
+        if wanted is not None:
+            met = met.join(wanted, ["sample_id", "mask"], "left_semi")
+        found = met.groupBy("sample_id", "peak_id", "mask").agg(F.min("best").alias("best"), *[F.first(c).alias(c) for c in keep])
+    else:
+        best = F.min(F.struct("error", total(F.col("composition")).alias("copies"), "composition", "lattice_mass")).alias("best")
+        found = met.groupBy("sample_id", "peak_id").agg(best, *[F.first(c).alias(c) for c in keep])
+    return found.select("sample_id", "peak_id", *by, *keep, "best.composition", "best.lattice_mass", "best.error")
+
+
+def within(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], common: float, tolerance: float, most: int = MOST_ALTERNATIVES, half: int = HALF) -> DataFrame:
+    """alternatives() over the lattice of all blocks, met in the middle."""
+    at = split_at(limits, half)
+    y = peaks.withColumn("target", F.col("observed") - common)
+    rows = _fronts(y.where(F.col("target").isNotNull()), masses[:at], limits[:at], tolerance)
+    cells = _tolerance_cells(lattice(peaks.sparkSession, masses[at:], limits[at:]).withColumnRenamed("composition", "back"), tolerance)
+    met = rows.withColumn("cell", F.floor(F.col("target") - F.col("left")).cast("long")).join(cells, "cell")
+    met = met.withColumn("error", F.abs(F.col("target") - (F.col("left") + F.col("mass")))).where(F.col("error") < tolerance)
+    ranked = _ranked(met.withColumn("composition", F.concat("front", "back")), most)
+    return ranked.unionByName(_without(peaks, ranked, F.array_repeat(F.lit(0), len(limits))))
 
 
 def reconstructed(rows: DataFrame, masses: Sequence[float], common: float | Column, tolerance: float) -> DataFrame:
@@ -119,5 +220,3 @@ def ambiguity_summary(per_peak: DataFrame, clear: float = 0.5) -> DataFrame:
         F.count_if(F.col("margin") >= clear).alias("n_clear"), F.count_if(F.col("margin") < clear).alias("n_ambiguous"), F.min("margin").alias("min_margin"),
         F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("margin"))).alias("median_margin"), F.max("margin").alias("max_margin"),
     )
-
-

@@ -2,6 +2,9 @@
 
 nodes: (key columns..., peak_id, observed, composition); each combination of the key columns is a network of its own, such as a
 model of a sample. All networks are worked on at once.
+
+Only network() makes all pairs, as they are its result. Everything else works on classes, the distinct compositions of a network: what is near a
+composition is generated and found by hash joins, and pairs that are counted only are counted by sums over groups and over the cells of a Fenwick tree.
 """
 
 from __future__ import annotations
@@ -54,9 +57,14 @@ def clean_degrees(nodes: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def clean_components(nodes: DataFrame, by: Sequence[str] = BY, most_rounds: int = 100) -> DataFrame:
-    """The smallest peak_id that each node reaches over clean edges. Labels take the least of their neighbours' and then of their
+    """The smallest peak_id that each node reaches over clean edges."""
+    return components(nodes, clean_pairs(nodes, by).select(*by, "at", "nb").distinct(), by, most_rounds)
+
+
+def components(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = BY, most_rounds: int = 100) -> DataFrame:
+    """The smallest peak_id that each of nodes (peak_id) reaches over edges (at, nb), given in both directions. Labels take the least of their neighbours' and then of their
     label's label, until none changes."""
-    edges = settled(clean_pairs(nodes, by).select(*by, "at", "nb").distinct())
+    edges = settled(edges)
     labels = settled(nodes.select(*by, "peak_id", F.col("peak_id").alias("component")))
     for _ in range(most_rounds):
         told = edges.join(labels.withColumnRenamed("peak_id", "nb"), [*by, "nb"]).groupBy(*by, F.col("at").alias("peak_id")).agg(F.min("component").alias("least"))
@@ -71,10 +79,63 @@ def clean_components(nodes: DataFrame, by: Sequence[str] = BY, most_rounds: int
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def network_statistics(nodes: DataFrame, edges: DataFrame, components: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Counts by kind, density, mean clean degree, components and reachability of each network."""
+def classes(nodes: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """The distinct compositions of each network, with their number of nodes and their lightest node (first: observed, peak_id)."""
+    return nodes.groupBy(*by, "composition").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("observed", "peak_id")).alias("first"))
+
+
+def _each(composition: Column, choices) -> Column:
+    """All arrays of one of choices(n) for each count n of a composition."""
+    grown = lambda acc, n: F.flatten(F.transform(acc, lambda a: F.transform(choices(n), lambda j: F.array_append(a, j))))
+    return F.aggregate(composition, F.array(F.array().cast("array<int>")), grown)
+
+
+def dominated_pairs(alike: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Of each network (classes with n), the pairs of nodes of which one's counts are nowhere above the other's, and somewhere below.
+
+    The counts are the places of a Fenwick tree over all blocks. Each class adds its n to the cells that cover it and asks the cells that make up
+    all below it: a few of either for each block, joined by equality.
+    """
+    top = alike.groupBy(*by).agg((F.max(F.array_max("composition")) + 1).alias("top"))
+    low = lambda j: j.bitwiseAND(-j)
+    covering = lambda n: F.filter(F.sequence(F.lit(1), F.col("top")), lambda j: (j > n) & (j - low(j) <= n))
+    making = lambda n: F.filter(F.sequence(F.lit(1), n + 1), lambda j: n + 1 - j < low(j))
+    cells = alike.join(top, list(by)).select(*by, "n", F.explode(_each(F.col("composition"), covering)).alias("cell")).groupBy(*by, "cell").agg(F.sum("n").alias("held"))
+    asked = alike.select(*by, "n", F.explode(_each(F.col("composition"), making)).alias("cell")).join(cells, [*by, "cell"])
+    below = asked.groupBy(*by).agg(F.sum(F.col("n") * F.col("held")).alias("below"))
+    own = alike.groupBy(*by).agg(F.sum(F.col("n") * F.col("n")).alias("own"))
+    return own.join(below, list(by)).select(*by, (F.col("below") - F.col("own")).alias("dominated"))
+
+
+def pair_kinds(nodes: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """total_pairs and the number of each kind, without making pairs.
+
+    Equal compositions are counted by class, pairs that differ in one block by what is left without that block, clean ones of these by the class one copy
+    above, pairs of which one is part of the other by dominated_pairs(); the rest are mixed.
+    """
+    alike = settled(classes(nodes, by).drop("first"))
+    places = F.sequence(F.lit(0), F.size("composition") - 1)
+    put = lambda k, v: F.transform("composition", lambda n, i: F.when(i == k, v(n)).otherwise(n))
+    half = lambda s, q: ((s * s - q) / 2).cast("long")
+    square = F.sum(F.col("n") * F.col("n"))
+    whole = alike.groupBy(*by).agg(F.sum("n").alias("nodes"), square.alias("squares"))
+    whole = whole.select(*by, half(F.col("nodes"), F.col("nodes")).alias("total_pairs"), half(F.lit(0), F.col("nodes") - F.col("squares")).alias("n_identity"))
+    each = alike.withColumn("k", F.explode(places))
+    lines = each.select(*by, "k", "n", put(F.col("k"), lambda n: F.lit(-1)).alias("rest")).groupBy(*by, "k", "rest").agg(F.sum("n").alias("s"), square.alias("q"))
+    lines = lines.groupBy(*by).agg(F.sum(half(F.col("s"), F.col("q"))).alias("single"))
+    above = each.select(*by, F.col("n").alias("here"), put(F.col("k"), lambda n: n + 1).alias("composition")).join(alike, [*by, "composition"])
+    clean = above.groupBy(*by).agg(F.sum(F.col("here") * F.col("n")).alias("n_clean"))
+    rows = whole.join(lines, list(by)).join(clean, list(by), "left").join(dominated_pairs(alike, by), list(by)).fillna(0, ["n_clean"])
+    return rows.select(
+        *by, "total_pairs", "n_clean", (F.col("single") - F.col("n_clean")).alias("n_skip"), (F.col("dominated") - F.col("single")).alias("n_multi"),
+        (F.col("total_pairs") - F.col("n_identity") - F.col("dominated")).alias("n_mixed"), "n_identity",
+    )
+
+
+def network_statistics(nodes: DataFrame, edges: DataFrame | None, components: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Counts by kind, density, mean clean degree, components and reachability of each network. Without edges, pairs are counted by pair_kinds()."""
     sizes = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_good"))
-    kinds = edges.groupBy(*by).agg(F.count(F.lit(1)).alias("total_pairs"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
+    kinds = pair_kinds(nodes, by) if edges is None else edges.groupBy(*by).agg(F.count(F.lit(1)).alias("total_pairs"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
     parts = components.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.count(F.lit(1)).alias("clean_components"), F.max("n").alias("largest_clean_component"))
     rows = sizes.join(kinds, list(by), "left").join(parts, list(by), "left").fillna(0)
     many = F.col("total_pairs") > 0
@@ -116,6 +177,101 @@ def spanning_trees(edges: DataFrame, by: Sequence[str] = BY, most_edges: int = 1
     return _small_trees(some.join(large, list(by), "left_anti"), by).unionByName(_large_trees(some.join(large, list(by), "left_semi"), by))
 
 
+def ring(composition: Column, low: int, high: int, top: Column | None = None) -> Column:
+    """All compositions with low to high copies less; or more, where top is the highest count that occurs. array<struct<composition, steps>>"""
+    zero = F.array(F.struct(F.array().cast("array<int>").alias("composition"), F.lit(0).alias("steps")))
+
+    def grown(acc: Column, n: Column) -> Column:
+        room = n if top is None else top - n
+        to = lambda k: n - k if top is None else n + k
+        one = lambda a: F.transform(F.sequence(F.lit(0), F.least(room, F.lit(high) - a["steps"])), lambda k: F.struct(F.array_append(a["composition"], to(k)).alias("composition"), (a["steps"] + k).alias("steps")))
+        return F.flatten(F.transform(acc, one))
+
+    return F.filter(F.aggregate(composition, zero, grown), lambda a: a["steps"] >= low)
+
+
+def around(composition: Column, most: int, top: Column) -> Column:
+    """All compositions, counts 0 to top, that differ by at most that many copies. array<struct<composition, steps>>"""
+    zero = F.array(F.struct(F.array().cast("array<int>").alias("composition"), F.lit(0).alias("steps")))
+
+    def grown(acc: Column, n: Column) -> Column:
+        left = lambda a: F.lit(most) - a["steps"]
+        one = lambda a: F.transform(F.sequence(F.greatest(n - left(a), F.lit(0)), F.least(n + left(a), top)), lambda m: F.struct(F.array_append(a["composition"], m).alias("composition"), (a["steps"] + F.abs(m - n)).alias("steps")))
+        return F.flatten(F.transform(acc, one))
+
+    return F.aggregate(composition, zero, grown)
+
+
+def _between_classes(nodes: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of the edges between the nodes of two classes (a, b: compositions), those that a spanning tree can have: (x, y: the ends' observed and peak_id).
+
+    For nodes of the one class, only the next mass above, the next below and the same mass in the other class count, and of each the smallest peak_id: any other edge of
+    the two classes has a way around it over smaller ones.
+    """
+    sites = nodes.groupBy(*by, "composition", "observed").agg(F.min("peak_id").alias("peak_id"))
+    side = lambda c: pairs.select(*by, "a", "b", F.lit(c).alias("side"), F.col(c).alias("composition")).join(sites, [*by, "composition"])
+    rep = lambda c: F.min(F.when(F.col("side") == c, F.col("peak_id")))
+    merged = side("a").unionByName(side("b")).groupBy(*by, "a", "b", "observed").agg(rep("a").alias("in_a"), rep("b").alias("in_b"))
+    line = Window.partitionBy(*by, "a", "b").orderBy("observed")
+    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    spot = lambda c: F.when(F.col(c).isNotNull(), F.struct("observed", F.col(c).alias("peak_id")))
+    seen = {f"{c}_{when}": f(spot(f"in_{c}"), ignorenulls=True).over(w) for c in "ab" for when, f, w in (("before", F.last, before), ("after", F.first, after))}
+    merged = merged.withColumns({**seen, "a_same": spot("in_a"), "b_same": spot("in_b")})
+    others = lambda c: F.filter(F.array(f"{c}_before", f"{c}_same", f"{c}_after"), lambda x: x.isNotNull())
+    asks = [merged.where(F.col(f"in_{c}").isNotNull()).select(*by, F.col(c).alias("composition"), "observed", F.col(o).alias("opposite"), F.explode(others(o)).alias("y")) for c, o in ("ab", "ba")]
+    met = asks[0].unionByName(asks[1]).join(nodes, [*by, "composition", "observed"])
+    return met.select(*by, F.struct("observed", "peak_id").alias("x"), "y", "composition", "opposite")
+
+
+def _within_classes(nodes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same between nodes of one composition: each mass's smallest peak_id with the next mass's, and with the others of its mass."""
+    sites = nodes.groupBy(*by, "composition", "observed").agg(F.min("peak_id").alias("rep"))
+    after = F.lead(F.struct("observed", F.col("rep").alias("peak_id"))).over(Window.partitionBy(*by, "composition").orderBy("observed"))
+    chain = sites.select(*by, F.struct("observed", F.col("rep").alias("peak_id")).alias("x"), after.alias("y"), "composition").where("y is not null")
+    same = nodes.join(sites, [*by, "composition", "observed"]).where("peak_id <> rep").select(*by, F.struct("observed", F.col("rep").alias("peak_id")).alias("x"), F.struct("observed", "peak_id").alias("y"), "composition")
+    return chain.unionByName(same).withColumn("opposite", F.col("composition"))
+
+
+def tree_candidates(nodes: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Edges of network(), few for each node, among which every network's spanning tree is.
+
+    Classes meet those at penalties up to 2 first: one block a copy apart, or a few copies of some blocks more. In networks that are not in one part then, the classes
+    outside the largest part meet classes of other parts in rings of growing penalty, until one part is left.
+    """
+    by, nodes = list(by), nodes.select(*by, "peak_id", "observed", "composition")
+    alike = settled(classes(nodes, by))
+    top = alike.groupBy(*by).agg(F.max(F.array_max("composition")).alias("top"))
+    ends = lambda rows: rows.select(*by, F.least("composition", "near").alias("a"), F.greatest("composition", "near").alias("b"))
+    met = lambda rows, shell: rows.select(*by, "composition", F.explode(shell).alias("s")).select(*by, "composition", F.col("s.composition").alias("near"))
+    there = alike.select(*by, F.col("composition").alias("near"))
+    found = settled(ends(met(alike, ring(F.col("composition"), 1, 3)).join(there, [*by, "near"])))
+    every, high = found, 2
+    ids = alike.select(*by, "composition", F.col("first.peak_id").alias("peak_id"))
+    while True:
+        ends_of = lambda c: ids.select(*by, F.col("composition").alias(c), F.col("peak_id").alias(f"{c}_id"))
+        links = every.join(ends_of("a"), [*by, "a"]).join(ends_of("b"), [*by, "b"])
+        both = links.select(*by, F.col("a_id").alias("at"), F.col("b_id").alias("nb")).unionByName(links.select(*by, F.col("b_id").alias("at"), F.col("a_id").alias("nb")))
+        part = settled(components(ids, both, by).join(ids, [*by, "peak_id"]).drop("peak_id"))
+        size = part.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("size"))
+        largest = size.groupBy(*by).agg(F.max(F.struct("size", "component")).alias("m")).select(*by, F.col("m.component").alias("largest"))
+        outside = settled(part.join(largest, by).where("component <> largest").drop("largest").join(top, by))
+        if outside.isEmpty():
+            break
+        low, high = high, 3 * high
+        c, t = F.col("composition"), F.col("top")
+        shells = met(outside, ring(c, 1, high + 1)).unionByName(met(outside, ring(c, 1, high + 1, t))).unionByName(met(outside, around(c, high // 2, t)))
+        here, other = part.select(*by, "composition", F.col("component").alias("own")), part.select(*by, F.col("composition").alias("near"), F.col("component").alias("other"))
+        new = shells.join(other, [*by, "near"]).join(here, [*by, "composition"]).where("own <> other")
+        penalty = transition_penalty(minus(F.col("near"), c))
+        every = settled(every.unionByName(ends(new.where((penalty > low) & (penalty <= high))).distinct()))
+    rows = _between_classes(nodes, every, by).unionByName(_within_classes(nodes, by))
+    first = F.col("x") < F.col("y")
+    i, j = F.least("x", "y"), F.greatest("x", "y")
+    delta = F.when(first, minus(F.col("opposite"), F.col("composition"))).otherwise(minus(F.col("composition"), F.col("opposite")))
+    rows = rows.select(*by, i["peak_id"].alias("i"), j["peak_id"].alias("j"), F.abs(j["observed"] - i["observed"]).alias("gap"), delta.alias("delta")).distinct()
+    return rows.select("*", l1(F.col("delta")).alias("l1"), transition_kind(F.col("delta")).alias("kind"), transition_penalty(F.col("delta")).alias("penalty"))
+
+
 def _small_trees(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     @F.pandas_udf("array<struct<i:bigint,j:bigint>>")
     def tree(i: pd.Series, j: pd.Series) -> pd.Series:
@@ -177,29 +333,66 @@ def additive_parents(nodes: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def _parents(nodes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """additive_parents() with null for the root, which a peak numbered 0 is not taken for."""
-    below = lambda a, b: F.forall(F.zip_with(b("composition"), a("composition"), lambda x, y: x >= y), lambda ok: ok) & (total(a("composition")) < total(b("composition")))
-    real = _pairs(nodes, by, below).select(*[F.col(f"b.{k}") for k in by], F.col("b.peak_id").alias("peak_id"), F.col("a.peak_id").alias("parent"), F.col("a.observed").alias("mass"), minus(F.col("b.composition"), F.col("a.composition")).alias("delta"))
-    root = nodes.select(*by, "peak_id", F.lit(None).cast(nodes.schema["peak_id"].dataType).alias("parent"), F.lit(0.0).alias("mass"), F.col("composition").alias("delta"))
-    key = F.struct(l1(F.col("delta")).alias("l1"), transition_penalty(F.col("delta")).alias("penalty"), F.col("mass"), F.coalesce("parent", F.lit(0)))
-    return real.unionByName(root).groupBy(*by, "peak_id").agg(F.min_by(F.struct("parent", "delta"), key).alias("p")).select(*by, "peak_id", "p.parent", "p.delta")
+    """additive_parents() with null for the root, which a peak numbered 0 is not taken for.
+
+    Nodes of one composition have one parent, so classes are searched: each meets the compositions with 1 or 2, then 3 to 6, 7 to 14, ... copies less, and stops at
+    the first ring that has one or that the root is in.
+    """
+    alike = settled(classes(nodes, by))
+    there = alike.select(*by, F.col("composition").alias("below"), "first")
+    waiting, done, low, high = alike.select(*by, "composition", total(F.col("composition")).alias("copies")), None, 1, 2
+    zeros = F.transform("composition", lambda n: F.lit(0))
+    while True:
+        shell = waiting.select(*by, "composition", F.explode(ring(F.col("composition"), low, high)).alias("s")).select(*by, "composition", F.col("s.steps").alias("steps"), F.col("s.composition").alias("below"))
+        option = lambda steps, mass, id_, parent, below: F.struct(steps.alias("steps"), mass.alias("mass"), id_.alias("id"), parent.alias("parent"), below.alias("below"))
+        real = option(F.col("steps"), F.col("first.observed"), F.col("first.peak_id"), F.col("first.peak_id"), F.col("below"))
+        hits = shell.join(there, [*by, "below"]).groupBy(*by, "composition").agg(F.min(real).alias("hit"))
+        kind = nodes.schema["peak_id"].dataType
+        root = F.when(F.col("copies") <= high, option(F.col("copies"), F.lit(0.0), F.lit(0).cast(kind), F.lit(None).cast(kind), zeros))
+        step = settled(waiting.join(hits, [*by, "composition"], "left").withColumn("best", F.least("hit", root)).drop("hit"))
+        solved = step.where(F.col("best").isNotNull()).select(*by, "composition", F.col("best.parent").alias("parent"), minus(F.col("composition"), F.col("best.below")).alias("delta"))
+        done = solved if done is None else done.unionByName(solved)
+        waiting = step.where(F.col("best").isNull()).drop("best")
+        if waiting.isEmpty():
+            return nodes.select(*by, "peak_id", "composition").join(done, [*by, "composition"]).select(*by, "peak_id", "parent", "delta")
+        low, high = high + 1, 2 * high + 2
+
+
+def pre_order(parents: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Place and depth of each node of the trees (peak_id, parent or null, observed), children by mass.
+
+    The Euler tour enters and leaves each node once: a node is followed by its first child, and what it leaves by its next sibling or its parent's end. Each step is one row that
+    points at the next; pointers double each round, adding up how many nodes are entered and how far the tour still goes down. So a tree of any depth takes
+    the logarithm of its nodes in rounds, and memory in proportion to its nodes.
+    """
+    by = list(by)
+    siblings = Window.partitionBy(*by, "parent").orderBy("observed", "peak_id")
+    kin = settled(parents.select(*by, "peak_id", "parent", F.lead("peak_id").over(siblings).alias("sibling"), F.row_number().over(siblings).alias("turn")))
+    child = kin.where("turn = 1 and parent is not null").select(*by, F.col("parent").alias("peak_id"), F.col("peak_id").alias("child"))
+    enter = kin.join(child, [*by, "peak_id"], "left")
+    step = lambda to, enters: F.struct(to.alias("peak_id"), F.lit(enters).alias("enters"))
+    enters = enter.select(*by, F.struct("peak_id", F.lit(True).alias("enters")).alias("at"), F.when(F.col("child").isNotNull(), step(F.col("child"), True)).otherwise(step(F.col("peak_id"), False)).alias("next"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("deeper"))
+    leaves = kin.select(*by, F.struct("peak_id", F.lit(False).alias("enters")).alias("at"), F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), True)).when(F.col("parent").isNotNull(), step(F.col("parent"), False)).alias("next"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("deeper"))
+    tour = settled(enters.unionByName(leaves))
+    while not tour.where("next is not null").isEmpty():
+        ahead = tour.select(*by, F.col("at").alias("next"), F.col("next").alias("far"), F.col("entered").alias("more"), F.col("deeper").alias("down"))
+        add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+        tour = settled(tour.join(ahead, [*by, "next"], "left").select(*by, "at", F.col("far").alias("next"), add("entered", "more"), add("deeper", "down")))
+    whole = parents.groupBy(*by).agg(F.count(F.lit(1)).alias("nodes"))
+    # Both sums run from a step to the end, where the tour is at depth 0 again.
+    return tour.where("at.enters").join(whole, by).select(*by, "at.peak_id", (F.col("nodes") - F.col("entered") + 1).cast("int").alias("place"), (1 - F.col("deeper")).cast("int").alias("depth"))
 
 
 def tree_chain(nodes: DataFrame, block_names: Sequence[str], by: Sequence[str] = BY) -> DataFrame:
     """The additive trees in pre-order, children by mass: place, depth, n_children, clean degree, labels, and the clean neighbours outside
-    the tree. Paths to the root double in length each round until all reach it, so few joins reach any depth."""
+    the tree."""
     names = strings(block_names)
     parents = settled(_parents(nodes, by).join(nodes, [*by, "peak_id"]))
-    step = F.struct(F.col("observed"), F.col("peak_id"))
-    paths = parents.select(*by, "peak_id", F.col("parent").alias("top"), F.array(step).alias("path"))
-    while not paths.where("top IS NOT NULL").isEmpty():
-        over = paths.select(*by, F.col("peak_id").alias("top"), F.col("top").alias("above"), F.col("path").alias("upper"))
-        paths = settled(paths.join(over, [*by, "top"], "left").select(*by, "peak_id", F.col("above").alias("top"), F.when(F.col("upper").isNull(), F.col("path")).otherwise(F.concat("upper", "path")).alias("path")))
     kids = parents.groupBy(*by, F.col("parent").alias("peak_id")).agg(F.count(F.lit(1)).alias("n_children"))
-    rows = parents.join(paths.select(*by, "peak_id", "path"), [*by, "peak_id"]).join(kids, [*by, "peak_id"], "left").join(clean_degrees(nodes, by), [*by, "peak_id"]).join(extra_clean(nodes, parents, names, by), [*by, "peak_id"], "left")
+    rows = parents.join(pre_order(parents, by), [*by, "peak_id"]).join(kids, [*by, "peak_id"], "left").join(clean_degrees(nodes, by), [*by, "peak_id"]).join(extra_clean(nodes, parents, names, by), [*by, "peak_id"], "left")
     d = F.col("delta")
     return rows.select(
-        *by, F.row_number().over(Window.partitionBy(*by).orderBy("path")).alias("place"), "peak_id", F.round("observed", 5).alias("mass"), F.size("path").alias("depth"),
+        *by, "place", "peak_id", F.round("observed", 5).alias("mass"), "depth",
         F.coalesce("parent", F.lit(0)).alias("parent"), composition_label(names, F.col("composition")).alias("formula"), F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), "clean_degree",
         addition_label(names, d).alias("addition"), delta_label(names, d).alias("transition"), transition_kind(d).alias("edge_kind"), l1(d).alias("edge_l1"),
         F.coalesce("extra_clean", F.array().cast("array<string>")).alias("extra_clean"),

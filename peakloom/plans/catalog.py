@@ -14,7 +14,7 @@ from ..operators.storage import settled
 from ..sources import dictionary
 from ..sources.peaks import lenient_value
 from .solve import SolveConfig, solve
-from .tables import COMMON, FLAGS, LIMITS, MASSES, NAMES, NODES_SQL, PEAKS_SQL, nation_peaks, nodes, peaks, read, residuals, usage_events
+from .tables import COMMON, FLAGS, LIMITS, LIMITS8, MASSES, MASSES8, NAMES, NAMES8, NATION_SQL, NODES_SQL, PEAKS_SQL, nation_peaks, nodes, peaks, read, residuals, usage_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,12 +144,8 @@ models AS (SELECT sample_id, mask, model, n_blocks, count(*) AS n, count(*) FILT
   count(*) * ln(greatest(sum(error * error), 1e-10) / count(*)) + n_blocks * ln(count(*)) AS bic FROM fits JOIN masks USING (mask) GROUP BY sample_id, mask, model, n_blocks)"""
 
 
-def _points(s):
-    return lattice.lattice(s, MASSES, LIMITS)
-
-
 def _fits(s, d, masks):
-    return lattice.nearest(peaks(s, d), lattice.model_lattice(_points(s), masks), COMMON, ["mask"])
+    return lattice.closest(peaks(s, d), MASSES, LIMITS, COMMON, masks)
 
 
 def _models(s, d):
@@ -169,7 +165,44 @@ _SHOWN = "SELECT sample_id, mask, model, n_blocks, n, n_good, n_bad, round(rss +
 
 @query("lattice_nearest", f"WITH {LATTICE_SQL}, f AS (SELECT sample_id, peak_id, min({{'error': abs((observed - {COMMON!r}::DOUBLE) - mass), 'copies': copies, 'comp': comp}}) AS f FROM peaks, lat GROUP BY 1, 2) SELECT sample_id, peak_id, array_to_string(f.comp, ',') AS composition, round(f.error, 6) AS error FROM f")
 def lattice_nearest(s, d):
-    return lattice.nearest(peaks(s, d), _points(s), COMMON).select("sample_id", "peak_id", text().alias("composition"), F.round("error", 6).alias("error"))
+    return lattice.closest(peaks(s, d), MASSES, LIMITS, COMMON).select("sample_id", "peak_id", text().alias("composition"), F.round("error", 6).alias("error"))
+
+
+_back8 = "(((((0.0::DOUBLE + " + ") + ".join(f"n[{k}] * {m!r}::DOUBLE" for k, m in enumerate(MASSES8[2:], 1)) + ")"
+LATTICE8_SQL = f"""fronts AS (SELECT [a, b]::INT[] AS n, (0.0::DOUBLE + a * {MASSES8[0]!r}::DOUBLE) + b * {MASSES8[1]!r}::DOUBLE AS mass FROM range(11) t(a), range(5) u(b)),
+backs AS (SELECT n, {_back8} AS mass FROM (SELECT [c, d, e, f, g, h]::INT[] AS n FROM range(5) t(c), range(5) u(d), range(5) v(e), range(5) w(f), range(5) x(g), range(5) y(h))),
+lat AS MATERIALIZED (SELECT f.mass + b.mass AS mass, min({{'copies': list_sum(f.n)::INT + list_sum(b.n)::INT, 'comp': list_concat(f.n, b.n)}}) AS p FROM fronts f, backs b GROUP BY 1)"""
+
+
+@query("lattice_nearest8", f"""WITH {PEAKS_SQL}, {LATTICE8_SQL}, t AS (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks),
+sides AS (SELECT sample_id, peak_id, abs(target - mass) AS error, p FROM t ASOF JOIN lat ON t.target >= lat.mass UNION ALL SELECT sample_id, peak_id, abs(target - mass), p FROM t ASOF JOIN lat ON t.target <= lat.mass),
+f AS (SELECT sample_id, peak_id, min({{'error': error, 'copies': p.copies, 'comp': p.comp}}) AS f FROM sides GROUP BY 1, 2)
+SELECT sample_id, peak_id, array_to_string(f.comp, ',') AS composition, round(f.error, 6) AS error FROM f""")
+def lattice_nearest8(s, d):
+    """Of 859,375 compositions of eight blocks, of which 15,625 are a table."""
+    return lattice.closest(peaks(s, d), MASSES8, LIMITS8, COMMON).select("sample_id", "peak_id", text().alias("composition"), F.round("error", 6).alias("error"))
+
+
+@query("lattice_alternatives8", f"""WITH {NATION_SQL}, {LATTICE8_SQL.replace("min({", "({").replace(" GROUP BY 1)", ")")}, t AS (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks),
+met AS (SELECT sample_id, peak_id, p.comp AS comp, abs(target - mass) AS error, row_number() OVER (PARTITION BY sample_id, peak_id ORDER BY p.comp) AS dfs FROM t JOIN lat ON lat.mass BETWEEN t.target - 0.51 AND t.target + 0.51 WHERE abs(target - mass) < {TOLERANCE}),
+alts AS (SELECT sample_id, peak_id, row_number() OVER (PARTITION BY sample_id, peak_id ORDER BY error, dfs) AS alternative, comp, error FROM met WHERE dfs <= 500)
+SELECT sample_id, peak_id, alternative, array_to_string(comp, ',') AS composition, round(error, 6) AS error FROM alts
+UNION ALL SELECT sample_id, peak_id, 1, '0,0,0,0,0,0,0,0', 'inf'::DOUBLE FROM peaks p WHERE NOT EXISTS (SELECT 1 FROM alts a WHERE a.sample_id = p.sample_id AND a.peak_id = p.peak_id)""")
+def lattice_alternatives8(s, d):
+    rows = lattice.within(nation_peaks(s, d), MASSES8, LIMITS8, COMMON, TOLERANCE)
+    return rows.select("sample_id", "peak_id", F.col("alternative").cast("long").alias("alternative"), text().alias("composition"), F.round("error", 6).alias("error"))
+
+
+@query("subset_models8", f"""WITH {NATION_SQL}, {LATTICE8_SQL}, masks AS (SELECT m::INT AS mask FROM range(1, 256) t(m)), used AS (SELECT mass, p, list_sum([CASE WHEN p.comp[i] > 0 THEN 1 << (i - 1) ELSE 0 END FOR i IN range(1, 9)])::INT AS used FROM lat),
+ml AS MATERIALIZED (SELECT mask, mass, p FROM used JOIN masks ON used & (255 - mask) = 0), t AS MATERIALIZED (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks, masks),
+sides AS (SELECT sample_id, peak_id, t.mask, abs(target - mass) AS error, p FROM t ASOF JOIN ml ON t.mask = ml.mask AND t.target >= ml.mass UNION ALL SELECT sample_id, peak_id, t.mask, abs(target - mass), p FROM t ASOF JOIN ml ON t.mask = ml.mask AND t.target <= ml.mass),
+f AS (SELECT sample_id, peak_id, mask, min({{'error': error, 'copies': p.copies, 'comp': p.comp}}) AS f FROM sides GROUP BY 1, 2, 3)
+SELECT sample_id, mask, count(*) AS n, count(*) FILTER (f.error < {WIDE}) AS n_good, round(sum(f.error * f.error) + 1e-8, 4) AS rss FROM f GROUP BY 1, 2""")
+def subset_models8(s, d):
+    """All 255 models of eight blocks."""
+    fits = lattice.closest(nation_peaks(s, d), MASSES8, LIMITS8, COMMON, lattice.subset_masks(s, NAMES8))
+    e = F.col("error")
+    return fits.groupBy("sample_id", "mask").agg(F.count(F.lit(1)).alias("n"), F.count_if(e < WIDE).alias("n_good"), F.round(F.sum(e * e) + 1e-8, 4).alias("rss"))
 
 
 ALTERNATIVES_SQL = f"""{LATTICE_SQL}, met AS (SELECT sample_id, peak_id, comp, abs((observed - {COMMON!r}::DOUBLE) - mass) AS error, row_number() OVER (PARTITION BY sample_id, peak_id ORDER BY comp) AS dfs FROM peaks, lat WHERE abs((observed - {COMMON!r}::DOUBLE) - mass) < {WIDE}),
@@ -178,7 +211,7 @@ alts AS (SELECT sample_id, peak_id, row_number() OVER (PARTITION BY sample_id, p
 
 @query("lattice_alternatives", f"WITH {ALTERNATIVES_SQL} SELECT sample_id, peak_id, alternative, array_to_string(comp, ',') AS composition, round(error, 6) AS error FROM alts UNION ALL SELECT sample_id, peak_id, 1, '0,0,0,0', 'inf'::DOUBLE FROM peaks p WHERE NOT EXISTS (SELECT 1 FROM alts a WHERE a.sample_id = p.sample_id AND a.peak_id = p.peak_id)")
 def lattice_alternatives(s, d):
-    rows = lattice.alternatives(peaks(s, d), _points(s), COMMON, WIDE)
+    rows = lattice.within(peaks(s, d), MASSES, LIMITS, COMMON, WIDE)
     return rows.select("sample_id", "peak_id", F.col("alternative").cast("long").alias("alternative"), text().alias("composition"), F.round("error", 6).alias("error"))
 
 
@@ -186,7 +219,7 @@ def lattice_alternatives(s, d):
 k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY margin) AS k, count(*) OVER (PARTITION BY sample_id) AS n FROM m WHERE margin IS NOT NULL)
 SELECT sample_id, count(*) FILTER (margin >= 0.5) AS n_clear, count(*) FILTER (margin < 0.5) AS n_ambiguous, round(min(margin), 6) AS min_margin, round(max(margin) FILTER (k = n // 2 + 1), 6) AS median_margin, round(max(margin), 6) AS max_margin FROM k GROUP BY 1""")
 def ambiguity_margins(s, d):
-    rows = lattice.ambiguity_summary(lattice.ambiguity(lattice.alternatives(peaks(s, d), _points(s), COMMON, WIDE)))
+    rows = lattice.ambiguity_summary(lattice.ambiguity(lattice.within(peaks(s, d), MASSES, LIMITS, COMMON, WIDE)))
     return rows.select("sample_id", "n_clear", "n_ambiguous", *[F.round(c, 6).alias(c) for c in ("min_margin", "median_margin", "max_margin")])
 
 
@@ -209,7 +242,7 @@ ps AS (SELECT sample_id, peak_id, any_value(observed) AS observed, count(*) AS n
 
 @query("superset_prune", f"WITH {PRUNED_SQL} {_SHOWN} FROM pruned")
 def superset_prune(s, d):
-    return _shown(compare.without_supersets(settled(_models(s, d)[1])))
+    return _shown(compare.level_search(peaks(s, d), NAMES, MASSES, LIMITS, COMMON, WIDE)[1])
 
 
 @query("best_models", f"WITH {MODELS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY bic, n_blocks, mask) AS k FROM models) {_SHOWN.replace(' n, n_good', ' n_good')} FROM o WHERE k = 1")
@@ -340,8 +373,7 @@ def clean_components(s, d):
 
 def _statistics(s, d):
     own = settled(nodes(s, d))
-    edges = settled(network.network(own))
-    return own, edges, network.network_statistics(own, edges, network.clean_components(own))
+    return own, network.network_statistics(own, None, network.clean_components(own))
 
 
 STATISTICS_SQL = f"""{COMPONENT_SQL}, sz AS (SELECT sample_id, model, count(*) AS n_good FROM nodes GROUP BY 1, 2),
@@ -355,7 +387,7 @@ _ROUNDED = "round(clean_density, 6) AS clean_density, round(mean_clean_degree, 6
 
 @query("network_statistics", f"WITH RECURSIVE {STATISTICS_SQL} SELECT * REPLACE ({_ROUNDED}) FROM ns")
 def network_statistics(s, d):
-    rows = _statistics(s, d)[2]
+    rows = _statistics(s, d)[1]
     return rows.withColumns({c: F.round(c, 6) for c in ("clean_density", "mean_clean_degree", "clean_reachability")})
 
 
@@ -368,7 +400,7 @@ tree AS (SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.i
 
 @query("mst_edges", f"WITH RECURSIVE {EDGE_SQL}, {TREE_SQL} SELECT sample_id, model, i, j, round(gap, 6) AS gap, l1, kind, penalty FROM tree")
 def mst_edges(s, d):
-    return network.spanning_trees(network.network(nodes(s, d))).select(*BY, "i", "j", F.round("gap", 6).alias("gap"), "l1", "kind", "penalty")
+    return network.spanning_trees(network.tree_candidates(settled(nodes(s, d)))).select(*BY, "i", "j", F.round("gap", 6).alias("gap"), "l1", "kind", "penalty")
 
 
 @query("rank_models", f"""WITH RECURSIVE {STATISTICS_SQL}, {TREE_SQL}, ts AS (SELECT sample_id, model, count(*) AS mst_edges, {", ".join(f"count(*) FILTER (kind = '{k}') AS mst_{k}" for k in network.KINDS)}, avg(penalty) AS mst_mean_penalty, max(l1) AS mst_max_l1 FROM tree GROUP BY 1, 2),
@@ -376,8 +408,8 @@ joined AS (SELECT ns.*, coalesce(mst_edges, 0) AS mst_edges, {", ".join(f"coales
 scored AS (SELECT *, mst_mean_penalty * (2 - clean_reachability) * (1 + CASE WHEN mst_edges > 0 THEN mst_mixed / mst_edges ELSE 0 END) AS score FROM joined)
 SELECT * REPLACE ({_ROUNDED}, round(mst_mean_penalty, 6) AS mst_mean_penalty, round(score, 6) AS score), row_number() OVER (PARTITION BY sample_id ORDER BY score, n_good DESC, model)::INT AS rank FROM scored""")
 def rank_models(s, d):
-    own, edges, stats = _statistics(s, d)
-    ranked = network.rank_models(stats, network.tree_statistics(network.spanning_trees(edges)))
+    own, stats = _statistics(s, d)
+    ranked = network.rank_models(stats, network.tree_statistics(network.spanning_trees(network.tree_candidates(own))))
     return ranked.withColumns({c: F.round(c, 6) for c in ("clean_density", "mean_clean_degree", "clean_reachability", "mst_mean_penalty", "score")})
 
 
@@ -390,7 +422,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, model, peak_id ORDER
 
 @query("additive_tree_parent", f"WITH {NODES_SQL}, {PARENT_SQL} SELECT sample_id, model, peak_id, parent, da || ',' || dn || ',' || dr AS delta FROM o WHERE k = 1")
 def additive_tree_parent(s, d):
-    return network.additive_parents(nodes(s, d)).select(*BY, "peak_id", "parent", text("delta").alias("delta"))
+    return network.additive_parents(settled(nodes(s, d))).select(*BY, "peak_id", "parent", text("delta").alias("delta"))
 
 
 CHAIN_SQL = f"""{EDGE_SQL}, {PARENT_SQL}, own AS (SELECT o.sample_id, o.model, o.peak_id, parent, rooted, CASE WHEN NOT rooted THEN parent END AS above, da, dn, dr, l1, observed, a, n, r, true AS up FROM o JOIN nodes USING (sample_id, model, peak_id) WHERE k = 1),
@@ -506,7 +538,7 @@ def phase_fit(s, d):
 
 
 def _annealing(s, d):
-    return settled(lattice.alternatives(nation_peaks(s, d), _points(s), COMMON, TOLERANCE))
+    return settled(lattice.within(nation_peaks(s, d), MASSES, LIMITS, COMMON, TOLERANCE))
 
 
 @query("sa_consensus2")
@@ -517,7 +549,7 @@ def sa_consensus2(s, d):
 @query("sa_consensus3")
 def sa_consensus3(s, d):
     masks = lattice.subset_masks(s, NAMES)
-    fits = lattice.nearest(nation_peaks(s, d), lattice.model_lattice(_points(s), masks), COMMON, ["mask"])
+    fits = lattice.closest(nation_peaks(s, d), MASSES, LIMITS, COMMON, masks)
     used = dependencies.block_usage_across_models(fits, len(NAMES), TOLERANCE)
     return consensus.annealed_consensus(consensus.with_dependencies(_annealing(s, d), used), TOLERANCE, consensus.DEPENDENCY_WEIGHT).withColumn("composition", text())
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..functions.constants import BLOCKS_TSV, LABELS_TSV
 from ..operators import candidates, compare, consensus, diagnostics, lattice, network
-from ..sources import dictionary
-from .catalog import BY, COMMON, EDGE_SQL, LATTICE_SQL, MODELS_SQL, PEAK_SQL, TOLERANCE, WIDE, _models, _peak_stats, _points, query, text
-from .tables import FLAGS, MASSES, NAMES, NODES_SQL, nodes, peaks, read
+from ..operators.storage import new_folder
+from ..sources import dictionary, marks
+from ..streaming import log
+from .catalog import BY, COMMON, EDGE_SQL, LATTICE_SQL, MODELS_SQL, PEAK_SQL, TOLERANCE, WIDE, _models, _peak_stats, query, text
+from .tables import FLAGS, LIMITS, MASSES, NAMES, NODES_SQL, nodes, peaks, read
 
 _quoted = lambda t: "'" + t.replace("'", "''") + "'"
 _LINES = "lines AS (SELECT line, ord - 1 AS ord, string_split(line, chr(9)) AS part FROM (SELECT unnest(string_split({0}, chr(10))) AS line, generate_subscripts(string_split({0}, chr(10)), 1) AS ord) WHERE trim(line) <> '')"
@@ -35,13 +37,13 @@ _NEAREST = f"f AS (SELECT sample_id, peak_id, observed, min({{'error': abs((obse
 
 @query("reconstruction", f"WITH {LATTICE_SQL}, {_NEAREST} SELECT sample_id, peak_id, round({COMMON!r}::DOUBLE + f.mass + 1e-8, 5) AS reconstructed, round(abs(observed - ({COMMON!r}::DOUBLE + f.mass)) + 1e-8, 5) AS error, CASE WHEN abs(observed - ({COMMON!r}::DOUBLE + f.mass)) < {WIDE} THEN 'GOOD' ELSE 'BAD' END AS status FROM f")
 def reconstruction(s, d):
-    rows = lattice.reconstructed(lattice.nearest(peaks(s, d), _points(s), COMMON), MASSES, COMMON, WIDE)
+    rows = lattice.reconstructed(lattice.closest(peaks(s, d), MASSES, LIMITS, COMMON), MASSES, COMMON, WIDE)
     return rows.select("sample_id", "peak_id", *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("reconstructed", "error")], "status")
 
 
 @query("good_peaks", f"WITH {LATTICE_SQL}, {_NEAREST} SELECT sample_id, peak_id FROM f WHERE abs(observed - ({COMMON!r}::DOUBLE + f.mass)) < {WIDE}")
 def good_peaks(s, d):
-    return diagnostics.good(lattice.reconstructed(lattice.nearest(peaks(s, d), _points(s), COMMON), MASSES, COMMON, WIDE)).select("sample_id", "peak_id")
+    return diagnostics.good(lattice.reconstructed(lattice.closest(peaks(s, d), MASSES, LIMITS, COMMON), MASSES, COMMON, WIDE)).select("sample_id", "peak_id")
 
 
 @query("model_order", f"WITH {MODELS_SQL} SELECT sample_id, mask, model, row_number() OVER (PARTITION BY sample_id ORDER BY n_blocks, bic NULLS LAST, mask)::INT AS place FROM models")
@@ -95,7 +97,7 @@ def resolved_masses(s, d):
 @query("overridden_best", f"""WITH {PEAK_SQL}, n AS (SELECT sample_id, peak_id, min({{'error': abs((observed - {COMMON!r}::DOUBLE) - mass), 'copies': copies, 'comp': comp}}) AS f FROM peaks, lat GROUP BY 1, 2)
 SELECT sample_id, peak_id, CASE WHEN f.error < {TOLERANCE} THEN 'BioConsensus3' ELSE best.model END AS best_model, array_to_string(CASE WHEN f.error < {TOLERANCE} THEN f.comp ELSE best.comp END, ',') AS best_composition FROM ps JOIN n USING (sample_id, peak_id)""")
 def overridden_best(s, d):
-    chosen = lattice.nearest(peaks(s, d), _points(s), COMMON)
+    chosen = lattice.closest(peaks(s, d), MASSES, LIMITS, COMMON)
     rows = consensus.overridden_best(_peak_stats(s, d)[2], chosen, TOLERANCE)
     return rows.select("sample_id", "peak_id", "best_model", text("best_composition").alias("best_composition"))
 
@@ -109,3 +111,26 @@ def typed_block_usage(s, d):
 @query("clean_edges", f"WITH {EDGE_SQL} SELECT sample_id, model, i AS at, j AS nb FROM edges WHERE kind = 'clean' UNION ALL SELECT sample_id, model, j, i FROM edges WHERE kind = 'clean'")
 def clean_edges(s, d):
     return network.clean_pairs(nodes(s, d)).select(*BY, "at", "nb")
+
+
+@query("usage_log", "SELECT event_type AS kind, count(*) AS n, count(*) AS n_ids, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
+def usage_log(s, d):
+    """The events as a stream into the log, read back; the first batch is written twice, as after a failure."""
+    path = new_folder(s, "usage")
+    shown = lambda df: df.select(F.col("event_type").alias("kind"), "ts")
+    whole = read(s, d, "events")
+    log.append_stream(shown(s.readStream.schema(whole.schema).parquet(f"{d}/events.parquet")), f"{path}/log", f"{path}/checkpoint", writer=1).awaitTermination()
+    log.write_batch(shown(whole), f"{path}/log", 1, 0)
+    return log.committed(s, f"{path}/log").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("msd_page_peaks", "SELECT 'm' || page_id % 4 AS sample_id, row_number() OVER (PARTITION BY page_id % 4 ORDER BY page_id) AS peak_id, length(html) / 8 AS observed FROM pages")
+def msd_page_peaks(s, d):
+    """The lengths of the pages as .msd files, four of any size, read back in byte ranges."""
+    path = new_folder(s, "msd")
+    pages = read(s, d, "pages").select(F.concat(F.lit("m"), F.col("page_id") % 4).alias("f"), F.col("page_id").cast("long").alias("k"), F.concat(F.lit('<peak charge="1" mz="'), (F.length("html") / 8).cast("string"), F.lit('"/>')).alias("value"))
+    names = pages.select("f").distinct()
+    edge = lambda k, tag: names.select("f", F.lit(k).cast("long").alias("k"), F.lit(tag).alias("value"))
+    rows = pages.unionByName(edge(-1, "<scan><peaklist>")).unionByName(edge(2**62, "</peaklist></scan>"))
+    rows.repartition("f").sortWithinPartitions("f", "k").select("f", "value").write.partitionBy("f").text(path)
+    return marks.msd_peaks(s, path, name=F.regexp_extract(F.col("_metadata.file_path"), "/f=([^/]+)/", 1))

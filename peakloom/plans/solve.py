@@ -5,20 +5,21 @@ Every step is one job over all samples; the driver only loops over steps, at mos
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import DEFAULT_COMMON
 from ..functions.exprs import adjusted_bic, bic, bit, common_mass, composition_name, dot, strings
-from ..operators import candidates, compare, consensus, dependencies, fit, network
+from ..operators import candidates, compare, consensus, dependencies, fit, lattice, network
+from ..operators.lattice import MASK_BITS
 from ..operators.storage import settled
 from ..sources import dictionary as dictionaries
 
 LEAST_GAIN = 2.0
-#: Blocks that a model's mask, an int, can hold.
-MASK_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,8 @@ def resolved(spark: SparkSession, config: SolveConfig) -> tuple[DataFrame, Solve
         labels = {r["name"]: r.mass for r in dictionaries.labels(spark).collect()}
         polarity, reduction = config.mode, (config.matrix or "").rpartition("_")[2] or None
         common = common_mass(config.composition, by_name, labels.get(config.label, 0.0) if (config.matrix or "").startswith("2aa") else 0.0, polarity, reduction)
+    if len(known) + config.max_added > MASK_BITS:
+        raise ValueError(f"{len(known)} known blocks and up to {config.max_added} more; a model's mask holds {MASK_BITS}")
     fitting = replace(config.fit, known_limits=config.known_limits)
     return book, replace(config, names=tuple(n for n, _ in known), masses=tuple(m for _, m in known), common=common, fit=fitting)
 
@@ -164,71 +167,170 @@ def refined_models(spectra: DataFrame, state: DataFrame, config: SolveConfig) ->
 
 
 def final_names(model: DataFrame, book: DataFrame, config: SolveConfig) -> DataFrame:
-    """Model with names: the known names, then dictionary names, else letters."""
+    """Model with names: the known names, then dictionary names, else letters, and from the 27th new block on Unk and its number."""
     known, n_known = strings(config.names), len(config.names)
     each = model.select("sample_id", F.posexplode("masses").alias("ord", "mass"))
     named = candidates.named_by_mass(each, book)
-    letters = F.char(F.lit(65) + F.col("ord") - n_known)
+    turn = F.col("ord") - n_known
+    letters = F.when(turn < 26, F.char(F.lit(65) + turn)).otherwise(F.concat(F.lit("Unk"), (turn + 1).cast("string")))
     name = F.when(F.col("ord") < n_known, F.get(known, F.col("ord"))).otherwise(F.coalesce("name", letters))
     names = F.transform(F.array_sort(F.collect_list(F.struct("ord", name.alias("n")))), lambda x: x["n"])
     return model.join(named.groupBy("sample_id").agg(names.alias("names")), "sample_id")
 
 
-def solve(peaks: DataFrame, config: SolveConfig | None = None) -> dict[str, DataFrame]:
-    """All tables of the analysis: candidates, rejected, models, facts (every model's and consensus's compositions), peak_stats, usage,
-    dependencies, network, shares and best."""
-    spark = peaks.sparkSession
-    book, config = resolved(spark, config or SolveConfig())
-    tolerance, n_known = config.fit.final_tolerance, len(config.masses)
-    ranked, rejected = candidates.discover(peaks, book, config.common, config.masses, config.min_diff, config.fit.lower, config.fit.upper, 1)
-    ranked = candidates.without_excluded(ranked, _masses_of(config.exclude, book), config.masses, _masses_of(config.protect, book))
-    ranked = settled(ranked)
-    spectra = settled(fit.spectra(peaks))
-    state = select_blocks(spectra, ranked, config)
-    model = settled(final_names(refined_models(spectra, state, config), book, config))
-    limits_of = lambda k: config.fit.limits(n_known, k)
-    k = F.size("masses")
-    at = F.array_position(F.transform("names", F.lower), "hex")
-    masks = F.sequence(F.lit(1), bit(k) - 1)
-    if config.exhaustive == 0:
-        masks = F.transform(F.sequence(F.lit(max(1, n_known)), k), lambda m: bit(m) - 1)
-    each = model.where(k > 0).select("*", F.explode(masks).alias("mask"))
-    if config.exhaustive == 1:
-        each = each.where((at == 0) | (F.getbit("mask", F.greatest(at - 1, F.lit(0)).cast("int")) == 1))
-    fits = settled(fit.fit_models(each.select("sample_id", "mask", "observed", "masses", "common"), limits_of))
-    blocks = F.filter(F.transform("names", lambda b, i: F.when(F.getbit(F.col("mask"), i) == 1, b)), lambda b: b.isNotNull())
-    summary = fits.groupBy("sample_id", "mask").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error") < tolerance).alias("n_good"), F.count_if(F.col("error") >= tolerance).alias("n_bad"), F.sum(F.col("error") * F.col("error")).alias("rss"), F.median("error").alias("median_error"))
-    models = summary.join(each.select("sample_id", "mask", blocks.alias("blocks")), ["sample_id", "mask"]).withColumn("n_blocks", F.size("blocks"))
-    models = models.withColumns({"bic": bic(F.col("n"), F.col("rss"), F.col("n_blocks")), "model": F.array_join("blocks", "+")})
-    models = settled(compare.without_supersets(models) if config.exhaustive else models)
-    fits = fits.join(models.select("sample_id", "mask", "model"), ["sample_id", "mask"])
-    stats = settled(compare.peak_statistics(fits.drop("model"), models, (), tolerance, own=model.select("sample_id", "masses")))
-    usage = settled(dependencies.block_usage_across_models(fits, MASK_BITS, tolerance))
-    zeros = F.array_repeat(F.lit(0), k)
-    shape = model.select("sample_id", zeros.alias("zeros"), "masses", "common")
-
-    def judged(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.select("sample_id", "peak_id", "observed", "composition").join(shape, "sample_id")
+class Analysis(Mapping[str, DataFrame]):
+    """The tables of the analysis by name, each worked out when it is first asked for: candidates, rejected, models, best, facts (every model's and consensus's compositions), peak_stats,
+    shares, usage, dependencies, network, prefixes, margins and blocks."""
+
+    TABLES = ("candidates", "rejected", "models", "best", "facts", "peak_stats", "shares", "usage", "dependencies", "network", "prefixes", "margins", "blocks")
+
+    def __init__(self, peaks: DataFrame, config: SolveConfig) -> None:
+        self.peaks = peaks
+        self.book, self.config = resolved(peaks.sparkSession, config)
+        self.tolerance, self.n_known = self.config.fit.final_tolerance, len(self.config.masses)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.TABLES:
+            raise KeyError(name)
+        return getattr(self, name)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.TABLES)
+
+    def __len__(self) -> int:
+        return len(self.TABLES)
+
+    @property
+    def _limits(self) -> Callable[[int], list[int]]:
+        fitting, n_known = self.config.fit, self.n_known  # what tasks get must not hold the session
+        return lambda k: fitting.limits(n_known, k)
+
+    @cached_property
+    def _discovered(self) -> tuple[DataFrame, DataFrame]:
+        c = self.config
+        ranked, rejected = candidates.discover(self.peaks, self.book, c.common, c.masses, c.min_diff, c.fit.lower, c.fit.upper, 1)
+        return settled(candidates.without_excluded(ranked, _masses_of(c.exclude, self.book), c.masses, _masses_of(c.protect, self.book))), rejected
+
+    @property
+    def candidates(self) -> DataFrame:
+        return self._discovered[0]
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self._discovered[1]
+
+    @cached_property
+    def _model(self) -> DataFrame:
+        """The final model of each sample: observed, masses, common, names."""
+        spectra = settled(fit.spectra(self.peaks))
+        state = select_blocks(spectra, self.candidates, self.config)
+        return settled(final_names(refined_models(spectra, state, self.config), self.book, self.config))
+
+    @cached_property
+    def _tried(self) -> tuple[DataFrame, DataFrame]:
+        """Fits and models of the mode: all subsets, those with Hex, or nested prefixes."""
+        model, k, exhaustive = self._model, F.size("masses"), self.config.exhaustive
+        at = F.array_position(F.transform("names", F.lower), "hex")
+        masks = F.sequence(F.lit(1), bit(k) - 1)
+        if exhaustive == 0:
+            masks = F.transform(F.sequence(F.lit(max(1, self.n_known)), k), lambda m: bit(m) - 1)
+        each = model.where(k > 0).select("*", F.explode(masks).alias("mask"))
+        if exhaustive == 1:
+            each = each.where((at == 0) | (F.getbit("mask", F.greatest(at - 1, F.lit(0)).cast("int")) == 1))
+        fits = settled(fit.fit_models(each.select("sample_id", "mask", "observed", "masses", "common"), self._limits))
+        blocks = F.filter(F.transform("names", lambda b, i: F.when(F.getbit(F.col("mask"), i) == 1, b)), lambda b: b.isNotNull())
+        e = F.col("error")
+        summary = fits.groupBy("sample_id", "mask").agg(F.count(F.lit(1)).alias("n"), F.count_if(e < self.tolerance).alias("n_good"), F.count_if(e >= self.tolerance).alias("n_bad"), F.sum(e * e).alias("rss"), F.median("error").alias("median_error"))
+        models = summary.join(each.select("sample_id", "mask", blocks.alias("blocks")), ["sample_id", "mask"]).withColumn("n_blocks", F.size("blocks"))
+        models = models.withColumns({"bic": bic(F.col("n"), F.col("rss"), F.col("n_blocks")), "model": F.array_join("blocks", "+")})
+        models = settled(compare.without_supersets(models) if exhaustive else models)
+        return fits.join(models.select("sample_id", "mask", "model"), ["sample_id", "mask"]), models
+
+    @property
+    def models(self) -> DataFrame:
+        return compare.model_order(self._tried[1])
+
+    @property
+    def best(self) -> DataFrame:
+        return compare.best_models(self._tried[1])
+
+    @cached_property
+    def _stats(self) -> DataFrame:
+        fits, models = self._tried
+        return settled(compare.peak_statistics(fits.drop("model"), models, (), self.tolerance, own=self._model.select("sample_id", "masses")))
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        return settled(dependencies.block_usage_across_models(self._tried[0], MASK_BITS, self.tolerance))
+
+    @property
+    def dependencies(self) -> DataFrame:
+        return dependencies.direct_dependencies(self.usage)
+
+    @property
+    def shares(self) -> DataFrame:
+        return compare.model_shares(self._stats)
+
+    @property
+    def _shape(self) -> DataFrame:
+        return self._model.select("sample_id", F.array_repeat(F.lit(0), F.size("masses")).alias("zeros"), "masses", "common")
+
+    def _judged(self, rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select("sample_id", "peak_id", "observed", "composition").join(self._shape, "sample_id")
         rows = rows.withColumn("composition", F.when(F.size("composition") == F.size("zeros"), F.col("composition")).otherwise(F.col("zeros")))
         error = F.abs(F.col("observed") - F.col("common") - dot(F.col("composition"), F.col("masses")))
         return rows.select("sample_id", F.lit(name).alias("model"), "peak_id", "observed", "composition", error.alias("error"))
 
-    names = consensus.MODELS
-    first = settled(judged(consensus.simplest_consensus(stats, 0), names[0]))
-    explained = consensus.explaining_compositions(fits.select("sample_id", "mask", "peak_id", "observed", "composition", "error").unionByName(first.select("sample_id", F.lit(2**30).alias("mask"), "peak_id", "observed", "composition", "error")), tolerance)
-    second = judged(consensus.network_consensus(stats.select("sample_id", "peak_id", "observed"), explained, 0), names[1])
-    alts = settled(fit.sample_alternatives(model.where(k > 0).select("sample_id", "observed", "masses", "common"), limits_of, tolerance))
-    third = judged(consensus.annealed_consensus(alts, tolerance), names[2])
-    fourth = settled(judged(consensus.annealed_consensus(consensus.with_dependencies(alts, usage), tolerance, consensus.DEPENDENCY_WEIGHT), names[3]))
-    subset = fits.select("sample_id", "model", "peak_id", "observed", "composition", "error")
-    facts = subset.unionByName(first).unionByName(second).unionByName(third).unionByName(fourth).join(shape.drop("zeros"), "sample_id")
-    facts = facts.withColumn("reconstructed", F.col("common") + dot(F.col("composition"), F.col("masses"))).withColumn("status", F.when(F.col("error") < tolerance, "GOOD").otherwise("BAD"))
-    facts = settled(facts.join(models.select("sample_id", "model", F.col("bic").alias("model_bic"), "n_blocks"), ["sample_id", "model"], "left").join(model.select("sample_id", "names"), "sample_id"))
-    nodes = facts.where(F.col("status") == "GOOD").select("sample_id", "model", "peak_id", "observed", "composition")
-    edges = network.network(nodes)
-    statistics = network.network_statistics(nodes, edges, network.clean_components(nodes))
-    return {
-        "candidates": ranked, "rejected": rejected, "models": compare.model_order(models), "best": compare.best_models(models), "facts": facts,
-        "peak_stats": consensus.overridden_best(stats, fourth, tolerance), "shares": compare.model_shares(stats), "usage": usage, "dependencies": dependencies.direct_dependencies(usage),
-        "network": network.rank_models(statistics, network.tree_statistics(network.spanning_trees(edges))), "blocks": model.withColumn("common_name", composition_name(strings(list(config.composition)), F.array(*map(F.lit, config.composition.values())))),
-    }
+    @cached_property
+    def _alternatives(self) -> DataFrame:
+        return settled(fit.sample_alternatives(self._model.where(F.size("masses") > 0).select("sample_id", "observed", "masses", "common"), self._limits, self.tolerance))
+
+    @cached_property
+    def _consensus(self) -> list[DataFrame]:
+        """The four consensus models, in the order of their names."""
+        fits, names, own = self._tried[0], consensus.MODELS, ("peak_id", "observed", "composition", "error")
+        first = settled(self._judged(consensus.simplest_consensus(self._stats, 0), names[0]))
+        explained = consensus.explaining_compositions(fits.select("sample_id", "mask", *own).unionByName(first.select("sample_id", F.lit(2**30).alias("mask"), *own)), self.tolerance)
+        second = self._judged(consensus.network_consensus(self._stats.select("sample_id", "peak_id", "observed"), explained, 0), names[1])
+        third = self._judged(consensus.annealed_consensus(self._alternatives, self.tolerance), names[2])
+        fourth = self._judged(consensus.annealed_consensus(consensus.with_dependencies(self._alternatives, self.usage), self.tolerance, consensus.DEPENDENCY_WEIGHT), names[3])
+        return [first, second, third, settled(fourth)]
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        facts = self._tried[0].select("sample_id", "model", "peak_id", "observed", "composition", "error")
+        for rows in self._consensus:
+            facts = facts.unionByName(rows)
+        facts = facts.join(self._shape.drop("zeros"), "sample_id")
+        facts = facts.withColumn("reconstructed", F.col("common") + dot(F.col("composition"), F.col("masses"))).withColumn("status", F.when(F.col("error") < self.tolerance, "GOOD").otherwise("BAD"))
+        named = self._tried[1].select("sample_id", "model", F.col("bic").alias("model_bic"), "n_blocks")
+        return settled(facts.join(named, ["sample_id", "model"], "left").join(self._model.select("sample_id", "names"), "sample_id"))
+
+    @property
+    def peak_stats(self) -> DataFrame:
+        return consensus.overridden_best(self._stats, self._consensus[3], self.tolerance)
+
+    @cached_property
+    def network(self) -> DataFrame:
+        nodes = settled(self.facts.where(F.col("status") == "GOOD").select("sample_id", "model", "peak_id", "observed", "composition"))
+        statistics = network.network_statistics(nodes, None, network.clean_components(nodes))
+        return network.rank_models(statistics, network.tree_statistics(network.spanning_trees(network.tree_candidates(nodes))))
+
+    @property
+    def prefixes(self) -> DataFrame:
+        """In nested mode, the fewest blocks of a prefix that explain each peak, null if none does; else no rows."""
+        fits, models = self._tried
+        return compare.simplest_prefix(fits.where(F.lit(self.config.exhaustive == 0)), models.select("mask", "n_blocks").distinct(), self.tolerance)
+
+    @property
+    def margins(self) -> DataFrame:
+        """The number of compositions of each explained peak within the tolerance, the least error, and how far the second is from it."""
+        return lattice.ambiguity(self._alternatives)
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self._model.withColumn("common_name", composition_name(strings(list(self.config.composition)), F.array(*map(F.lit, self.config.composition.values()))))
+
+
+def solve(peaks: DataFrame, config: SolveConfig | None = None) -> Analysis:
+    return Analysis(peaks, config or SolveConfig())

@@ -17,6 +17,10 @@ MASSES = (162.052824, 203.079374, 146.05791, 291.095419)
 LIMITS = (10, 8, 3, 4)
 COMMON = common_mass(DEFAULT_COMMON, dict(zip(NAMES, MASSES)), 137.047679, "neg_h", "nr")
 FLAGS = ("A", "N", "R")
+#: Eight blocks with more compositions than a table of them may have.
+NAMES8 = ("Hex", "HexNAc", "dHex", "NeuAc", "HexA", "dHexNAc", "Pent", "KDN")
+MASSES8 = (162.052824, 203.079374, 146.05791, 291.095419, 176.03209, 187.084459, 132.04226, 250.06887)
+LIMITS8 = (10, 4, 4, 4, 4, 4, 4, 4)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +40,9 @@ def nation_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("sample_id"), place.alias("peak_id"), (F.lit(COMMON) + (F.col("s_acctbal") + 1000) / 4).alias("observed"))
 
 
+NATION_SQL = f"peaks AS (SELECT s_nationkey AS sample_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT AS peak_id, {COMMON!r}::DOUBLE + (s_acctbal + 1000) / 4 AS observed FROM supplier)"
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id, model, peak_id, observed, composition) of each order with line items."""
     counts = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array(*[F.count_if(F.col("l_returnflag") == f).cast("int") for f in FLAGS]).alias("composition"))

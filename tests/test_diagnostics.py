@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from peakloom.operators import diagnostics
+from tests import shapiro
 
 VALUES = [(100.0 + 7 * k, 100.0 + 7 * k - v) for k, v in enumerate([1.0, 2.0, 4.0, 9.0, 0.5, -3.0, 2.5])]
 
@@ -39,14 +40,14 @@ def test_few_or_equal_values(spark):
 
 def test_shapiro_wilk(spark):
     # Published examples, W and p.
-    w, p = diagnostics.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], dtype=float))
+    w, p = shapiro.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], dtype=float))
     assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.0005)
     rng = np.random.default_rng(0)
-    normal = [diagnostics.shapiro_wilk(rng.normal(size=n))[1] for n in (4, 5, 6, 10, 12, 30, 200) for _ in range(60)]
+    normal = [shapiro.shapiro_wilk(rng.normal(size=n))[1] for n in (4, 5, 6, 10, 12, 30, 200) for _ in range(60)]
     assert 0.01 < np.mean(np.array(normal) < 0.05) < 0.1
-    assert all(diagnostics.shapiro_wilk(rng.exponential(size=200))[1] < 1e-6 for _ in range(5))
-    assert diagnostics.shapiro_wilk(np.array([1.0, 2.0])) == (None, None) == diagnostics.shapiro_wilk(np.ones(9))
-    assert diagnostics.shapiro_wilk(np.array([1.0, 2.0, 3.0])) == pytest.approx((1.0, 1.0), abs=1e-6)
+    assert all(shapiro.shapiro_wilk(rng.exponential(size=200))[1] < 1e-6 for _ in range(5))
+    assert shapiro.shapiro_wilk(np.array([1.0, 2.0])) == (None, None) == shapiro.shapiro_wilk(np.ones(9))
+    assert shapiro.shapiro_wilk(np.array([1.0, 2.0, 3.0])) == pytest.approx((1.0, 1.0), abs=1e-6)
     rows = spark.createDataFrame([("a", float(k % 7), 0.0) for k in range(40)] + [("b", 1.0, 0.0)], "model string, observed double, reconstructed double")
     got = {r.model: r for r in diagnostics.normality(rows, ["model"]).collect()}
     assert 0 < got["a"].p < 1 and got["a"].normality_ok is not None
@@ -73,7 +74,7 @@ def test_normality_of_any_size(spark):
     rows = [(g, float(v), 1.0) for g, values in groups.items() for v in values] + [("g12", None, 1.0), ("g12", float("nan"), 1.0)]
     got = {r.model: r for r in diagnostics.normality(spark.createDataFrame(rows, "model string, observed double, reconstructed double"), ["model"]).collect()}
     for g, values in groups.items():
-        w, p = diagnostics.shapiro_wilk(values - 1)
+        w, p = shapiro.shapiro_wilk(values - 1)
         assert (got[g].w, got[g].p) == ((None, None) if w is None else pytest.approx((w, p), abs=1e-7)), g
         assert got[g].beyond_fit == (len(values) > 5000)
     assert got["skewed"].normality_ok is False
