@@ -59,9 +59,15 @@ def model_lattice(points: DataFrame, masks: DataFrame) -> DataFrame:
     return points.join(masks.select("mask"), F.col("used").bitwiseAND(F.bitwise_not("mask")) == 0).select("mask", "composition", "mass")
 
 
+def _micro(mass: Column) -> Column:
+    """In millionths: sums of the same masses in another order differ in the last bits."""
+    return F.rint(mass * 1e6).cast("long")
+
+
 def _cells(points: DataFrame, low: int, high: int, by: Sequence[str]) -> DataFrame:
-    """Each distinct mass of a group with its neighbours, one row for each whole mass from low to high at which it can be nearest."""
-    best = points.groupBy(*by, "mass").agg(F.min(F.struct(total(F.col("composition")).alias("copies"), "composition")).alias("p"))
+    """Each distinct mass of a group with its neighbours, one row for each whole mass from low to high at which it can be nearest. Masses that agree to six decimals are
+    one, that of the fewest copies."""
+    best = points.groupBy(*by, _micro(F.col("mass")).alias("micro")).agg(F.min(F.struct(total(F.col("composition")).alias("copies"), "composition", "mass")).alias("p")).withColumn("mass", F.col("p.mass"))
     w = Window.partitionBy(*by).orderBy("mass")
     cells = best.select(*by, "mass", "p", F.lag("mass").over(w).alias("below"), F.lead("mass").over(w).alias("above"), (F.col("p") < F.lag("p").over(w)).alias("beats_below"), (F.col("p") < F.lead("p").over(w)).alias("beats_above"))
     middle = lambda other, slack: F.floor((F.col(other) + F.col("mass")) / 2 + slack).cast("long")
@@ -172,14 +178,14 @@ def closest(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], co
     if masks is not None:
         met = met.withColumnRenamed("mask", "back_mask").withColumn("used", block_bits(F.col("front")))
         need = masks.select("mask", F.call_function("shiftright", "mask", F.lit(at)).alias("back_mask"), F.col("mask").bitwiseAND(F.lit((1 << at) - 1)).alias("front_mask"))
-        best = F.min(F.struct("error", total(F.col("composition")).alias("copies"), "composition", "lattice_mass")).alias("best")
+        best = F.min(F.struct(F.rint(F.col("error") * 1e6).alias("near"), total(F.col("composition")).alias("copies"), "composition", "error", "lattice_mass")).alias("best")
         met = met.groupBy("sample_id", "peak_id", "back_mask", "used").agg(best, *[F.first(c).alias(c) for c in keep])
         met = met.join(need, "back_mask").where(F.col("used").bitwiseAND(F.bitwise_not("front_mask")) == 0)
         if wanted is not None:
             met = met.join(wanted, ["sample_id", "mask"], "left_semi")
         found = met.groupBy("sample_id", "peak_id", "mask").agg(F.min("best").alias("best"), *[F.first(c).alias(c) for c in keep])
     else:
-        best = F.min(F.struct("error", total(F.col("composition")).alias("copies"), "composition", "lattice_mass")).alias("best")
+        best = F.min(F.struct(F.rint(F.col("error") * 1e6).alias("near"), total(F.col("composition")).alias("copies"), "composition", "error", "lattice_mass")).alias("best")
         found = met.groupBy("sample_id", "peak_id").agg(best, *[F.first(c).alias(c) for c in keep])
     return found.select("sample_id", "peak_id", *by, *keep, "best.composition", "best.lattice_mass", "best.error")
 

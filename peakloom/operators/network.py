@@ -232,13 +232,30 @@ def _within_classes(nodes: DataFrame, by: Sequence[str]) -> DataFrame:
     return chain.unionByName(same).withColumn("opposite", F.col("composition"))
 
 
-def tree_candidates(nodes: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Edges of network(), few for each node, among which every network's spanning tree is.
+def tree_candidates(nodes: DataFrame, by: Sequence[str] = BY, small: int = 64) -> DataFrame:
+    """Edges of network() among which every network's spanning tree is: all of networks of up to `small` nodes, each made in one row, and of larger ones few for each node."""
+    by, nodes = list(by), nodes.select(*by, "peak_id", "observed", "composition")
+    sizes = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select(*by)
+    if sizes.isEmpty():
+        return _small_networks(nodes, by)
+    sizes = settled(sizes)
+    return _small_networks(nodes.join(sizes, by, "left_anti"), by).unionByName(_few_edges(settled(nodes.join(sizes, by, "left_semi")), by))
+
+
+def _small_networks(nodes: DataFrame, by: list[str]) -> DataFrame:
+    listed = nodes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("observed", "peak_id", "composition"))).alias("all"))
+    first = listed.select(*by, "all", F.posexplode("all").alias("k", "a"))
+    rows = first.select(*by, "a", F.explode(F.slice("all", F.col("k") + 2, F.size("all"))).alias("b"))
+    rows = rows.select(*by, F.col("a.peak_id").alias("i"), F.col("b.peak_id").alias("j"), F.abs(F.col("b.observed") - F.col("a.observed")).alias("gap"), minus(F.col("b.composition"), F.col("a.composition")).alias("delta"))
+    return rows.select("*", l1(F.col("delta")).alias("l1"), transition_kind(F.col("delta")).alias("kind"), transition_penalty(F.col("delta")).alias("penalty"))
+
+
+def _few_edges(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """The edges of large networks that a spanning tree can have.
 
     Classes meet those at penalties up to 2 first: one block a copy apart, or a few copies of some blocks more. In networks that are not in one part then, the classes
     outside the largest part meet classes of other parts in rings of growing penalty, until one part is left.
     """
-    by, nodes = list(by), nodes.select(*by, "peak_id", "observed", "composition")
     alike = settled(classes(nodes, by))
     top = alike.groupBy(*by).agg(F.max(F.array_max("composition")).alias("top"))
     ends = lambda rows: rows.select(*by, F.least("composition", "near").alias("a"), F.greatest("composition", "near").alias("b"))

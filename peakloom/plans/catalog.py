@@ -168,23 +168,25 @@ def lattice_nearest(s, d):
     return lattice.closest(peaks(s, d), MASSES, LIMITS, COMMON).select("sample_id", "peak_id", text().alias("composition"), F.round("error", 6).alias("error"))
 
 
-_back8 = "(((((0.0::DOUBLE + " + ") + ".join(f"n[{k}] * {m!r}::DOUBLE" for k, m in enumerate(MASSES8[2:], 1)) + ")"
+_back8 = "((((((0.0::DOUBLE + " + ") + ".join(f"n[{k}] * {m!r}::DOUBLE" for k, m in enumerate(MASSES8[2:], 1)) + ")"
 LATTICE8_SQL = f"""fronts AS (SELECT [a, b]::INT[] AS n, (0.0::DOUBLE + a * {MASSES8[0]!r}::DOUBLE) + b * {MASSES8[1]!r}::DOUBLE AS mass FROM range(11) t(a), range(5) u(b)),
 backs AS (SELECT n, {_back8} AS mass FROM (SELECT [c, d, e, f, g, h]::INT[] AS n FROM range(5) t(c), range(5) u(d), range(5) v(e), range(5) w(f), range(5) x(g), range(5) y(h))),
-lat AS MATERIALIZED (SELECT f.mass + b.mass AS mass, min({{'copies': list_sum(f.n)::INT + list_sum(b.n)::INT, 'comp': list_concat(f.n, b.n)}}) AS p FROM fronts f, backs b GROUP BY 1)"""
+points AS MATERIALIZED (SELECT f.mass + b.mass AS mass, list_sum(f.n)::INT + list_sum(b.n)::INT AS copies, list_concat(f.n, b.n) AS comp FROM fronts f, backs b)"""
+_one8 = "min({'copies': copies, 'comp': comp, 'mass': mass}) AS p"
+_near8 = "min({'near': round_even(error * 1e6, 0), 'copies': p.copies, 'comp': p.comp, 'error': error}) AS f"
 
 
-@query("lattice_nearest8", f"""WITH {PEAKS_SQL}, {LATTICE8_SQL}, t AS (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks),
+@query("lattice_nearest8", f"""WITH {PEAKS_SQL}, {LATTICE8_SQL}, lat AS MATERIALIZED (SELECT p.mass AS mass, p FROM (SELECT {_one8} FROM points GROUP BY round_even(mass * 1e6, 0))), t AS (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks),
 sides AS (SELECT sample_id, peak_id, abs(target - mass) AS error, p FROM t ASOF JOIN lat ON t.target >= lat.mass UNION ALL SELECT sample_id, peak_id, abs(target - mass), p FROM t ASOF JOIN lat ON t.target <= lat.mass),
-f AS (SELECT sample_id, peak_id, min({{'error': error, 'copies': p.copies, 'comp': p.comp}}) AS f FROM sides GROUP BY 1, 2)
+f AS (SELECT sample_id, peak_id, {_near8} FROM sides GROUP BY 1, 2)
 SELECT sample_id, peak_id, array_to_string(f.comp, ',') AS composition, round(f.error, 6) AS error FROM f""")
 def lattice_nearest8(s, d):
     """Of 859,375 compositions of eight blocks, of which 15,625 are a table."""
     return lattice.closest(peaks(s, d), MASSES8, LIMITS8, COMMON).select("sample_id", "peak_id", text().alias("composition"), F.round("error", 6).alias("error"))
 
 
-@query("lattice_alternatives8", f"""WITH {NATION_SQL}, {LATTICE8_SQL.replace("min({", "({").replace(" GROUP BY 1)", ")")}, t AS (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks),
-met AS (SELECT sample_id, peak_id, p.comp AS comp, abs(target - mass) AS error, row_number() OVER (PARTITION BY sample_id, peak_id ORDER BY p.comp) AS dfs FROM t JOIN lat ON lat.mass BETWEEN t.target - 0.51 AND t.target + 0.51 WHERE abs(target - mass) < {TOLERANCE}),
+@query("lattice_alternatives8", f"""WITH {NATION_SQL}, {LATTICE8_SQL}, t AS (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks),
+met AS (SELECT sample_id, peak_id, comp, abs(target - mass) AS error, row_number() OVER (PARTITION BY sample_id, peak_id ORDER BY comp) AS dfs FROM t JOIN points ON mass BETWEEN t.target - 0.51 AND t.target + 0.51 WHERE abs(target - mass) < {TOLERANCE}),
 alts AS (SELECT sample_id, peak_id, row_number() OVER (PARTITION BY sample_id, peak_id ORDER BY error, dfs) AS alternative, comp, error FROM met WHERE dfs <= 500)
 SELECT sample_id, peak_id, alternative, array_to_string(comp, ',') AS composition, round(error, 6) AS error FROM alts
 UNION ALL SELECT sample_id, peak_id, 1, '0,0,0,0,0,0,0,0', 'inf'::DOUBLE FROM peaks p WHERE NOT EXISTS (SELECT 1 FROM alts a WHERE a.sample_id = p.sample_id AND a.peak_id = p.peak_id)""")
@@ -193,10 +195,10 @@ def lattice_alternatives8(s, d):
     return rows.select("sample_id", "peak_id", F.col("alternative").cast("long").alias("alternative"), text().alias("composition"), F.round("error", 6).alias("error"))
 
 
-@query("subset_models8", f"""WITH {NATION_SQL}, {LATTICE8_SQL}, masks AS (SELECT m::INT AS mask FROM range(1, 256) t(m)), used AS (SELECT mass, p, list_sum([CASE WHEN p.comp[i] > 0 THEN 1 << (i - 1) ELSE 0 END FOR i IN range(1, 9)])::INT AS used FROM lat),
-ml AS MATERIALIZED (SELECT mask, mass, p FROM used JOIN masks ON used & (255 - mask) = 0), t AS MATERIALIZED (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks, masks),
+@query("subset_models8", f"""WITH {NATION_SQL}, {LATTICE8_SQL}, masks AS (SELECT m::INT AS mask FROM range(1, 256) t(m)), used AS (SELECT *, list_sum([CASE WHEN comp[i] > 0 THEN 1 << (i - 1) ELSE 0 END FOR i IN range(1, 9)])::INT AS used FROM points),
+ml AS MATERIALIZED (SELECT mask, p.mass AS mass, p FROM (SELECT mask, {_one8} FROM used JOIN masks ON used & (255 - mask) = 0 GROUP BY mask, round_even(mass * 1e6, 0))), t AS MATERIALIZED (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks, masks),
 sides AS (SELECT sample_id, peak_id, t.mask, abs(target - mass) AS error, p FROM t ASOF JOIN ml ON t.mask = ml.mask AND t.target >= ml.mass UNION ALL SELECT sample_id, peak_id, t.mask, abs(target - mass), p FROM t ASOF JOIN ml ON t.mask = ml.mask AND t.target <= ml.mass),
-f AS (SELECT sample_id, peak_id, mask, min({{'error': error, 'copies': p.copies, 'comp': p.comp}}) AS f FROM sides GROUP BY 1, 2, 3)
+f AS (SELECT sample_id, peak_id, mask, {_near8} FROM sides GROUP BY 1, 2, 3)
 SELECT sample_id, mask, count(*) AS n, count(*) FILTER (f.error < {WIDE}) AS n_good, round(sum(f.error * f.error) + 1e-8, 4) AS rss FROM f GROUP BY 1, 2""")
 def subset_models8(s, d):
     """All 255 models of eight blocks."""

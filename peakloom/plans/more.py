@@ -119,7 +119,7 @@ def usage_log(s, d):
     path = new_folder(s, "usage")
     shown = lambda df: df.select(F.col("event_type").alias("kind"), "ts")
     whole = read(s, d, "events")
-    log.append_stream(shown(s.readStream.schema(whole.schema).parquet(f"{d}/events.parquet")), f"{path}/log", f"{path}/checkpoint", writer=1).awaitTermination()
+    log.append_stream(shown(s.readStream.schema(whole.schema).parquet(f"{d}/events.parque[t]")), f"{path}/log", f"{path}/checkpoint", writer=1).awaitTermination()
     log.write_batch(shown(whole), f"{path}/log", 1, 0)
     return log.committed(s, f"{path}/log").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
