@@ -36,6 +36,28 @@ def test_many_rules_over_many_partitions(spark):
     assert judged(spark, urls, rules, partitions=9) == {k: brute(u, rules) for k, u in enumerate(urls)}
 
 
+def test_nested_paths_over_many_partitions(spark):
+    rules = [("com", p, v) for p, v in (("", "allow"), ("/", "block"), ("/a", "allow"), ("/a/b", "block"), ("/ab", "allow"), ("/b", "block"), ("/é", "allow"))]
+    rules += [("x.com", p, v) for p, v in (("/a", "block"), ("/a/b/c", "allow"), ("/a", "allow"))] + [("y.x.com", "/a/b/c/d", "block")]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/a/b/c/d/e", "/ab/b", "/az", "/b", "/c", "/é/x", "/e"]
+    urls = [f"http://{h}{p}" for h in ("com", "x.com", "y.x.com", "z.y.x.com", "xcom", "org") for p in paths] * 2
+    want = {k: brute(u, rules) for k, u in enumerate(urls)}
+    for partitions in (1, 5, 17):
+        assert judged(spark, urls, rules, partitions=partitions) == want
+
+
+def test_many_paths_of_one_host_and_a_hot_host(spark):
+    rules = [("hot.com", f"/p/{k:05d}", "block" if k % 2 else "allow") for k in range(20_000)] + [("com", "/p/", "block")]
+    urls = [f"http://www.hot.com/p/{k % 21_000:05d}/x" for k in range(4000)] + [f"http://h{k}.com/p/" for k in range(500)] + ["http://hot.com/"] * 50
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules, partitions=6).collect()}
+    for k, u in enumerate(urls):
+        if k < 4000:
+            assert got[k] == (f"hot.com/p/{k:05d}", "block" if k % 2 else "allow")
+        else:
+            assert got[k] == (("com/p/", "block") if k < 4500 else (None, "allow"))
+
+
 def test_empty(spark):
     assert judged(spark, []) == {}
     assert judged(spark, ["http://a.com/"], ()) == {0: ("a.com", "/", None, "allow")}
