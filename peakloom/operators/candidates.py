@@ -20,13 +20,23 @@ GAP = 0.25
 NAME_WINDOW = 0.5
 
 
-def pair_differences(peaks: DataFrame, common: float, min_diff: float) -> DataFrame:
-    """sample_id, i, j, diff of the pairs i < j of a sample whose masses, less the common mass, differ by more than min_diff."""
+def pair_differences(peaks: DataFrame, common: float, min_diff: float, max_diff: float | None = None) -> DataFrame:
+    """sample_id, i, j, diff of the pairs i < j of a sample whose masses, less the common mass, differ by more than min_diff, and by max_diff at most if it is given.
+
+    With max_diff, masses are cut into stretches of that length, and a peak meets the heavier ones of its own and the next stretch only.
+    """
     y = peaks.select("sample_id", "peak_id", (F.col("observed") - common).alias("y"))
-    a, b = y.alias("a"), y.alias("b")
-    pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.peak_id") < F.col("b.peak_id")))
-    out = pairs.select(F.col("a.sample_id"), F.col("a.peak_id").alias("i"), F.col("b.peak_id").alias("j"), F.abs(F.col("a.y") - F.col("b.y")).alias("diff"))
-    return out.where(F.col("diff") > min_diff)
+    diff = F.abs(F.col("a.y") - F.col("b.y")).alias("diff")
+    if max_diff is None or min_diff < 0:
+        a, b = y.alias("a"), y.alias("b")
+        pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.peak_id") < F.col("b.peak_id")))
+        out = pairs.select(F.col("a.sample_id"), F.col("a.peak_id").alias("i"), F.col("b.peak_id").alias("j"), diff).where(F.col("diff") > min_diff)
+        return out if max_diff is None else out.where(F.col("diff") <= max_diff)
+    y = y.withColumn("stretch", F.floor(F.col("y") / (max_diff * (1 + 1e-9) + 1e-6)))
+    a, b = y.withColumn("stretch", F.explode(F.array(F.col("stretch"), F.col("stretch") + 1))).alias("a"), y.alias("b")
+    pairs = a.join(b, (F.col("a.sample_id") == F.col("b.sample_id")) & (F.col("a.stretch") == F.col("b.stretch")) & (F.col("a.y") < F.col("b.y")))
+    out = pairs.select(F.col("a.sample_id"), F.least("a.peak_id", "b.peak_id").alias("i"), F.greatest("a.peak_id", "b.peak_id").alias("j"), diff)
+    return out.where((F.col("diff") > min_diff) & (F.col("diff") <= max_diff))
 
 
 def reference_masses(dictionary: DataFrame, known: Sequence[float]) -> DataFrame:
@@ -116,9 +126,13 @@ def rank_candidates(scored: DataFrame) -> DataFrame:
 
 
 def discover(peaks: DataFrame, dictionary: DataFrame, common: float, known: Sequence[float], min_diff: float = 40.0, lower: float | None = 35.0, upper: float | None = 370.0, k_unknown: int = 1, gap: float = GAP) -> tuple[DataFrame, DataFrame]:
-    """Ranked candidates and rejected differences. A sample with fewer kept differences than k_unknown has no candidates."""
-    filtered = filter_differences(pair_differences(peaks, common, min_diff), dictionary, known, lower, upper, gap)
-    kept = filtered.where(F.col("reason").isNull()).withColumn("kept", F.count(F.lit(1)).over(Window.partitionBy("sample_id"))).where(F.col("kept") >= k_unknown).drop("kept", "reason")
+    """Ranked candidates and rejected differences. A sample with fewer kept differences than k_unknown has no candidates.
+
+    No difference above the upper bound can be kept, so candidates come from pairs within it; all pairs are made only if the rejected ones are asked for.
+    """
+    judged = lambda most: filter_differences(pair_differences(peaks, common, min_diff, most), dictionary, known, lower, upper, gap)
+    filtered = judged(None)
+    kept = judged(upper).where(F.col("reason").isNull()).withColumn("kept", F.count(F.lit(1)).over(Window.partitionBy("sample_id"))).where(F.col("kept") >= k_unknown).drop("kept", "reason")
     return rank_candidates(cluster_scores(gap_clusters(kept, gap), dictionary, gap)), filtered.where(F.col("reason").isNotNull())
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,13 @@ def test_resolved_masses(spark):
 def test_no_candidates(spark):
     ranked, rejected = candidates.discover(peaks(spark).where("peak_id < 2"), dictionary.blocks(spark), COMMON, ())
     assert ranked.count() == rejected.count() == 0
+
+
+def test_differences_within_a_bound(spark):
+    draw = random.Random(9)
+    rows = [(s, k, round(draw.uniform(0, 3000), draw.choice([0, 3]))) for s in ("a", "b") for k in range(80)] + [("c", 1, 0.0), ("c", 2, 370.0), ("c", 3, 740.0), ("c", 4, -370.0)]
+    peaks = spark.createDataFrame(rows, "sample_id string, peak_id int, observed double")
+    every = candidates.pair_differences(peaks, 10.0, 40.0)
+    for most in (370.0, 41.5, 5000.0):
+        near = candidates.pair_differences(peaks, 10.0, 40.0, most)
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, every.where(f"diff <= {most}").collect()))
