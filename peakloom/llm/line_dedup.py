@@ -9,8 +9,10 @@ many, are looked up by broadcast.
 
 Defined cases: a null or empty text is one empty line; lines under ``min_chars`` code points are never dropped;
 several rows with one doc_id count as one document, and all of them keep the lines that doc_id keeps; rows with a
-null doc_id count as one document smaller than any other; an empty table gives an empty result. Columns beside
-doc_id and text are ignored (``dedup_lines``) or passed through (``drop_lines``); names beginning with ``__pl_`` are reserved.
+null doc_id count as one document smaller than any other; texts may have any length, each held
+whole as one row while it is split and joined again; an empty table gives an empty result. Columns beside
+doc_id and text are ignored (``dedup_lines``) or passed through (``drop_lines``); names beginning with ``__pl_`` are reserved. The session
+needs a catalog that tables can be written to; tables of a run that failed stay in it.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ that bucket, ``LEVELS`` times. The thresholds nest: a larger budget keeps all th
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; rows that share doc_id and text
 share a hash, and if the threshold falls on them each gives the same fraction of its words, rounded down, as does the single
-document at the threshold; a source without words has target 0; an empty table gives an empty result.
+document at the threshold; a source without words has target 0; texts may have any length, their words being counted and never kept; an empty table gives an empty result.
 Other columns are ignored (``mix_sources``) or passed through (``apply_mix``); names beginning with ``__pl_`` are reserved.
 """
 

@@ -8,7 +8,8 @@ within (length, salt), the counts of earlier salts are added, and the plan is jo
 that many pieces have, into windows of bounded size.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are each packed (ties are broken by doc_id, piece and
-checksum, and rows equal in these are alike); a null doc_id is packed like any other; an empty table gives an empty result;
+checksum, and rows equal in these are alike); a null doc_id is packed like any other; texts may have any length, one text's ids being
+held whole while it is cut; an empty table gives an empty result;
 other columns are ignored.
 """
 

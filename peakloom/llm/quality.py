@@ -5,7 +5,7 @@ each rule's cost (CPU seconds a document, its statistics included) and selectivi
 rejection per cost. A document then meets the rules in that order and is judged by no rule after the first that rejects it. All rules are rejections, so
 the order changes only the cost, never the verdict. The base rule takes part in ``keep_good``; ``judge`` returns all its statistics, so there it comes first.
 
-Defined cases: a null or empty text has no words and fails the base rule; repeated rows are judged each; an empty table gives an
+Defined cases: a null or empty text has no words and fails the base rule; repeated rows are judged each; texts may have any length, one text's words being held at a time beside a batch of whole texts; an empty table gives an
 empty result; other columns are ignored (``judge``) or passed through (``keep_good``); names beginning with ``__pl_`` are reserved.
 """
 

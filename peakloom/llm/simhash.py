@@ -12,7 +12,7 @@ is cut into blocks which are compared pair by pair in tasks of their own, so no
 large-star/small-star rounds, each written to the shared folder.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; fewer words than a
-shingle make one shingle; repeated rows are each returned; a null doc_id never names a component unless all in it are null;
+shingle make one shingle; texts may have any length, one text's words being held at a time beside a batch of whole texts; repeated rows are each returned; a null doc_id never names a component unless all in it are null;
 an empty table gives an empty result; other columns are ignored.
 """
 

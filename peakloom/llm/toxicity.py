@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks.
 
 The instances are the overlapping windows of a sentence: every stretch of LENGTHS consecutive symbols, shorter ones at its end. Symbols are
-letters (small ones, accented ones kept apart by code) and, between words, one space; digits and punctuation go, and so do spaces between words of one letter, so an
+letters (small ones; all beyond a to z share the few codes above, by their number, so letters of other scripts can have one code) and, between words, one space; digits and punctuation go, and so do spaces between words of one letter, so an
 insult spelt out in single letters is seen as in one piece. Subsequences run across words, so insults of several words are seen too. Where white space
 parts no words, ``train(..., spaces=False)`` leaves it out.
 A sentence ends at a line break, or at a full stop, exclamation or question mark before white space.
@@ -17,7 +17,7 @@ landmarks are sums over subsequences, the trained machine folds into one weight
 
 Only ``labels.toxic`` of rows with crc32(doc_id) mod 5 <> 0 is learnt from, at most ``per_class`` documents a class (the bound on the sample,
 drawn by hash). Defined cases: a null or empty text scores as a window without any landmark's letters; without labelled
-rows of both classes every score is 0; repeated rows are each scored; an empty table gives an empty result; other columns are ignored.
+rows of both classes every score is 0; repeated rows are each scored; texts may have any length, of which a batch is laid out at a time, whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
