@@ -57,6 +57,13 @@ def common_mass(composition: dict[str, int], masses: dict[str, float], label: fl
     return blocks + label + ADDUCT_MASS.get(mode, 0.0) + REDUCTION_MASS.get(reduction, 0.0)
 
 
+def common_masses(names: Column, counts: Column, masses: dict[str, float], label: float, mode: Column, reduction: Column) -> Column:
+    """P1 for each row: common_mass() of its own composition, mode and reduction."""
+    table = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
+    of = lambda d, key: F.coalesce(F.try_element_at(table(d), key), F.lit(0.0))
+    return total(F.zip_with(names, counts, lambda b, n: n * of(masses, b)), "double") + F.lit(label) + of(ADDUCT_MASS, mode) + of(REDUCTION_MASS, reduction)
+
+
 def counted(names: Column, counts: Column) -> Column:
     """The parts 3Hex, 2HexNAc of what is counted."""
     return F.filter(F.zip_with(names, counts, lambda b, n: F.when(n > 0, F.concat(n.cast("string"), b))), lambda p: p.isNotNull())

@@ -62,6 +62,7 @@ def exclusions(dictionary: DataFrame, known: Sequence[float]) -> DataFrame:
     order = lambda rule, a, b, c, d: F.struct(*[F.lit(x).cast("int").alias(n) if isinstance(x, int) else x.cast("int").alias(n) for n, x in zip(("rule", "a", "b", "c", "d"), (rule, a, b, c, d))]).alias("ord")
     own = spark.createDataFrame([(k, float(m)) for k, m in enumerate(known)], "pos int, mass double").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(9))))
     text = F.format_string("%.3f", "mass")
+    # The wording of the reasons, here and in filter_differences(), is part of the files.
     multiples = own.select(order(1, F.col("pos"), F.col("n"), 0, 0), (F.col("mass") * F.col("n")).alias("mass"), F.when(F.col("n") == 1, F.concat(F.lit("Too close to known block "), text)).otherwise(F.concat(F.lit("Multiple of "), text, F.lit(" ("), F.col("n").cast("string"), F.lit("x)"))).alias("reason"))
     a, b = refs.alias("a"), refs.alias("b")
     counts = spark.createDataFrame([(c, d) for c in range(4) for d in range(4) if c + d >= 2], "c int, d int")

@@ -182,6 +182,7 @@ def run_phase(observed: np.ndarray, masses: np.ndarray, n_known: int, common: fl
                 best, fewest = (x, b.copy(), common), bad
             reached = reached or bad <= config.bad_allowed
             after += reached
+            # Rounds without gain before a stop, and the growth of the error weight below.
             if (reached and after >= config.postgoal) or stale >= (3 if fewest < 0.8 * n else 6):
                 break
             if bad > config.bad_allowed and weight < config.most_error_weight:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..functions.constants import BLOCKS_TSV, DEFAULT_COMMON, MASS_UNIT
+from ..functions.constants import BLOCKS_TSV, MASS_UNIT
 from ..operators import candidates, compare, consensus, dependencies, diagnostics, fit, lattice, network, usage
 from ..operators.storage import settled
 from ..sources import dictionary
@@ -502,12 +502,16 @@ def blocks_per_peak(s, d):
 # ---- scalars and text ---------------------------------------------------------------------------------------------
 
 
-@query("common_mass", "SELECT mode, matrix, round(3 * 162.052824 + 2 * 203.079374 + 137.047679 + CASE mode WHEN 'neg_h' THEN -1.00784 WHEN 'pos_na' THEN 22.989769 ELSE 1.00784 END + CASE matrix WHEN 'r' THEN -2 * 1.00784 ELSE 0 END, 6)::DOUBLE AS mass FROM (VALUES ('neg_h'), ('pos_na'), ('pos_h')) m(mode), (VALUES ('nr'), ('r')) x(matrix)")
+@query("common_mass", f"""SELECT c_custkey, round((c_custkey % 6)::INT * {MASSES[0]!r} + (c_custkey % 4)::INT * {MASSES[1]!r} + 137.047679 + CASE c_nationkey % 4 WHEN 0 THEN -1.00784 WHEN 1 THEN 22.989769 WHEN 2 THEN 1.00784 ELSE 0 END
+  + CASE WHEN c_acctbal > 0 THEN -2 * 1.00784 ELSE 0 END, 6)::DOUBLE AS mass FROM customer""")
 def common_mass(s, d):
+    """Of a composition, mode and reduction for each customer; one of its blocks and one of the modes are unknown."""
     book = {r["name"]: r.mass for r in dictionary.blocks(s).collect()}
     label = next(r.mass for r in dictionary.labels(s).collect() if r["name"] == "2-AA")
-    rows = [(m, x, exprs.common_mass(DEFAULT_COMMON, book, label, m, x)) for m in ("neg_h", "pos_na", "pos_h") for x in ("nr", "r")]
-    return s.createDataFrame(rows, "mode string, matrix string, mass double").withColumn("mass", F.round("mass", 6))
+    counts = F.array((F.col("c_custkey") % 6).cast("int"), (F.col("c_custkey") % 4).cast("int"), F.lit(9))
+    mode = F.get(F.array(*map(F.lit, ("neg_h", "pos_na", "pos_h", "other"))), F.col("c_nationkey") % 4)
+    mass = exprs.common_masses(exprs.strings(("Hex", "HexNAc", "nothing")), counts, book, label, mode, F.when(F.col("c_acctbal") > 0, "r").otherwise("nr"))
+    return read(s, d, "customer").select("c_custkey", F.round(mass, 6).alias("mass"))
 
 
 @query("nearest_multiples", f"SELECT p_partkey, round(round_even(p_retailprice / {MASS_UNIT}, 0) * {MASS_UNIT}, 6) AS multiple, round(abs(p_retailprice - round_even(p_retailprice / {MASS_UNIT}, 0) * {MASS_UNIT}), 6) AS distance FROM part")

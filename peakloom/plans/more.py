@@ -5,31 +5,51 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..functions.constants import BLOCKS_TSV, LABELS_TSV
 from ..operators import candidates, compare, consensus, diagnostics, lattice, network
 from ..operators.storage import new_folder
 from ..sources import dictionary, marks
 from ..streaming import log
-from .catalog import BY, COMMON, EDGE_SQL, LATTICE_SQL, MODELS_SQL, PEAK_SQL, TOLERANCE, WIDE, _models, _peak_stats, query, text
+from .catalog import BY, COMMON, DICT_SQL, EDGE_SQL, LATTICE_SQL, MODELS_SQL, PEAK_SQL, TOLERANCE, WIDE, _models, _peak_stats, query, text
 from .tables import FLAGS, LIMITS, MASSES, NAMES, NODES_SQL, nodes, peaks, read
 
-_quoted = lambda t: "'" + t.replace("'", "''") + "'"
-_LINES = "lines AS (SELECT line, ord - 1 AS ord, string_split(line, chr(9)) AS part FROM (SELECT unnest(string_split({0}, chr(10))) AS line, generate_subscripts(string_split({0}, chr(10)), 1) AS ord) WHERE trim(line) <> '')"
 
 
-@query("block_dictionary", f"WITH {_LINES.format(_quoted(BLOCKS_TSV))} SELECT ord::INT AS ord, part[1] AS name, part[2]::DOUBLE AS mass, part[3] AS category, part[4]::INT AS max_limit, part[5] AS glycan_type, part[6] AS full_name FROM lines WHERE part[3] <> 'meta'")
+def _written(s, rows, name):
+    """Lines (line) as text files."""
+    path = new_folder(s, name)
+    rows.select("line").write.text(path)
+    return path
+
+
+def _part_dictionary(s, d):
+    """The parts as dictionary files, with comments, meta rows, bad masses and missing limits."""
+    key, rows = F.col("p_partkey"), read(s, d, "part")
+    name = F.when(key % 7 == 0, "_free_red_end").otherwise(F.col("p_name"))
+    mass = F.when(key % 13 == 0, "x").otherwise(F.col("p_retailprice").cast("string"))
+    category = F.when(key % 7 == 0, "meta").when(key % 3 == 0, "common").otherwise("Rare")
+    limit = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_size").cast("string"))
+    line = F.concat_ws("\t", name, mass, category, limit, "p_brand", "p_type")
+    return _written(s, rows.select(F.when(key % 11 == 0, F.concat(F.lit("# "), line)).otherwise(line).alias("line")), "dictionary")
+
+
+_PARTS = "FROM part WHERE p_partkey % 11 <> 0"
+
+
+@query("block_dictionary", f"SELECT p_name AS name, p_retailprice AS mass, CASE WHEN p_partkey % 3 = 0 THEN 'common' ELSE 'rare' END AS category, CASE WHEN p_size % 3 <> 0 THEN p_size WHEN p_partkey % 3 = 0 THEN 10 ELSE 4 END AS max_limit, p_brand AS glycan_type, p_type AS full_name {_PARTS} AND p_partkey % 7 <> 0 AND p_partkey % 13 <> 0")
 def block_dictionary(s, d):
-    return dictionary.blocks(s, glycan_type=None, sep="\t")
+    return dictionary.blocks(s, _part_dictionary(s, d), glycan_type=None, sep="\t").drop("ord")
 
 
-@query("free_reducing_ends", f"WITH {_LINES.format(_quoted(BLOCKS_TSV))} SELECT part[5] AS glycan_type, part[2]::DOUBLE AS mass FROM lines WHERE part[1] = '_free_red_end'")
+@query("free_reducing_ends", f"SELECT p_brand AS glycan_type, CASE WHEN p_partkey % 13 <> 0 THEN p_retailprice END AS mass {_PARTS} AND p_partkey % 7 = 0")
 def free_reducing_ends(s, d):
-    return dictionary.free_reducing_ends(s)
+    return dictionary.free_reducing_ends(s, _part_dictionary(s, d))
 
 
-@query("label_table", f"WITH {_LINES.format(_quoted(LABELS_TSV))} SELECT part[1] AS name, part[2]::DOUBLE AS mass, part[3] AS description FROM lines")
+@query("label_table", "SELECT s_name AS name, s_acctbal AS mass, CASE WHEN s_suppkey % 2 = 0 THEN 'nation ' || s_nationkey ELSE '' END AS description FROM supplier WHERE s_suppkey % 5 <> 0")
 def label_table(s, d):
-    return dictionary.labels(s).drop("ord")
+    key = F.col("s_suppkey")
+    full = F.concat_ws("\t", "s_name", F.col("s_acctbal").cast("string"), F.when(key % 2 == 0, F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))))
+    return dictionary.labels(s, _written(s, read(s, d, "supplier").select(F.when(key % 5 == 0, F.col("s_name")).otherwise(full).alias("line")), "labels")).drop("ord")
 
 
 _NEAREST = f"f AS (SELECT sample_id, peak_id, observed, min({{'error': abs((observed - {COMMON!r}::DOUBLE) - mass), 'copies': copies, 'comp': comp, 'mass': mass}}) AS f FROM peaks, lat GROUP BY 1, 2, 3)"
@@ -72,13 +92,11 @@ def job_names(s, d):
     return read(s, d, "pages").select("page_id", exprs.job_name(F.col("url")).alias("name"))
 
 
-_ORDER = ("NeuAc", "Hex", "dHex")
-
-
-@query("model_labels", f"WITH {MODELS_SQL}, parts AS (SELECT mask, model, unnest(string_split(model, '+')) AS part, generate_subscripts(string_split(model, '+'), 1) AS i FROM masks) SELECT mask, model, string_agg(part, '+' ORDER BY coalesce(nullif(list_position({list(_ORDER)!r}, part), 0), 4), i) AS label FROM parts GROUP BY 1, 2")
+@query("model_labels", f"WITH {NODES_SQL} SELECT peak_id, concat_ws('+', CASE WHEN r > 0 THEN 'R' END, CASE WHEN a > 0 THEN 'A' END, CASE WHEN n > 0 THEN 'N' END) AS label FROM nodes")
 def model_labels(s, d):
-    rows = lattice.subset_masks(s, NAMES).select("mask", F.array_join("blocks", "+").alias("model"))
-    return rows.withColumn("label", exprs.reordered_label(F.col("model"), exprs.strings(_ORDER)))
+    """The blocks of each node's composition as a label, in another order of blocks, one of which is unknown."""
+    used = F.array_join(F.filter(F.zip_with(exprs.strings(FLAGS), "composition", lambda b, n: F.when(n > 0, b)), lambda b: b.isNotNull()), "+")
+    return nodes(s, d).select("peak_id", exprs.reordered_label(used, exprs.strings(("R", "A"))).alias("label"))
 
 
 @query("masked_counts", f"WITH {NODES_SQL} SELECT peak_id, a || ',0,' || r AS composition FROM nodes")
@@ -86,12 +104,13 @@ def masked_counts(s, d):
     return nodes(s, d).select("peak_id", F.array_join(exprs.masked(F.col("composition"), F.array(F.lit("A"), F.lit("R")), exprs.strings(FLAGS)).cast("array<string>"), ",").alias("composition"))
 
 
-_TOKENS = ("hex", " KDN ", "5.5", "nothing", "HexNAc")
-
-
-@query("resolved_masses", "WITH t(k, token) AS (VALUES " + ", ".join(f"({k}, {_quoted(t)})" for k, t in enumerate(_TOKENS)) + f"), {_LINES.format(_quoted(BLOCKS_TSV))}, d AS (SELECT lower(part[1]) AS key, arg_min(part[2]::DOUBLE, ord) AS mass FROM lines WHERE part[3] <> 'meta' AND part[5] = 'native' GROUP BY 1) SELECT token, coalesce(mass, try_cast(trim(token) AS DOUBLE)) AS mass FROM t LEFT JOIN d ON key = lower(trim(token))")
+@query("resolved_masses", f"""WITH {DICT_SQL}, d AS (SELECT lower(name) AS key, arg_min(mass, ord) AS mass FROM dict GROUP BY 1),
+t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['hex', ' KDN ', 'HexNAc', 'nothing'][p_size % 4 + 1] WHEN 1 THEN p_retailprice::VARCHAR WHEN 2 THEN p_name END AS token FROM part)
+SELECT p_partkey, coalesce(d.mass, try_cast(trim(token) AS DOUBLE)) AS mass FROM t LEFT JOIN d ON key = lower(trim(token))""")
 def resolved_masses(s, d):
-    return candidates.resolved_masses(s.createDataFrame([(t,) for t in _TOKENS], "token string"), dictionary.blocks(s)).select("token", "mass")
+    key, known = F.col("p_partkey"), F.array(*map(F.lit, ("hex", " KDN ", "HexNAc", "nothing")))
+    token = F.when(key % 4 == 0, F.get(known, F.col("p_size") % 4)).when(key % 4 == 1, F.col("p_retailprice").cast("string")).when(key % 4 == 2, F.col("p_name"))
+    return candidates.resolved_masses(read(s, d, "part").select("p_partkey", token.alias("token")), dictionary.blocks(s)).select("p_partkey", "mass")
 
 
 @query("overridden_best", f"""WITH {PEAK_SQL}, n AS (SELECT sample_id, peak_id, min({{'error': abs((observed - {COMMON!r}::DOUBLE) - mass), 'copies': copies, 'comp': comp}}) AS f FROM peaks, lat GROUP BY 1, 2)

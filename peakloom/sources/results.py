@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import block_count
 
-#: Columns of results files that are not blocks.
+# Columns of results files that are not blocks.
 FIXED = (
     "Peak_ID", "Observed", "Model", "Model_Blocks", "Model_BIC", "Reconstructed", "Reconstructed_Theoretical", "Error", "Status", "Formula", "Structure",
     "N_Models_Tested", "N_Models_Explaining", "Composition_Consistent", "Best_Model", "Best_Formula", "Best_Structure",
