@@ -17,10 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bit, block_bits, dot, doubles, total
+from .storage import settled
 
 MOST_ALTERNATIVES = 500
 #: Points of the largest half lattice that is a table.
 HALF = 50_000
+#: Rows of lattice cells that are broadcast; they depend on the blocks alone. Of larger tables, the peaks are shuffled instead.
+BROADCAST = 600_000
+#: Points, counted for each model, of the largest whole lattice that closest_of_many() makes.
+WHOLE = 5_000_000
 #: Blocks that a model's mask, an int, can hold.
 MASK_BITS = 31
 
@@ -64,6 +69,11 @@ def _micro(mass: Column) -> Column:
     return F.rint(mass * 1e6).cast("long")
 
 
+def _hinted(cells: DataFrame, rows: int) -> DataFrame:
+    """The lattice's side of a join. Without a hint, Spark takes rows that are still to be exploded for as small as their file, and may broadcast the peaks."""
+    return F.broadcast(cells) if rows <= BROADCAST else cells.hint("merge")
+
+
 def _cells(points: DataFrame, low: int, high: int, by: Sequence[str]) -> DataFrame:
     """Each distinct mass of a group with its neighbours, one row for each whole mass from low to high at which it can be nearest. Masses that agree to six decimals are
     one, that of the fewest copies."""
@@ -158,7 +168,8 @@ def closest(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], co
     by = [] if masks is None else ["mask"]
     if masks is not None:
         back = model_lattice(back, masks.select(F.call_function("shiftright", "mask", F.lit(at)).alias("mask")).distinct())
-    cells = _cells(back, low, high, by)
+    models = 1 if masks is None else 2 ** min(len(masses) - at, MASK_BITS)
+    cells = _hinted(_cells(back, low, high, by), 2 * math.prod(int(n) + (1 if masks is None else 2) for n in limits[at:]) + models * (high - low + 1))
     y = peaks.withColumn("target", F.col("observed") - common).where(F.col("target").isNotNull())
     rows = _fronts(y, masses[:at], limits[:at], max(masses[:at], default=0.0)).withColumn("rest", F.col("target") - F.col("left"))
     rows = rows.withColumn("cell", F.least(F.greatest(F.floor("rest").cast("long"), F.lit(low)), F.lit(high)))
@@ -190,12 +201,50 @@ def closest(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], co
     return found.select("sample_id", "peak_id", *by, *keep, "best.composition", "best.lattice_mass", "best.error")
 
 
+def closest_of_many(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], common: float, masks: DataFrame | None = None, most: int = WHOLE) -> DataFrame:
+    """closest() for many peaks and blocks, by one lookup for each peak and model instead of one for each choice of counts in front.
+
+    The whole lattice is a table here, as far as the heaviest peak reaches. Its cells are as narrow as a model's points are dense, so that a peak meets few points, and both
+    sides are dealt out by model and cell. A lattice of more than `most` points is left to closest(), and so are masses that are not above 0.
+    """
+    spark, by = peaks.sparkSession, [] if masks is None else ["mask"]
+    if math.prod(int(n) + (1 if masks is None else 2) for n in limits) > most or min(masses, default=0.0) <= 0:
+        return closest(peaks, masses, limits, common, masks)
+    y = peaks.withColumn("target", F.col("observed") - common).where(F.col("target").isNotNull())
+    # The first point above a target is at most one block above it.
+    heaviest = y.where(~F.isnan("target")).agg(F.max(F.least("target", F.lit(float(sum(m * n for m, n in zip(masses, limits))))))).first()[0]
+    heaviest = max(heaviest or 0.0, 0.0) + max(masses) + 1
+    points = lattice(spark, masses, limits, heaviest).repartition("composition")
+    if masks is not None:
+        points = points.withColumn("used", block_bits(F.col("composition"))).join(F.broadcast(masks.select("mask")), F.col("used").bitwiseAND(F.bitwise_not("mask")) == 0)
+    best = points.groupBy(*by, _micro(F.col("mass")).alias("micro")).agg(F.min(F.struct(total(F.col("composition")).alias("copies"), "composition", "mass")).alias("p")).withColumn("mass", F.col("p.mass"))
+    best = settled(best.drop("micro"))
+    scale = F.pow(F.lit(2.0), F.rint(F.log2(F.count(F.lit(1)) / F.lit(heaviest))))
+    scales = best.groupBy(*by).agg(scale.alias("scale")) if by else best.agg(scale.alias("scale"))
+    w = Window.partitionBy(*by).orderBy("mass")
+    cells = best.select(*by, "mass", "p", F.lag("mass").over(w).alias("below"), F.lead("mass").over(w).alias("above"), (F.col("p") < F.lag("p").over(w)).alias("beats_below"), (F.col("p") < F.lead("p").over(w)).alias("beats_above"))
+    cells = cells.join(F.broadcast(scales), by) if by else cells.crossJoin(F.broadcast(scales))
+    high = F.floor(F.lit(heaviest) * F.col("scale")).cast("long")
+    middle = lambda other, slack: F.floor(((F.col(other) + F.col("mass")) / 2 + slack) * F.col("scale")).cast("long")
+    first, last = F.coalesce(middle("below", -2e-6), F.lit(0).cast("long")), F.least(F.coalesce(middle("above", 2e-6), high), high)
+    cells = cells.where(first <= last).withColumn("cell", F.explode(F.sequence(first, last)))
+    cells = cells.select(*by, "cell", F.col("mass").alias("lattice_mass"), "p.composition", "below", "above", "beats_below", "beats_above")
+    cell = F.least(F.greatest(F.floor(F.col("target") * F.col("scale")).cast("long"), F.lit(0).cast("long")), high)
+    met = y.crossJoin(F.broadcast(scales)).withColumn("cell", cell).drop("scale").join(cells.hint("merge"), [*by, "cell"])
+    off = lambda c: F.abs(F.col("target") - F.col(c))
+    near = lambda c: F.rint(off(c) * 1e6)  # noqa: E731  errors that agree to six decimals are one
+    wins = lambda other, ties: F.col(other).isNull() | (near("lattice_mass") < near(other)) | ((near("lattice_mass") == near(other)) & F.col(ties))
+    keep = [c for c in peaks.columns if c not in ("sample_id", "peak_id")]
+    return met.where(wins("below", "beats_below") & wins("above", "beats_above")).select("sample_id", "peak_id", *by, *keep, "composition", "lattice_mass", off("lattice_mass").alias("error"))
+
+
 def within(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], common: float, tolerance: float, most: int = MOST_ALTERNATIVES, half: int = HALF) -> DataFrame:
     """alternatives() over the lattice of all blocks, met in the middle."""
     at = split_at(limits, half)
     y = peaks.withColumn("target", F.col("observed") - common)
     rows = _fronts(y.where(F.col("target").isNotNull()), masses[:at], limits[:at], tolerance)
     cells = _tolerance_cells(lattice(peaks.sparkSession, masses[at:], limits[at:]).withColumnRenamed("composition", "back"), tolerance)
+    cells = _hinted(cells, math.prod(int(n) + 1 for n in limits[at:]) * (math.ceil(2 * tolerance) + 2))
     met = rows.withColumn("cell", F.floor(F.col("target") - F.col("left")).cast("long")).join(cells, "cell")
     met = met.withColumn("error", F.abs(F.col("target") - (F.col("left") + F.col("mass")))).where(F.col("error") < tolerance)
     ranked = _ranked(met.withColumn("composition", F.concat("front", "back")), most)

@@ -181,8 +181,8 @@ sides AS (SELECT sample_id, peak_id, abs(target - mass) AS error, p FROM t ASOF
 f AS (SELECT sample_id, peak_id, {_near8} FROM sides GROUP BY 1, 2)
 SELECT sample_id, peak_id, array_to_string(f.comp, ',') AS composition, round(f.error, 6) AS error FROM f""")
 def lattice_nearest8(s, d):
-    """Of 859,375 compositions of eight blocks, of which 15,625 are a table."""
-    return lattice.closest(peaks(s, d), MASSES8, LIMITS8, COMMON).select("sample_id", "peak_id", text().alias("composition"), F.round("error", 6).alias("error"))
+    """Of 859,375 compositions of eight blocks."""
+    return lattice.closest_of_many(peaks(s, d), MASSES8, LIMITS8, COMMON).select("sample_id", "peak_id", text().alias("composition"), F.round("error", 6).alias("error"))
 
 
 @query("lattice_alternatives8", f"""WITH {NATION_SQL}, {LATTICE8_SQL}, t AS (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks),
