@@ -201,10 +201,11 @@ sides AS (SELECT sample_id, peak_id, t.mask, abs(target - mass) AS error, p FROM
 f AS (SELECT sample_id, peak_id, mask, {_near8} FROM sides GROUP BY 1, 2, 3)
 SELECT sample_id, mask, count(*) AS n, count(*) FILTER (f.error < {WIDE}) AS n_good, round(sum(f.error * f.error) + 1e-8, 4) AS rss FROM f GROUP BY 1, 2""")
 def subset_models8(s, d):
-    """All 255 models of eight blocks."""
-    fits = lattice.closest(nation_peaks(s, d), MASSES8, LIMITS8, COMMON, lattice.subset_masks(s, NAMES8))
-    e = F.col("error")
-    return fits.groupBy("sample_id", "mask").agg(F.count(F.lit(1)).alias("n"), F.count_if(e < WIDE).alias("n_good"), F.round(F.sum(e * e) + 1e-8, 4).alias("rss"))
+    """All 255 models of eight blocks. A sample's peaks of one mass are fitted once and counted."""
+    alike = nation_peaks(s, d).groupBy("sample_id", "observed").agg(F.min("peak_id").alias("peak_id"), F.count(F.lit(1)).alias("alike"))
+    fits = lattice.closest_of_many(alike, MASSES8, LIMITS8, COMMON, lattice.subset_masks(s, NAMES8))
+    e, n = F.col("error"), F.col("alike")
+    return fits.groupBy("sample_id", "mask").agg(F.sum(n).alias("n"), F.sum(F.when(e < WIDE, n).otherwise(0)).alias("n_good"), F.round(F.sum(n * e * e) + 1e-8, 4).alias("rss"))
 
 
 ALTERNATIVES_SQL = f"""{LATTICE_SQL}, met AS (SELECT sample_id, peak_id, comp, abs((observed - {COMMON!r}::DOUBLE) - mass) AS error, row_number() OVER (PARTITION BY sample_id, peak_id ORDER BY comp) AS dfs FROM peaks, lat WHERE abs((observed - {COMMON!r}::DOUBLE) - mass) < {WIDE}),
