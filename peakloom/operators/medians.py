@@ -39,6 +39,11 @@ def with_medians(stats: DataFrame, rows: DataFrame, by: Sequence[str], values: M
     return stats.join(middle, on).drop(*(f"__of_{k}" for k in by))
 
 
+def has_large(rows: DataFrame, by: Sequence[str], large: int = LARGE) -> bool:
+    """Whether a group has too many rows to be held whole."""
+    return not rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > large).isEmpty()
+
+
 def _refined(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     key = F.struct(*by)
     long = rows.select(key.alias("g"), F.explode(F.array(*(F.struct(F.lit(c).alias("name"), (F.col(c) + 0.0).alias("v")) for c in names))).alias("e")).select("g", "e.name", "e.v").where("v is not null")
