@@ -254,10 +254,9 @@ def best_models(s, d):
 
 
 def _peak_stats(s, d):
-    """Fits are stored here, as they are read several times."""
-    masks = lattice.subset_masks(s, NAMES)
-    fits = settled(_fits(s, d, masks))
-    models = settled(compare.without_supersets(settled(compare.model_summary(fits, masks, WIDE))))
+    """Nothing is stored: a sample's peaks are dealt out once, and its fits and models are made where they are."""
+    fits, models = _models(s, d)
+    models = compare.without_supersets(models)
     return fits, models, compare.peak_statistics(fits, models, MASSES, WIDE)
 
 
@@ -285,7 +284,7 @@ bio AS (SELECT p.sample_id, p.peak_id, coalesce(k.comp, [0, 0, 0, 0]) AS comp FR
 
 def _bio(s, d):
     fits, models, stats = _peak_stats(s, d)
-    explained = consensus.explaining_compositions(fits.join(models.select("sample_id", "mask"), ["sample_id", "mask"], "left_semi"), WIDE)
+    explained = consensus.explaining_compositions(compare.of_models(fits, models), WIDE)
     return stats, consensus.network_consensus(peaks(s, d), explained, len(NAMES))
 
 
@@ -297,7 +296,7 @@ def bio_consensus(s, d):
 @query("consensus_differences", f"WITH {CANDIDATE_SQL} SELECT b.sample_id, b.peak_id, array_to_string(coalesce(best.comp, [0, 0, 0, 0]), ',') AS first, array_to_string(b.comp, ',') AS second FROM bio b JOIN ps USING (sample_id, peak_id) WHERE coalesce(best.comp, [0, 0, 0, 0]) <> b.comp")
 def consensus_differences(s, d):
     stats, bio = _bio(s, d)
-    rows = consensus.differences(consensus.simplest_consensus(settled(stats), len(NAMES)), bio)
+    rows = consensus.differences(consensus.simplest_consensus(stats, len(NAMES)), bio)
     return rows.select("sample_id", "peak_id", text("first").alias("first"), text("second").alias("second"))
 
 
@@ -308,7 +307,7 @@ ind AS (SELECT a.sample_id, a.block, bit_or(b.prerequisites) AS further FROM ub
 
 def _dependencies(s, d):
     fits, models, _ = _peak_stats(s, d)
-    return dependencies.direct_dependencies(settled(dependencies.block_usage_across_models(fits.join(models.select("sample_id", "mask"), ["sample_id", "mask"], "left_semi"), len(NAMES), WIDE)))
+    return dependencies.direct_dependencies(dependencies.block_usage_across_models(compare.of_models(fits, models), len(NAMES), WIDE))
 
 
 @query("block_dependencies", f"WITH {DEP_SQL} SELECT ub.*, (prerequisites & ~coalesce(further, 0))::INT AS direct FROM ub LEFT JOIN ind USING (sample_id, block)")
@@ -329,7 +328,7 @@ orders_of AS (SELECT sample_id, list_concat(done, list_filter([0, 1, 2, 3], lamb
 SELECT sample_id, ['Hex', 'HexNAc', 'dHex', 'NeuAc'][block + 1] AS block, {_named("prerequisites", "(none)")} AS prerequisites, {_named("direct", "(root)")} AS direct_dependencies,
   list_position(ordering, block)::INT AS biosynthetic_order, n_with, n_used, n_not_used FROM dd JOIN orders_of USING (sample_id)""")
 def dependency_report(s, d):
-    return dependencies.dependency_report(settled(_dependencies(s, d)), NAMES)
+    return dependencies.dependency_report(_dependencies(s, d), NAMES)
 
 
 # ---- compositions and networks ------------------------------------------------------------------------------------
