@@ -65,7 +65,7 @@ def level_search(peaks: DataFrame, names: Sequence[str], masses: Sequence[float]
     wanted = settled(samples.select("sample_id", F.explode(F.array(*(F.lit(always or 1 << i) for i in range(1 if always else k)))).alias("mask")))
     fits, models = [], []
     for size in range(1, k + 1):
-        own = settled(closest(peaks, masses, limits, common, masks, wanted=wanted))
+        own = closest(peaks, masses, limits, common, masks, wanted=wanted)  # a lookup, cheaper to repeat than to store
         found = settled(model_summary(own, masks, tolerance))
         fits.append(own)
         models.append(found)
