@@ -39,6 +39,11 @@ def text(column: str = "composition"):
     return F.array_join(F.col(column).cast("array<string>"), ",")
 
 
+def sixth(column: str):
+    """To six decimals as SQL rounds: the product is rounded, not the decimal digits of the value, which may fall on the other side of a half."""
+    return (F.round(F.col(column) * 1e6) / 1e6).alias(column)
+
+
 # ---- usage events -------------------------------------------------------------------------------------------------
 
 query("usage_totals", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")(lambda s, d: usage.totals(usage_events(s, d)))
@@ -165,7 +170,7 @@ _SHOWN = "SELECT sample_id, mask, model, n_blocks, n, n_good, n_bad, round(rss +
 
 @query("lattice_nearest", f"WITH {LATTICE_SQL}, f AS (SELECT sample_id, peak_id, min({{'error': abs((observed - {COMMON!r}::DOUBLE) - mass), 'copies': copies, 'comp': comp}}) AS f FROM peaks, lat GROUP BY 1, 2) SELECT sample_id, peak_id, array_to_string(f.comp, ',') AS composition, round(f.error, 6) AS error FROM f")
 def lattice_nearest(s, d):
-    return lattice.closest(peaks(s, d), MASSES, LIMITS, COMMON).select("sample_id", "peak_id", text().alias("composition"), F.round("error", 6).alias("error"))
+    return lattice.closest(peaks(s, d), MASSES, LIMITS, COMMON).select("sample_id", "peak_id", text().alias("composition"), sixth("error"))
 
 
 _back8 = "((((((0.0::DOUBLE + " + ") + ".join(f"n[{k}] * {m!r}::DOUBLE" for k, m in enumerate(MASSES8[2:], 1)) + ")"
@@ -182,7 +187,7 @@ f AS (SELECT sample_id, peak_id, {_near8} FROM sides GROUP BY 1, 2)
 SELECT sample_id, peak_id, array_to_string(f.comp, ',') AS composition, round(f.error, 6) AS error FROM f""")
 def lattice_nearest8(s, d):
     """Of 859,375 compositions of eight blocks."""
-    return lattice.closest_of_many(peaks(s, d), MASSES8, LIMITS8, COMMON).select("sample_id", "peak_id", text().alias("composition"), F.round("error", 6).alias("error"))
+    return lattice.closest_of_many(peaks(s, d), MASSES8, LIMITS8, COMMON).select("sample_id", "peak_id", text().alias("composition"), sixth("error"))
 
 
 @query("lattice_alternatives8", f"""WITH {NATION_SQL}, {LATTICE8_SQL}, t AS (SELECT *, observed - {COMMON!r}::DOUBLE AS target FROM peaks),
@@ -192,7 +197,7 @@ SELECT sample_id, peak_id, alternative, array_to_string(comp, ',') AS compositio
 UNION ALL SELECT sample_id, peak_id, 1, '0,0,0,0,0,0,0,0', 'inf'::DOUBLE FROM peaks p WHERE NOT EXISTS (SELECT 1 FROM alts a WHERE a.sample_id = p.sample_id AND a.peak_id = p.peak_id)""")
 def lattice_alternatives8(s, d):
     rows = lattice.within(nation_peaks(s, d), MASSES8, LIMITS8, COMMON, TOLERANCE)
-    return rows.select("sample_id", "peak_id", F.col("alternative").cast("long").alias("alternative"), text().alias("composition"), F.round("error", 6).alias("error"))
+    return rows.select("sample_id", "peak_id", F.col("alternative").cast("long").alias("alternative"), text().alias("composition"), sixth("error"))
 
 
 @query("subset_models8", f"""WITH {NATION_SQL}, {LATTICE8_SQL}, masks AS (SELECT m::INT AS mask FROM range(1, 256) t(m)), used AS (SELECT *, list_sum([CASE WHEN comp[i] > 0 THEN 1 << (i - 1) ELSE 0 END FOR i IN range(1, 9)])::INT AS used FROM points),
@@ -215,7 +220,7 @@ alts AS (SELECT sample_id, peak_id, row_number() OVER (PARTITION BY sample_id, p
 @query("lattice_alternatives", f"WITH {ALTERNATIVES_SQL} SELECT sample_id, peak_id, alternative, array_to_string(comp, ',') AS composition, round(error, 6) AS error FROM alts UNION ALL SELECT sample_id, peak_id, 1, '0,0,0,0', 'inf'::DOUBLE FROM peaks p WHERE NOT EXISTS (SELECT 1 FROM alts a WHERE a.sample_id = p.sample_id AND a.peak_id = p.peak_id)")
 def lattice_alternatives(s, d):
     rows = lattice.within(peaks(s, d), MASSES, LIMITS, COMMON, WIDE)
-    return rows.select("sample_id", "peak_id", F.col("alternative").cast("long").alias("alternative"), text().alias("composition"), F.round("error", 6).alias("error"))
+    return rows.select("sample_id", "peak_id", F.col("alternative").cast("long").alias("alternative"), text().alias("composition"), sixth("error"))
 
 
 @query("ambiguity_margins", f"""WITH {ALTERNATIVES_SQL}, m AS (SELECT sample_id, peak_id, max(error) FILTER (alternative = 2) - max(error) FILTER (alternative = 1) AS margin FROM alts GROUP BY 1, 2),
@@ -223,7 +228,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY margin) AS k,
 SELECT sample_id, count(*) FILTER (margin >= 0.5) AS n_clear, count(*) FILTER (margin < 0.5) AS n_ambiguous, round(min(margin), 6) AS min_margin, round(max(margin) FILTER (k = n // 2 + 1), 6) AS median_margin, round(max(margin), 6) AS max_margin FROM k GROUP BY 1""")
 def ambiguity_margins(s, d):
     rows = lattice.ambiguity_summary(lattice.ambiguity(lattice.within(peaks(s, d), MASSES, LIMITS, COMMON, WIDE)))
-    return rows.select("sample_id", "n_clear", "n_ambiguous", *[F.round(c, 6).alias(c) for c in ("min_margin", "median_margin", "max_margin")])
+    return rows.select("sample_id", "n_clear", "n_ambiguous", *[sixth(c) for c in ("min_margin", "median_margin", "max_margin")])
 
 
 @query("subset_models_bic", f"WITH {MODELS_SQL} {_SHOWN} FROM models")
