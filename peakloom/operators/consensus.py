@@ -170,10 +170,14 @@ def annealed_consensus(alternatives: DataFrame, tolerance: float, dependency_wei
 
 def overridden_best(peak_stats: DataFrame, consensus: DataFrame, tolerance: float, name: str = "BioConsensus3") -> DataFrame:
     """Peaks that the consensus explains name it as their best model. consensus has error."""
-    c = consensus.select("sample_id", "peak_id", F.col("composition").alias("__c"), F.col("error").alias("__e"))
-    good = F.col("__e") < tolerance
-    rows = peak_stats.join(c, ["sample_id", "peak_id"], "left")
-    return rows.withColumns({"best_model": F.when(good, name).otherwise(F.col("best_model")), "best_composition": F.when(good, F.col("__c")).otherwise(F.col("best_composition"))}).drop("__c", "__e")
+    c = consensus.select("sample_id", "peak_id", "composition", "error")
+    return overridden(peak_stats.join(c, ["sample_id", "peak_id"], "left"), tolerance, name)
+
+
+def overridden(rows: DataFrame, tolerance: float, name: str = "BioConsensus3") -> DataFrame:
+    """overridden_best() where the consensus is in the peak's row, as composition and error; these are dropped."""
+    good = F.col("error") < tolerance
+    return rows.withColumns({"best_model": F.when(good, name).otherwise(F.col("best_model")), "best_composition": F.when(good, F.col("composition")).otherwise(F.col("best_composition"))}).drop("composition", "error")
 
 
 def differences(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -8,17 +8,36 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bit, block_bits, strings
+from .compare import WORD, kept_masks, packed_words, perfect_masks, perfect_words
 
 
 def block_usage_across_models(fits: DataFrame, n_blocks: int, tolerance: float) -> DataFrame:
     """Per sample and block, models with it, models that use it (some GOOD peak has a copy), and prerequisites: the other
     blocks that all using models share, none if no model uses it."""
     used = block_bits(F.col("composition"))
-    models = fits.groupBy("sample_id", "mask").agg(F.coalesce(F.bit_or(F.when(F.col("error") < tolerance, used)), F.lit(0)).alias("used"))
+    return _usage(fits.groupBy("sample_id", "mask").agg(F.coalesce(F.bit_or(F.when(F.col("error") < tolerance, used)), F.lit(0)).alias("used")), n_blocks)
+
+
+def block_usage_of_peaks(explained: DataFrame, n_blocks: int) -> DataFrame:
+    """block_usage_across_models() over the models that contain no other perfect one, from compare.explained_peaks(). A sample's peaks are reduced to a few words: a bit for each perfect model,
+    and n_blocks bits for each model's used blocks."""
+    k, each = n_blocks, WORD // n_blocks
+    good, blocks = F.col("good"), 2**n_blocks - 1
+    perfect = {f"__p{w}": c for w, c in enumerate(perfect_words(good, k))}
+    used = {f"__u{w}": c for w, c in enumerate(packed_words(good, lambda f: block_bits(f["composition"]), k, k))}
+    rows = explained.select("sample_id", *(c.alias(n) for n, c in (perfect | used).items()))
+    rows = rows.groupBy("sample_id").agg(*(F.bit_and(n).alias(n) for n in perfect), *(F.bit_or(n).alias(n) for n in used))
+    rows = rows.withColumn("mask", F.explode(kept_masks(perfect_masks([F.col(n) for n in perfect], k), k)))
+    word = F.get(F.array(*used), F.floor(F.col("mask") / each).cast("int"))
+    return _usage(rows.select("sample_id", "mask", F.call_function("shiftright", word, F.col("mask") % each * k).bitwiseAND(F.lit(blocks)).cast("int").alias("used")), k)
+
+
+def _usage(models: DataFrame, n_blocks: int) -> DataFrame:
+    """models: (sample_id, mask, used), a row for each model."""
     each = models.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).where(F.getbit("mask", F.col("block")) == 1)
     is_used = F.getbit("used", F.col("block")) == 1
     others = F.col("mask").bitwiseAND(F.bitwise_not(bit(F.col("block"))))
@@ -29,11 +48,10 @@ def block_usage_across_models(fits: DataFrame, n_blocks: int, tolerance: float)
 
 def direct_dependencies(usage: DataFrame) -> DataFrame:
     """Prerequisites less those of the prerequisites, in one pass: two blocks that need each other keep their edges."""
-    need = usage.select("sample_id", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(30)), lambda i: F.getbit(F.col("prerequisites"), i) == 1)).alias("p"))
-    theirs = usage.select("sample_id", F.col("block").alias("p"), F.col("prerequisites").alias("further"))
-    indirect = need.join(theirs, ["sample_id", "p"]).groupBy("sample_id", "block").agg(F.bit_or("further").alias("indirect"))
-    rows = usage.join(indirect, ["sample_id", "block"], "left")
-    return rows.withColumn("direct", F.col("prerequisites").bitwiseAND(F.bitwise_not(F.coalesce("indirect", F.lit(0))))).drop("indirect")
+    every = F.collect_list(F.struct("block", "prerequisites")).over(Window.partitionBy("sample_id"))  # a row for each block
+    needs = lambda b: F.getbit(F.col("prerequisites"), b["block"]) == 1
+    indirect = F.aggregate("__every", F.lit(0), lambda a, b: a.bitwiseOR(F.when(needs(b), b["prerequisites"]).otherwise(0)))
+    return usage.withColumn("__every", every).withColumn("direct", F.col("prerequisites").bitwiseAND(F.bitwise_not(indirect))).drop("__every")
 
 
 def topological_order(direct: Sequence[int]) -> list[int]:

@@ -201,6 +201,32 @@ def closest(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], co
     return found.select("sample_id", "peak_id", *by, *keep, "best.composition", "best.lattice_mass", "best.error")
 
 
+def fits_within(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], common: float, masks: DataFrame, tolerance: float, also: Sequence[Column] = (), half: int = HALF) -> DataFrame:
+    """closest() of all models with one row for each peak: good, array<struct<mask, composition, error, ...>>, has those of its models' nearest compositions that are less than the
+    tolerance away. also: named expressions over composition and the columns of masks.
+
+    The cells of all models are one row for each whole mass, so a peak meets one row, and no fit is a row of its own. Only points within the tolerance of a whole mass are in its row.
+    """
+    named = F.broadcast(masks)
+    if split_at(limits, half):
+        rows = closest(peaks, masses, limits, common, masks, half=half).join(named, "mask")
+        keep = [F.first(c).alias(c) for c in peaks.columns if c not in ("sample_id", "peak_id")]
+        return rows.groupBy("sample_id", "peak_id").agg(*keep, F.collect_list(F.when(F.col("error") < tolerance, F.struct("mask", "composition", "error", *also))).alias("good"))
+    ends = [m * n for m, n in zip(masses, limits)]
+    low, high = math.floor(sum(min(e, 0.0) for e in ends) - tolerance) - 1, math.floor(sum(max(e, 0.0) for e in ends) + tolerance) + 1
+    cells = _cells(model_lattice(lattice(peaks.sparkSession, masses, limits), masks), low, high, ["mask"])
+    reached = (F.col("lattice_mass") > F.col("cell") - tolerance - 1e-6) & (F.col("lattice_mass") < F.col("cell") + 1 + tolerance + 1e-6)
+    cells = cells.where(reached).join(named, "mask").select("cell", F.struct("mask", "composition", "lattice_mass", "below", "above", "beats_below", "beats_above", *also).alias("met"))
+    cells = cells.groupBy("cell").agg(F.collect_list("met").alias("met"))
+    y = peaks.withColumn("target", F.col("observed") - common).where(F.col("target").isNotNull()).withColumn("cell", F.least(F.greatest(F.floor("target").cast("long"), F.lit(low)), F.lit(high)))
+    off = lambda m: F.abs(F.col("target") - m)
+    wins = lambda m, other, ties: m[other].isNull() | (off(m["lattice_mass"]) < off(m[other])) | ((off(m["lattice_mass"]) == off(m[other])) & m[ties])
+    near = F.filter("met", lambda m: (off(m["lattice_mass"]) < tolerance) & wins(m, "below", "beats_below") & wins(m, "above", "beats_above"))
+    extra = cells.schema["met"].dataType.elementType.names[7:]
+    good = F.transform(near, lambda m: F.struct(m["mask"].alias("mask"), m["composition"].alias("composition"), off(m["lattice_mass"]).alias("error"), *(m[c].alias(c) for c in extra)))
+    return y.join(F.broadcast(cells), "cell", "left").select(*peaks.columns, F.coalesce(good, F.array()).alias("good"))
+
+
 def closest_of_many(peaks: DataFrame, masses: Sequence[float], limits: Sequence[int], common: float, masks: DataFrame | None = None, most: int = WHOLE) -> DataFrame:
     """closest() for many peaks and blocks, by one lookup for each peak and model instead of one for each choice of counts in front.
 

@@ -258,21 +258,23 @@ def best_models(s, d):
     return _shown(compare.best_models(_models(s, d)[1]).withColumn("n", F.lit(0))).drop("n")
 
 
+def _explained(s, d):
+    return compare.explained_peaks(peaks(s, d), NAMES, MASSES, LIMITS, COMMON, WIDE)
+
+
 def _peak_stats(s, d):
-    """Nothing is stored: a sample's peaks are dealt out once, and its fits and models are made where they are."""
-    fits, models = _models(s, d)
-    models = compare.without_supersets(models)
-    return fits, models, compare.peak_statistics(fits, models, MASSES, WIDE)
+    """Nothing is stored: a sample's peaks are dealt out once, and a peak's fits of all models are in its row."""
+    return compare.kept_statistics(compare.kept_fits(_explained(s, d), len(NAMES)))
 
 
 @query("best_model_per_peak", f"WITH {PEAK_SQL} SELECT sample_id, peak_id, n_tested, n_explaining, consistent, best.model AS best_model, array_to_string(best.comp, ',') AS best_composition FROM ps")
 def best_model_per_peak(s, d):
-    return _peak_stats(s, d)[2].select("sample_id", "peak_id", "n_tested", "n_explaining", "consistent", "best_model", text("best_composition").alias("best_composition"))
+    return _peak_stats(s, d).select("sample_id", "peak_id", "n_tested", "n_explaining", "consistent", "best_model", text("best_composition").alias("best_composition"))
 
 
 @query("model_share", f"WITH {PEAK_SQL}, c AS (SELECT sample_id, best.model AS best_model, count(*) AS n_peaks FROM ps WHERE best IS NOT NULL GROUP BY 1, 2) SELECT *, round(100 * n_peaks / sum(n_peaks) OVER (PARTITION BY sample_id), 6) AS percent FROM c")
 def model_share(s, d):
-    return compare.model_shares(_peak_stats(s, d)[2]).withColumn("percent", F.round("percent", 6))
+    return compare.model_shares(_peak_stats(s, d)).withColumn("percent", F.round("percent", 6))
 
 
 @query("simplest_prefix", f"WITH {MODELS_SQL} SELECT sample_id, peak_id, coalesce(min(n_blocks) FILTER (error < {WIDE}), 0)::INT AS simplest FROM fits JOIN masks USING (mask) WHERE mask IN (1, 3, 7, 15) GROUP BY 1, 2")
@@ -288,9 +290,9 @@ bio AS (SELECT p.sample_id, p.peak_id, coalesce(k.comp, [0, 0, 0, 0]) AS comp FR
 
 
 def _bio(s, d):
-    fits, models, stats = _peak_stats(s, d)
-    explained = consensus.explaining_compositions(compare.of_models(fits, models), WIDE)
-    return stats, consensus.network_consensus(peaks(s, d), explained, len(NAMES))
+    kept = compare.kept_fits(_explained(s, d), len(NAMES))
+    explained = consensus.explaining_compositions(kept.select("sample_id", "peak_id", "observed", F.inline("good")), WIDE)
+    return compare.kept_statistics(kept), consensus.network_consensus(peaks(s, d), explained, len(NAMES))
 
 
 @query("bio_consensus", f"WITH {CANDIDATE_SQL} SELECT sample_id, peak_id, array_to_string(comp, ',') AS composition FROM bio")
@@ -311,8 +313,7 @@ ind AS (SELECT a.sample_id, a.block, bit_or(b.prerequisites) AS further FROM ub
 
 
 def _dependencies(s, d):
-    fits, models, _ = _peak_stats(s, d)
-    return dependencies.direct_dependencies(dependencies.block_usage_across_models(compare.of_models(fits, models), len(NAMES), WIDE))
+    return dependencies.direct_dependencies(dependencies.block_usage_of_peaks(_explained(s, d), len(NAMES)))
 
 
 @query("block_dependencies", f"WITH {DEP_SQL} SELECT ub.*, (prerequisites & ~coalesce(further, 0))::INT AS direct FROM ub LEFT JOIN ind USING (sample_id, block)")

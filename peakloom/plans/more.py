@@ -116,8 +116,7 @@ def resolved_masses(s, d):
 @query("overridden_best", f"""WITH {PEAK_SQL}, n AS (SELECT sample_id, peak_id, min({{'error': abs((observed - {COMMON!r}::DOUBLE) - mass), 'copies': copies, 'comp': comp}}) AS f FROM peaks, lat GROUP BY 1, 2)
 SELECT sample_id, peak_id, CASE WHEN f.error < {TOLERANCE} THEN 'BioConsensus3' ELSE best.model END AS best_model, array_to_string(CASE WHEN f.error < {TOLERANCE} THEN f.comp ELSE best.comp END, ',') AS best_composition FROM ps JOIN n USING (sample_id, peak_id)""")
 def overridden_best(s, d):
-    chosen = lattice.closest(peaks(s, d), MASSES, LIMITS, COMMON)
-    rows = consensus.overridden_best(_peak_stats(s, d)[2], chosen, TOLERANCE)
+    rows = consensus.overridden(lattice.closest(_peak_stats(s, d), MASSES, LIMITS, COMMON), TOLERANCE)
     return rows.select("sample_id", "peak_id", "best_model", text("best_composition").alias("best_composition"))
 
 
