@@ -153,7 +153,8 @@ def kept_masks(perfect: Column, k: int) -> Column:
 
 
 def kept_fits(explained: DataFrame, k: int) -> DataFrame:
-    """explained_peaks() less the models that contain a perfect one of their sample, and models, the masks that are left. Peaks that are dealt out by sample stay where they are."""
+    """explained_peaks() less the models that contain a perfect one of their sample, and models, the masks that are left. Peaks that are dealt out and sorted by sample stay where they are;
+    others are dealt out and sorted here, with their fits."""
     words = [f"__w{w}" for w in range((2**k - 1) // WORD + 1)]
     rows = explained.withColumns(dict(zip(words, perfect_words(F.col("good"), k))))
     rows = rows.withColumns({w: F.bit_and(w).over(Window.partitionBy("sample_id")) for w in words}).withColumn("__perfect", perfect_masks([F.col(w) for w in words], k))

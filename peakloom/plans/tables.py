@@ -28,9 +28,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample's peaks are dealt out together, so that nothing made from them for a sample needs another shuffle."""
-    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return read(spark, sf_dir, "orders").repartition("o_custkey").select(F.col("o_custkey").alias("sample_id"), place.alias("peak_id"), (F.col("o_totalprice") / 100).alias("observed"))
+    """A sample's peaks are dealt out and sorted together, so that nothing made from them for a sample needs another shuffle or sort. They are named before they are sorted,
+    as Spark no longer takes them for sorted once the column they were sorted by is gone."""
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy("o_orderkey"))
+    rows = read(spark, sf_dir, "orders").repartition("o_custkey").select(F.col("o_custkey").alias("sample_id"), "o_orderkey", (F.col("o_totalprice") / 100).alias("observed"))
+    return rows.select("sample_id", place.alias("peak_id"), "observed")
 
 
 PEAKS_SQL = "peaks AS (SELECT o_custkey AS sample_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS peak_id, o_totalprice / 100 AS observed FROM orders)"
